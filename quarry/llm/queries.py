@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import bpe_encode
+from quarry.llm.langid import identify_language, learn_dictionaries
+from quarry.llm.minhash import near_duplicates
+from quarry.llm.quality import learn_quality, score_quality
 from quarry.llm.token_counts import count_tokens
 
 
@@ -29,8 +32,28 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_quality(docs.filter(~held_out()), table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_language(docs, learn_dictionaries(docs.filter(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op3_byte_bpe": op3_byte_bpe}
+    return {"op1_token_counts": op1_token_counts, "op3_byte_bpe": op3_byte_bpe, "op6_quality": op6_quality, "op7_near_dedup": op7_near_dedup, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
