@@ -104,6 +104,29 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different parts that can reach the similarity.
+
+    Of a set of n, the n - ceil(n * percent / 100) + 1 rarest members are its prefix; two sets
+    that reach the similarity have a member in both prefixes. Rarity is counted over ``rows``, so
+    a passage that very many texts share brings none of them together by itself. Members that are
+    found in no other part can't be in an overlap with one, which bounds the overlap from above.
+    """
+    tokens = sets.join(rows, "row_id").select("row_id", "n", "part", F.explode("members").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("docs"), F.min("part").alias("low"), F.max("part").alias("high"))
+    mixed = F.col("low") < F.col("high")
+    ranked = tokens.join(counts, "token").groupBy("row_id", "n", "part").agg(
+        F.count_if(mixed).alias("most"), F.sort_array(F.collect_list(F.struct("docs", "token", mixed.alias("mixed")))).alias("by_rarity")
+    ).filter(100 * F.col("most") >= percent * F.col("n"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = ranked.select("row_id", "n", "part", "most", F.explode(F.slice("by_rarity", F.lit(1), length.cast("int"))).alias("t")).filter("t.mixed")
+    prefix = materialise(prefix.select("row_id", "n", "part", "most", F.col("t.token").alias("token")), "prefixes")
+    other = prefix.select("token", F.col("row_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("most").alias("most_b"))
+    fits = f"a < b and part <> other and {100 + percent} * least(most, most_b) >= {percent} * (n + m)"
+    meet = prefix.withColumnRenamed("row_id", "a").join(other, "token").filter(fits)
+    return meet.select("a", "b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, broadcast_rows: int = 500_000,
 ) -> DataFrame:
@@ -116,9 +139,10 @@ def near_duplicates(
     2. Equal sets form a class, represented by its smallest id; only representatives go on.
     3. Representatives with a band in common are candidates. Each is first compared with the
        smallest one of its bucket, on full sets; components of these links follow.
-    4. Whatever shares a bucket but not a component, and hasn't been compared, is compared now. Pairs within
-       one component would change nothing and are never made, so a large group of copies costs
-       a pair for each member, and no link that matters is left out.
+    4. Sets that share a bucket but not a component are joined on the rare members that similar
+       sets must share, and compared unless step 3 did. Pairs within one component would change nothing
+       and are never made, so a large group of copies costs a pair for each member, and no link
+       that matters is left out.
 
     A pair at exactly the similarity escapes all 32 bands with probability 1e-7 (80 %) or 5e-11
     (85 %). Columns: ``id_col`` (long), n_shingles long, component_id long (smallest id reachable),
@@ -144,10 +168,8 @@ def near_duplicates(
 
     placed = members.join(parts, members.row_id == parts.id, "left").select("key", "row_id", "n", F.coalesce("component", "row_id").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    open_rows = materialise(placed.join(mixed, "key"), "open")
-    other = open_rows.select("key", F.col("row_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-    across = open_rows.withColumnRenamed("row_id", "a").join(other, "key").filter("a < b and part <> other").filter(fits).select("a", "b").distinct()
-    fresh = materialise(across.join(stars, ["a", "b"], "left_anti"), "pairs")
+    open_rows = materialise(placed.join(mixed, "key", "left_semi").select("row_id", "n", "part").distinct(), "open")
+    fresh = materialise(_across(open_rows, sets, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_links(fresh, sets, percent), "links")
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b")
