@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.ann import nearest_vectors
 from quarry.llm.bpe import bpe_encode
 from quarry.llm.chat import perspectives_sql, rotate_perspectives
 from quarry.llm.decontaminate import contamination_sql, flag_contaminated
@@ -27,6 +28,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), decode=True)
     return encoded.select(
@@ -99,7 +104,7 @@ OP7_SQL = r"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_token_counts": op1_token_counts, "op3_byte_bpe": op3_byte_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality,
+        "op1_token_counts": op1_token_counts, "op2_nearest_vectors": op2_nearest_vectors, "op3_byte_bpe": op3_byte_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality,
         "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_language_id": op9_language_id, "op10_perspectives": op10_perspectives,
     }
 
