@@ -110,7 +110,8 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Of a set of n, the n - ceil(n * percent / 100) + 1 rarest members are its prefix; two sets
     that reach the similarity have a member in both prefixes. Rarity is counted over ``rows``, so
     a passage that very many texts share brings none of them together by itself. Members that are
-    found in no other part can't be in an overlap with one, which bounds the overlap from above.
+    found in no other part can't be in an overlap with one, and nothing before the first common
+    member of two prefixes is common: both bound the overlap from above.
     """
     tokens = sets.join(rows, "row_id").select("row_id", "n", "part", F.explode("members").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("docs"), F.min("part").alias("low"), F.max("part").alias("high"))
@@ -119,10 +120,10 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.count_if(mixed).alias("most"), F.sort_array(F.collect_list(F.struct("docs", "token", mixed.alias("mixed")))).alias("by_rarity")
     ).filter(100 * F.col("most") >= percent * F.col("n"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = ranked.select("row_id", "n", "part", "most", F.explode(F.slice("by_rarity", F.lit(1), length.cast("int"))).alias("t")).filter("t.mixed")
-    prefix = materialise(prefix.select("row_id", "n", "part", "most", F.col("t.token").alias("token")), "prefixes")
-    other = prefix.select("token", F.col("row_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("most").alias("most_b"))
-    fits = f"a < b and part <> other and {100 + percent} * least(most, most_b) >= {percent} * (n + m)"
+    prefix = ranked.select("row_id", "n", "part", "most", F.posexplode(F.slice("by_rarity", F.lit(1), length.cast("int"))).alias("at", "t")).filter("t.mixed")
+    prefix = materialise(prefix.select("row_id", "n", "part", "most", "at", F.col("t.token").alias("token")), "prefixes")
+    other = prefix.select("token", F.col("row_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("most").alias("most_b"), F.col("at").alias("at_b"))
+    fits = f"a < b and part <> other and {100 + percent} * least(most, most_b, n - at, m - at_b) >= {percent} * (n + m)"
     meet = prefix.withColumnRenamed("row_id", "a").join(other, "token").filter(fits)
     return meet.select("a", "b").distinct()
 
