@@ -83,10 +83,10 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tu
     with np.errstate(over="ignore"):
         value, end = hashes.copy(), len(hashes)
         for k in range(1, width):
-            same = np.zeros(end, bool)
-            same[: end - k] = doc[k:] == doc[: end - k]
-            nxt = np.zeros(end, np.uint64)
-            nxt[: end - k] = hashes[k:]
+            rest = max(0, end - k)
+            same, nxt = np.zeros(end, bool), np.zeros(end, np.uint64)
+            same[:rest] = doc[end - rest :] == doc[:rest]
+            nxt[:rest] = hashes[end - rest :]
             value = np.where(same, mix(value * MULT ^ nxt), value)
     position = np.arange(end) - np.concatenate([[0], np.cumsum(count)[:-1]])[doc]
     keep = position < np.maximum(1, count - width + 1)[doc]
