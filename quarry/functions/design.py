@@ -89,3 +89,9 @@ def detect(source: Column, types: Column, text: Column) -> Column:
     for name, pattern in reversed(PATTERNS):
         worded = F.when(text.rlike("(?i)" + pattern), name).otherwise(worded)
     return F.coalesce(_map(PROVIDER_DESIGNS)[F.lower(F.trim(source))], type_design(types), worded, F.lit("unknown"))
+
+
+def of_article(read: Column, source: Column, types: Column, text: Column) -> Column:
+    """An external reading of the full text wins unless it is unknown."""
+    named = normalise(read)
+    return F.coalesce(F.when(named != "unknown", named), detect(source, types, text))

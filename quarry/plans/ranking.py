@@ -74,6 +74,17 @@ def grade_design(spark, sf):
     return _graded(spark, sf).select("ev_id", "design", "preprint", "score", "label")
 
 
+READINGS = ("Randomized Controlled Trial", "meta-analysis (preprint)", "unknown", "gibberish", "Case-Control Study")
+
+
+@query("article_design", f"""WITH {GRADED_SQL} SELECT ev_id, CASE ev_id % 5 WHEN 0 THEN 'rct' WHEN 1 THEN 'meta_analysis' WHEN 4 THEN 'case_control' ELSE design END AS design FROM graded""")
+def article_design(spark, sf):
+    """What a reader called a record in prose, where that names a design, else the record's own design."""
+    read = F.element_at(F.array(*map(F.lit, READINGS)), (1 + F.col("ev_id") % len(READINGS)).cast("int"))
+    text = D.scan_text(worded_title(), F.lit("body"), F.col("snippet"))
+    return evidence(spark, sf).select("ev_id", D.of_article(read, F.col("source_type"), F.col("publication_types"), text).alias("design"))
+
+
 @query("evidence_profile", f"""WITH {GRADED_SQL} SELECT topic_id, label, count(*) AS n, CAST(sum(CASE WHEN reliability_tier = 1 AND NOT preprint THEN 1 ELSE 0 END) AS BIGINT) AS n_high, CAST(sum(CASE WHEN preprint THEN 1 ELSE 0 END) AS BIGINT) AS n_preprint FROM graded GROUP BY ALL""")
 def evidence_profile(spark, sf):
     high = (F.col("reliability_tier") == 1) & ~F.col("preprint")

@@ -234,3 +234,22 @@ def relaxed_match(spark, sf):
     ranked = top_per_group(hits.withColumn("level", level), ["item_id"], ["level", F.desc("n"), "ev_id"], 10, "place")
     best = Window.partitionBy("item_id")
     return ranked.withColumn("best", F.min("level").over(best)).filter("level = best").select("item_id", "ev_id", "level", "place")
+
+
+@query("sections_udtf", rf"WITH {SECTIONS_SQL} SELECT page_id, CAST(position AS INTEGER) AS position, section FROM sections")
+def sections_udtf(spark, sf):
+    """``split_sections`` as a table function for SQL users: sections(text) in a lateral join."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="position int, section string")
+    class Sections:
+        def eval(self, text: str):
+            import re
+
+            parts = re.split(r"(?m)^(?=##[ \t]+\S)", text or "")
+            for k, part in enumerate(p for p in parts if p):
+                yield k, part
+
+    spark.udtf.register("sections", Sections)
+    page_text(spark, sf).createOrReplaceTempView("page_text_for_sections")
+    return spark.sql("SELECT page_id, s.position, s.section FROM page_text_for_sections, LATERAL sections(text) s")
