@@ -41,28 +41,33 @@ def learn_dictionaries(
 
 
 class SizeByLanguage:
-    def __init__(self, dictionaries: dict[str, bytes], level: int):
-        import zstandard as z
+    """Sizes of a text with each dictionary; short texts, where a byte decides, are compressed harder."""
 
-        self.langs = list(dictionaries)
-        self.compress = []
-        for content in dictionaries.values():
-            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.compress.append(z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+    def __init__(self, dictionaries: dict[str, bytes], level: int, short_level: int, short_bytes: int):
+        self.langs, self.short_bytes = list(dictionaries), short_bytes
+        self.long, self.short = ([_compressor(content, k) for content in dictionaries.values()] for k in (level, short_level))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language of the smallest encoding and the share of the next smallest that it saves."""
         if not self.langs or not text or not _LETTER(text):
             return UNKNOWN, 0.0
         data = text.lower().encode("utf-8", "ignore")
-        best, second = sorted((len(c(data)), k) for k, c in enumerate(self.compress))[:2] if len(self.langs) > 1 else ((0, 0), (1, 0))
+        compress = self.short if len(data) < self.short_bytes else self.long
+        best, second = sorted((len(c(data)), k) for k, c in enumerate(compress))[:2] if len(self.langs) > 1 else ((0, 0), (1, 0))
         return self.langs[best[1]], (second[0] - best[0]) / second[0]
 
 
+def _compressor(content: bytes, level: int):
+    import zstandard as z
+
+    d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=level)
+    return z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
+
+
 def identify_language(
     docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text",
-    min_margin: float = 0.001, level: int = 3, keep: bool = False,
+    min_margin: float = 0.001, level: int = 7, short_level: int = 12, short_bytes: int = 2048, keep: bool = False,
 ) -> DataFrame:
     """The language whose dictionary compresses the whole text best.
 
@@ -76,7 +81,7 @@ def identify_language(
     columns of ``docs`` that bear the names of results give way to them. Repeated rows each give a
     row; an empty table none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((dictionaries, level))
+    shared = docs.sparkSession.sparkContext.broadcast((dictionaries, level, short_level, short_bytes))
     key = uuid.uuid4().hex
     names = ("lang_pred", "margin", "score", "rejected")
     kept = [c for c in docs.columns if keep and c not in names] or [id_col]

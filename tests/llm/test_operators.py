@@ -205,7 +205,7 @@ def test_language_of_odd_texts(spark):
     train = spark.createDataFrame([(k, ("the and of with " if k % 2 else "der und nicht mit ") * 20, "en" if k % 2 else "de") for k in range(40)] + [(99, None, "en"), (98, "x y", None)], "doc_id long, text string, lang string")
     known = learn_dictionaries(train)
     assert sorted(known) == ["de", "en"]
-    docs = frame(spark, [None, "", "12 !?", "der und mit der und", "the with and the of", "the and of " * 40_000, "q"])
+    docs = frame(spark, [None, "", "12 !?", "der und mit der und", "the and of with the and of", "the and of " * 40_000, "q"])
     got = {r.doc_id: r for r in identify_language(docs, known, keep=True).collect()}
     assert [got[k].lang_pred for k in range(6)] == ["und", "und", "und", "de", "en", "en"]
     assert [got[k].rejected for k in range(7)] == [True, True, True, False, False, False, True]
