@@ -12,6 +12,7 @@ from quarry.operators.retrieve import dot, top_per_group
 from quarry.plans.registry import query
 from quarry.plans.retrieval import tokens_sql
 from quarry.sources.tables import EVIDENCE, PROVIDERS, SIGNALS, evidence, signals, table
+from quarry.storage import broadcast_if_small
 
 AS_OF = 2025
 CURVES_SQL = f"""CASE WHEN citation_count <= 0 THEN 0.0 ELSE least(1.0, ln(1 + citation_count) / ln(1001)) END::DOUBLE AS citation,
@@ -293,7 +294,25 @@ def register_match(spark, sf):
     ).select("p_partkey", "authorised", "x.*")
     words = F.when(F.col("field") == "name", F.split("value", " ")).otherwise(F.array("value"))
     prefixes = fields.select("p_partkey", "authorised", "field", "value", F.explode(words).alias("word")).select("*", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(12))), lambda n: F.substring("word", 1, n))).alias("term"))
-    met = prefixes.join(F.broadcast(terms), "term").groupBy("p_partkey", "authorised", "term", "field").agg(F.max(F.col("value") == F.col("term")).alias("whole"))
+    met = prefixes.join(broadcast_if_small(terms, 100_000), "term").groupBy("p_partkey", "authorised", "term", "field").agg(F.max(F.col("value") == F.col("term")).alias("whole"))
     weight = F.when(F.col("field") == "kind", 4.0).when(F.col("field") == "brand", 1.5).when(F.col("whole"), 6.0).otherwise(3.0)
     total = met.groupBy("p_partkey", "authorised", "term").agg(F.sum(weight).alias("s"))
     return total.select("p_partkey", "term", F.when(F.col("authorised"), F.col("s")).otherwise(F.col("s") * 0.6).alias("score")).filter("score >= 0.4")
+
+
+TRIAL_WORDS = ("Completed, has posted results. Phase 3. Enrollment: 1500", "Active. phase4 Enrollment: 150", "Recruiting phase 2 Enrollment: 20", "withdrawn", "completed phase 3 and phase 4")
+
+
+@query("trial_priority", f"""WITH {EVIDENCE}, t AS (SELECT topic_id, ev_id, arrival, {list(TRIAL_WORDS)}[1 + ev_id % 5] AS c FROM evidence), s AS (SELECT *, CASE WHEN contains(lower(c), 'has posted results') THEN 100 ELSE 0 END + CASE WHEN contains(lower(c), 'completed') THEN 50 WHEN contains(lower(c), 'active') THEN 30 WHEN contains(lower(c), 'recruiting') THEN 20 ELSE 0 END
+    + CASE WHEN regexp_matches(lower(c), 'phase ?3') THEN 15 WHEN regexp_matches(lower(c), 'phase ?4') THEN 12 WHEN regexp_matches(lower(c), 'phase ?2') THEN 8 ELSE 0 END + CASE WHEN n > 1000 THEN 20 WHEN n > 100 THEN 10 ELSE 0 END AS score FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(c, 'Enrollment: (\\d+)', 1) AS BIGINT), 0) AS n FROM t))
+    SELECT topic_id, ev_id, score, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, arrival) AS r FROM s) WHERE r <= 20""")
+def trial_priority(spark, sf):
+    """The first twenty trials of a topic by results, status, phase and enrolment, as their text states them."""
+    rows = evidence(spark, sf).select("topic_id", "ev_id", "arrival", F.element_at(F.array(*map(F.lit, TRIAL_WORDS)), (1 + F.col("ev_id") % 5).cast("int")).alias("c"))
+    low = F.lower("c")
+    has = lambda w: F.contains(low, F.lit(w))
+    enrolled = F.coalesce(F.regexp_extract("c", r"Enrollment: (\d+)", 1).try_cast("long"), F.lit(0))
+    status = F.when(has("completed"), 50).when(has("active"), 30).when(has("recruiting"), 20).otherwise(0)
+    phase = F.when(low.rlike("phase ?3"), 15).when(low.rlike("phase ?4"), 12).when(low.rlike("phase ?2"), 8).otherwise(0)
+    score = F.when(has("has posted results"), 100).otherwise(0) + status + phase + F.when(enrolled > 1000, 20).when(enrolled > 100, 10).otherwise(0)
+    return top_per_group(rows.withColumn("score", score), ["topic_id"], [F.desc("score"), "arrival"], 20, "place").select("topic_id", "ev_id", "score", "place")
