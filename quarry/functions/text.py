@@ -136,3 +136,25 @@ def citation_chunks(paragraph: Column) -> Column:
 
 def cited(chunk: Column) -> Column:
     return F.transform(F.regexp_extract_all(chunk, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda d: d.cast("int"))
+
+
+#: Section names by priority for papers and for guidelines, and sections that never count.
+BIOMED_PRIORITY = ("result", "finding", "outcome", "efficacy", "discussion", "conclusion", "method", "material", "introduction", "background")
+GUIDELINE_PRIORITY = ("recommendation", "evidence to decision", "rationale", "implementation")
+SKIPPED_SECTIONS = ("reference", "bibliography", "acknowledg", "conflict of interest", "funding", "author contribution", "supplementary", "data availability")
+
+
+def section_priority(name: Column, order: tuple[str, ...] = BIOMED_PRIORITY) -> Column:
+    """Place of the first word of ``order`` that a heading holds, the length of ``order`` for none, null for a section to skip."""
+    low, rank = F.lower(F.coalesce(name, F.lit(""))), F.lit(len(order))
+    for k, word in reversed(list(enumerate(order))):
+        rank = F.when(F.contains(low, F.lit(word)), k).otherwise(rank)
+    skip = F.lit(False)
+    for word in SKIPPED_SECTIONS:
+        skip = skip | F.contains(low, F.lit(word))
+    return F.when(~skip, rank)
+
+
+def pick_section(text: Column, name: Column) -> Column:
+    """The first section whose heading holds ``name``, in any case; null if none does."""
+    return F.try_element_at(F.filter(sections(text), lambda s: F.contains(F.lower(section_name(s)), F.lower(name))), F.lit(1))

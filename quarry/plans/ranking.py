@@ -248,7 +248,21 @@ TYPE_PROVIDERS = {
 }
 LITERATURE = ("pubmed", "europe_pmc", "clinicaltrials")
 GATES = {
-    "who_gho": ("prevalence", "incidence", "mortality", "per 100,000", "how common"), "ema": ("approv", "authoriz", "label", "ema", "recall"), "openfda": ("side effect", "adverse event", "safety signal", "recall"), "rxnav": ("interact", "combined with", "drug class"),
+    "who_gho": (
+        "prevalence", "prevalent", "incidence", "mortality", "morbidity", "epidemiology", "epidemiological", "how common", "how widespread", "how many people", "frequency of", "number of cases", "per 100,000", "per capita", "global burden", "death rate", "case rate",
+        "prevalenza", "incidenza", "mortalità", "diffusione", "quanto è comune", "quanto è diffus", "quante persone", "colpisce quante persone", "tasso di incidenza", "tasso di mortalità",
+    ),
+    "ema": (
+        "approv", "authoriz", "authoris", "regulatory", "marketing authorisation", "marketing authorization", "label", "ema", "european medicines agency", "withdrawn", "recall", "epar", "centrally authorised", "orphan drug", "orphan medicine", "biosimilar",
+        "conditional marketing", "revoked", "suspended marketing", "autorizzazione", "approvazione", "immissione in commercio", "farmaco orfano",
+    ),
+    "openfda": (
+        "side effect", "side-effect", "adverse event", "adverse effect", "adverse reaction", "safety signal", "black box", "boxed warning", "recall", "faers", "reported cases of", "case reports of",
+        "effetto collaterale", "effetti collaterali", "evento avverso", "eventi avversi", "reazione avversa", "reazioni avverse",
+    ),
+    "rxnav": (
+        "interact", "interaction", "contraindicat", "combined with", "co-administer", "coadminister", "concomitant", "taken with", "drug class", "classified as", "classification of", "interazione", "controindicat", "somministrato insieme", "classe farmacologica", "classificazione",
+    ),
 }
 GATE_NEEDS_SUBJECT = ("ema", "openfda", "rxnav")
 _PROVIDER_LIST = list(PROVIDERS)

@@ -62,6 +62,19 @@ def split_sections(spark, sf):
     return rows.select("page_id", F.col("position").cast("long").alias("position"), T.section_name(F.col("section")).alias("name"), F.length("section").cast("long").alias("n_chars"))
 
 
+HEADINGS = ("Results and Discussion", "2. Methods", "Funding", "Patients", "Background", "References")
+_PRIORITY_SQL = "CASE " + " ".join(f"WHEN contains(low, '{w}') THEN NULL" for w in T.SKIPPED_SECTIONS) + " " + " ".join(f"WHEN contains(low, '{w}') THEN {k}" for k, w in enumerate(T.BIOMED_PRIORITY)) + f" ELSE {len(T.BIOMED_PRIORITY)} END"
+
+
+@query("section_priority", rf"""WITH {SECTIONS_SQL}, n AS (SELECT page_id, position, lower({list(HEADINGS)}[1 + (page_id + position) % 6] || ' ' || trim(regexp_extract(section, '^##[ \t]+([^\n]+)', 1))) AS low FROM sections)
+    SELECT page_id, position, CAST(CASE WHEN {' OR '.join(f"contains(low, '{w}')" for w in T.SKIPPED_SECTIONS)} THEN NULL ELSE {_PRIORITY_SQL} END AS INTEGER) AS priority FROM n""")
+def section_priority(spark, sf):
+    """Rank of each section of a page by what its heading says; null for boilerplate."""
+    rows = page_text(spark, sf).select("page_id", F.posexplode(T.sections(F.col("text"))).alias("position", "section"))
+    heading = F.concat(F.element_at(F.array(*map(F.lit, HEADINGS)), (1 + (F.col("page_id") + F.col("position")) % 6).cast("int")), F.lit(" "), T.section_name(F.col("section")))
+    return rows.select("page_id", F.col("position").cast("long").alias("position"), T.section_priority(heading).alias("priority"))
+
+
 @query("fair_share_trim", rf"""WITH {SECTIONS_SQL}, s AS (SELECT page_id, position, length(section) AS n, CASE WHEN position = 0 THEN -1 ELSE length(section) % 3 END AS priority, count(*) OVER (PARTITION BY page_id) AS k FROM sections),
     w AS (SELECT *, least(n, 600 // k) AS base, greatest(0, n - 600 // k) AS want, 600 - sum(least(n, 600 // k)) OVER (PARTITION BY page_id) AS slack FROM s),
     a AS (SELECT *, base + greatest(0, least(want, slack - coalesce(sum(want) OVER (PARTITION BY page_id ORDER BY priority, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS granted FROM w) SELECT page_id, position, CAST(granted AS BIGINT) AS granted FROM a WHERE granted > 0""")
