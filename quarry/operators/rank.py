@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -114,14 +112,3 @@ def citation_expand(edges: DataFrame, seeds: DataFrame, per_seed: int = 6) -> Da
     met = edges.join(seeds.select(F.col("id").alias("src")), "src", "left_semi").filter("src <> dst").distinct()
     kept = top_per_group(met, ["src", "kind"], ["dst"], per_seed, "n")
     return kept.join(seeds.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "kind", "dst", "n")
-
-
-def batches(rows: Iterator, size: int) -> Iterator[list]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held

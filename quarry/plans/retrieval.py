@@ -18,7 +18,7 @@ def tokens_sql(text: str) -> str:
 
 
 DOI_SQL = r"nullif(lower(regexp_replace(regexp_extract({0}, '(?i)10\.\d{{4,9}}/[^\s?#]+'), '[).]+$', '')), '')"
-NAME_SQL = r"trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
+NAME_SQL = r"trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query("tokenize_stats", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms, coalesce(t[1], '') AS first_term FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Provider ids in their fixed order, and the reliability tier that we give each.
 PROVIDERS = ("pubmed", "europe_pmc", "clinicaltrials", "openfda", "dailymed", "ema", "who_gho", "biorxiv", "chembl", "open_targets", "rxnav", "wikipedia")
