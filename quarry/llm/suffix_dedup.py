@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import _BYTE, MULT, mix, powers
+from quarry.llm.words import _BYTE, mix, powers
 from quarry.storage import broadcast_if_small, materialise
 
 #: A position takes this many bits of the numbers whose minimum picks an anchor.
@@ -253,7 +253,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
 
     long_enough = texts.filter(F.length("body") >= length)
     rows = materialise(long_enough.mapInArrow(anchor_rows, "digest binary, bucket long, first long, count int, offset int").distinct(), "anchors")
-    common = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor
+    common = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "common")
     wanted = rows.join(common, "bucket").groupBy("digest").agg(F.collect_list(F.struct("bucket", "n", "first", "count", "offset")).alias("runs"))
     wanted = materialise(wanted, "wanted")
     bodies = texts.join(broadcast_if_small(wanted.select("digest"), broadcast_rows), "digest", "left_semi").dropDuplicates(["digest"])
