@@ -156,7 +156,8 @@ def near_duplicates(
     classes = materialise(usable.groupBy("h1", "h2", "n").agg(F.min("row_id").alias("rep")), "classes")
     banded = materialise(usable.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n", F.explode("bands").alias("key")).distinct(), "bands")
 
-    heads = banded.groupBy("key").agg(F.min(F.struct("row_id", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
+    # written first, so that both sides of the join are plain exchanges and Spark can split a hot bucket
+    heads = materialise(banded.groupBy("key").agg(F.min(F.struct("row_id", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1"), "heads")
     members = materialise(banded.join(heads.select("key", "head"), "key"), "buckets")
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     stars = materialise(
