@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]").search
+#: Bytes that are compressed at a time; a dictionary saves about the same on each block, so margins don't fall with the length.
+BLOCK_BYTES = 1 << 15
 _WORKER: dict = {}
 
 
@@ -41,7 +43,11 @@ def learn_dictionaries(
 
 
 class SizeByLanguage:
-    """Sizes of a text with each dictionary; short texts, where a byte decides, are compressed harder."""
+    """Sizes of a text with each dictionary; short texts, where a byte decides, are compressed harder.
+
+    A long text is compressed in equal blocks of at most BLOCK_BYTES, each with the fresh dictionary, and its
+    size is their sum: every part of it counts, not only the head that is still near the dictionary.
+    """
 
     def __init__(self, dictionaries: dict[str, bytes], level: int, short_level: int, short_bytes: int):
         self.langs, self.short_bytes = list(dictionaries), short_bytes
@@ -53,7 +59,10 @@ class SizeByLanguage:
             return UNKNOWN, 0.0
         data = text.lower().encode("utf-8", "ignore")
         compress = self.short if len(data) < self.short_bytes else self.long
-        best, second = sorted((len(c(data)), k) for k, c in enumerate(compress))[:2] if len(self.langs) > 1 else ((0, 0), (1, 0))
+        parts = -(-len(data) // BLOCK_BYTES)
+        edges = [len(data) * k // parts for k in range(parts + 1)]
+        blocks = [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        best, second = sorted((sum(len(c(b)) for b in blocks), k) for k, c in enumerate(compress))[:2] if len(self.langs) > 1 else ((0, 0), (1, 0))
         return self.langs[best[1]], (second[0] - best[0]) / second[0]
 
 
@@ -69,7 +78,7 @@ def identify_language(
     docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text",
     min_margin: float = 0.001, level: int = 7, short_level: int = 12, short_bytes: int = 2048, keep: bool = False,
 ) -> DataFrame:
-    """The language whose dictionary compresses the whole text best.
+    """The language whose dictionary compresses the whole text best, summed over blocks of bounded size.
 
     The dictionaries (``dict_bytes`` for each language) are broadcast; rows stay in their partitions.
     Columns: ``id_col`` (with ``keep`` all columns of ``docs`` instead), lang_pred string, margin double

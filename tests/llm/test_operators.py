@@ -8,7 +8,7 @@ import pytest
 from quarry.llm.ann import nearest_vectors
 from quarry.llm.chat import rotate_perspectives
 from quarry.llm.decontaminate import containment_matches, flag_contaminated
-from quarry.llm.langid import identify_language, learn_dictionaries
+from quarry.llm.langid import SizeByLanguage, identify_language, learn_dictionaries
 from quarry.llm.minhash import fast_similarity_sketch, near_duplicates
 from quarry.llm.quality import learn_quality, score_quality
 from quarry.llm.queries import op6_quality, op9_language_id, queries
@@ -213,6 +213,23 @@ def test_language_of_odd_texts(spark):
     assert all(r.lang_pred == "und" for r in identify_language(docs, learn_dictionaries(train.limit(0))).collect())
 
 
+def test_language_of_long_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = SizeByLanguage(learn_dictionaries(docs), 7, 12, 2048)
+    vocabulary = {lang: sorted({w for r in docs.filter(docs.lang == lang).collect() for w in r.text.split()}) for lang in ("en", "fr")}
+    rnd = random.Random(3)
+
+    def prose(lang, n_bytes):
+        return " ".join(rnd.choices(vocabulary[lang], k=n_bytes // 5))[:n_bytes]
+
+    lang, short = sizes(prose("fr", 30_000))
+    assert lang == "fr"
+    lang, long = sizes(prose("fr", 12_000_000))
+    assert lang == "fr" and long > short / 2
+    assert sizes(prose("en", 100_000) + " " + prose("fr", 500_000))[0] == "fr"
+    assert sizes(prose("fr", 100_000) + " " + prose("en", 500_000))[0] == "en"
+
+
 def test_quality_of_held_out_documents(spark):
     label = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = [r for r in op6_quality(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in label]
