@@ -94,6 +94,48 @@ def text_anchors(texts: list[bytes], length: int, k: int, segment: int = 1 << 23
         yield flush()
 
 
+def collapse(texts: list[bytes], of: np.ndarray, first: np.ndarray, count: np.ndarray, offset: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Which runs of windows to keep, and spans (text, start, end) of those that occur again in their own text.
+
+    Runs of one text whose bytes and anchor are equal (by a 128-bit hash) are all repeated, and the first of them stands for
+    all towards other texts. So a text of short period keeps a few runs instead of one for each period.
+    """
+    with np.errstate(over="ignore"):
+        tag = mix(key.astype(np.uint64) + mix((of.astype(np.uint64) << np.uint64(32)) + (count.astype(np.uint64) << np.uint64(16)) + offset.astype(np.uint64)))
+    order = np.argsort(tag, kind="stable")
+    twin = tag[order[1:]] == tag[order[:-1]]
+    among = np.zeros(len(tag), bool)
+    among[order[1:][twin]] = among[order[:-1][twin]] = True
+    keep, seen, found = np.ones(len(tag), bool), {}, {}
+    for e in np.flatnonzero(among).tolist():
+        i, start, end = int(of[e]), int(first[e]), int(first[e] + count[e]) - 1 + length
+        name = (i, int(offset[e]), hashlib.blake2b(texts[i][start:end], digest_size=16).digest(), end - start)
+        if name in seen:
+            keep[e] = False
+            spans = found.setdefault(i, [])
+            for span in ([start, end], seen[name]):
+                if span and spans and spans[-1][0] <= span[0] <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], span[1])
+                elif span:
+                    spans.append(span)
+            seen[name] = None
+        else:
+            seen[name] = [start, end]
+    return keep, [(i, a, b) for i, spans in found.items() for a, b in spans]
+
+
+def deal(digest: bytes, runs: list[dict], bucket_rows: int) -> list[tuple[int, int]]:
+    """(part, parts) of each run of a text in its bucket: by the text, and by place where a text has over ``bucket_rows`` runs in a bucket."""
+    met: dict = {}
+    out = []
+    for r in sorted(range(len(runs)), key=lambda r: runs[r]["first"]):
+        parts = -(-runs[r]["n"] // bucket_rows)
+        before = met.get(runs[r]["bucket"], 0)
+        met[runs[r]["bucket"]] = before + 1
+        out.append((r, (int.from_bytes(digest[:8], "big") + before // bucket_rows) % parts, parts))
+    return [(part, parts) for _, part, parts in sorted(out)]
+
+
 def _words(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
     """The ``width`` bytes from each position on as big-endian 8-byte numbers, most significant first."""
     out = []
@@ -232,8 +274,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
 
     1. Every window of ``length`` bytes gets an anchor in it. Anchors that occur once in all texts
        belong to windows that occur once; no other windows are dropped. Equal texts count as one here.
+       Of equal runs of windows within one text one goes on, as they are known to be repeated (``collapse``).
     2. Buckets are keyed by the anchor's hash. Their entries carry the bytes of their windows, about three times
-       the bytes in question. A bucket of more than ``bucket_rows`` entries is split by text.
+       the bytes in question. A bucket of more than ``bucket_rows`` entries is split by text, and within a text by place (``deal``).
     3. Each task sorts block after block of buckets (``repeated_in_block``). Windows of a split bucket that have no partner
        in their part are counted across parts by a 128-bit hash.
     """
@@ -243,16 +286,22 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
     copies = texts.filter(F.length("body") >= length).groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1")
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["digest", "bucket", "first", "count", "offset", "end"]
         for batch in batches:
             bodies = batch.column(0).to_pylist()
-            for of, first, count, at, key in text_anchors(bodies, length, k):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(pa.array(of)), pa.array(key.view(np.int64)), pa.array(first, pa.int64()), pa.array(count, pa.int32()), pa.array(at - first, pa.int32())],
-                    ["digest", "bucket", "first", "count", "offset"],
-                )
+            for found in text_anchors(bodies, length, k):
+                for a in range(0, len(found[0]), 1 << 17):
+                    of, first, count, at, key = (x[a : a + (1 << 17)] for x in found)
+                    keep, own = collapse(bodies, of, first, count, at - first, key, length)
+                    columns = [batch.column(1).take(pa.array(of[keep])), pa.array(key[keep].view(np.int64)), pa.array(first[keep], pa.int64()), pa.array(count[keep], pa.int32()), pa.array((at - first)[keep], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(int(keep.sum()), pa.int64())], names)
+                    if own:
+                        text, start, end = (pa.array(x, pa.int64()) for x in zip(*own, strict=True))
+                        yield pa.RecordBatch.from_arrays([batch.column(1).take(text), pa.nulls(len(own), pa.int64()), start, *[pa.nulls(len(own), pa.int32())] * 2, end], names)
 
     long_enough = texts.filter(F.length("body") >= length)
-    rows = materialise(long_enough.mapInArrow(anchor_rows, "digest binary, bucket long, first long, count int, offset int").distinct(), "anchors")
+    every = materialise(long_enough.mapInArrow(anchor_rows, "digest binary, bucket long, first long, count int, offset int, end long").distinct(), "anchors")
+    rows, own = every.filter("end is null").drop("end"), every.filter("end is not null").select("digest", F.col("first").alias("start"), "end")
     # written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor
     common = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "common")
     wanted = rows.join(common, "bucket").groupBy("digest").agg(F.collect_list(F.struct("bucket", "n", "first", "count", "offset")).alias("runs"))
@@ -265,13 +314,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
         for batch in batches:
             out: list = []
             for digest, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for r in runs:
-                    parts = -(-r["n"] // bucket_rows)
-                    part = int.from_bytes(digest[:8], "big") % parts
+                for r, (part, parts) in zip(runs, deal(digest, runs, bucket_rows), strict=True):
                     out.append((r["bucket"], part, parts, digest, r["first"], r["count"], r["offset"], text[r["first"] : r["first"] + r["count"] - 1 + length]))
-                if len(out) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                    out = []
+                    if len(out) > 2000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -305,7 +352,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
     named = found.filter("name is not null")
     twice = named.groupBy("name").agg(F.count("*").alias("n"), F.bool_or("known").alias("known")).filter("n > 1").select("name")
     late = named.filter("not known").join(twice, "name", "left_semi")
-    return found.filter("name is null").select("digest", "start", "end").union(late.select("digest", "start", "end")), copies
+    return found.filter("name is null").select("digest", "start", "end").union(late.select("digest", "start", "end")).union(own), copies
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_columns: bool = False, **options) -> DataFrame:

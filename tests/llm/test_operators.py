@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from quarry.llm import suffix_dedup
 from quarry.llm.ann import nearest_vectors
 from quarry.llm.chat import rotate_perspectives
 from quarry.llm.decontaminate import containment_matches, flag_contaminated
@@ -14,6 +15,7 @@ from quarry.llm.quality import learn_quality, score_quality
 from quarry.llm.queries import op6_quality, op9_language_id, queries
 from quarry.llm.suffix_dedup import COVER, PERIOD, remove_repeats
 from quarry.llm.warc import archive_round_trip, export_archives, read_archive, write_warc
+from quarry.storage import materialise
 from tests.conftest import SF
 
 
@@ -107,6 +109,24 @@ def test_repeats_equal_brute_force(spark, length, bucket_rows):
     assert remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_a_long_text_of_short_period_ships_few_runs(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, name: kept.setdefault(name, materialise(df, name)))
+    rnd = random.Random(2)
+    odd = "".join(rnd.choice("abcdefgh") for _ in range(60))
+    texts = [" " * 300_000 + odd, "xy" * 100_000 + odd[::-1], "q" + " " * 150, "abc" * 20, odd]
+    got = {r.doc_id: r for r in remove_repeats(frame(spark, texts), length=100).collect()}
+    want = [(300_000, 1), (200_000, 1), (150, 1), (0, 0), (0, 0)]
+    assert [(got[k].n_removed, got[k].n_spans) for k in range(5)] == want
+    assert kept["anchors"].count() < 3000 and kept["wanted"].selectExpr("max(size(runs))").first()[0] < 1000
+
+
+def test_a_hot_bucket_of_one_text_is_split():
+    runs = [{"bucket": k % 2, "n": 1000, "first": k} for k in range(1500)]
+    sizes = Counter((r["bucket"], part) for r, (part, parts) in zip(runs, suffix_dedup.deal(b"\xff" * 16, runs, 100), strict=True) if parts == 10)
+    assert sum(sizes.values()) == 1500 and max(sizes.values()) == 100
+
+
 def test_the_cover_covers():
     assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 
