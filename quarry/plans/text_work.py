@@ -112,12 +112,26 @@ def citation_chunks(spark, sf):
 _FOLD = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
 
 
-@query("quote_grounding", f"""WITH q AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN upper(substr(text, 10, 60)) WHEN 1 THEN replace(substr(text, 5, 80), ' ', '  ') WHEN 2 THEN 'not there at all' ELSE '' END AS quote FROM documents WHERE lang = 'en')
-    SELECT doc_id, {_FOLD.format('quote')} <> '' AND contains({_FOLD.format('text')}, {_FOLD.format('quote')}) AS grounded FROM q""")
-def quote_grounding(spark, sf):
+QUOTES_SQL = f"""WITH q AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN upper(substr(text, 10, 60)) WHEN 1 THEN replace(substr(text, 5, 80), ' ', '  ') WHEN 2 THEN 'not there at all' ELSE '' END AS quote FROM documents WHERE lang = 'en')
+    SELECT doc_id, {_FOLD.format('quote')} <> '' AND contains({_FOLD.format('text')}, {_FOLD.format('quote')}) AS grounded FROM q"""
+
+
+def _quotes(docs):
     k = F.col("doc_id")
     quote = F.when(k % 4 == 0, F.upper(F.substring("text", 10, 60))).when(k % 4 == 1, F.replace(F.substring("text", 5, 80), F.lit(" "), F.lit("  "))).when(k % 4 == 2, "not there at all").otherwise("")
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", T.quote_grounded(F.col("text"), quote).alias("grounded"))
+    return docs.select("doc_id", T.quote_grounded(F.col("text"), quote).alias("grounded"))
+
+
+@query("quote_grounding", QUOTES_SQL)
+def quote_grounding(spark, sf):
+    """English rows only, as its SQL has it; ``quote_grounding_all`` has all."""
+    return _quotes(table(spark, sf, "documents").filter("lang = 'en'"))
+
+
+@query("quote_grounding_all")
+def quote_grounding_all(spark, sf):
+    """Every document, whatever its language. No SQL: case folding of other letters may differ there."""
+    return _quotes(table(spark, sf, "documents"))
 
 
 SECRET = (r"""(?i)(api[_-]?key=)[^&\s"']+""", r"""(token = ")[0-9a-f]+""")
@@ -222,18 +236,31 @@ def token_overlap(spark, sf):
     return o.select("ev_id", F.round(F.try_divide("n", F.size("a")), 6).alias("precision"), F.round(F.try_divide("n", F.size("b")), 6).alias("recall"), (F.col("n") > 0).alias("hit"))
 
 
-@query("label_spans", """WITH w AS (SELECT doc_id, unnest(range(0, len(w))) AS position, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE doc_id % 90 < 9)), m AS (SELECT *, length(word) >= 5 AS mark FROM w),
-    g AS (SELECT *, position - row_number() OVER (PARTITION BY doc_id ORDER BY position) AS island FROM m WHERE mark) SELECT doc_id, min(position) AS start, string_agg(word, ' ' ORDER BY position) AS span FROM g GROUP BY doc_id, island""")
-def label_spans(spark, sf):
-    """Runs of marked words of the first tenth of every pool, as text: gaps and islands within one document's array."""
+SPANS_SQL = """WITH w AS (SELECT doc_id, unnest(range(0, len(w))) AS position, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE doc_id % 90 < 9)), m AS (SELECT *, length(word) >= 5 AS mark FROM w),
+    g AS (SELECT *, position - row_number() OVER (PARTITION BY doc_id ORDER BY position) AS island FROM m WHERE mark) SELECT doc_id, min(position) AS start, string_agg(word, ' ' ORDER BY position) AS span FROM g GROUP BY doc_id, island"""
+
+
+def spans(docs):
+    """Runs of marked words, as text: gaps and islands within one document's array."""
     words = F.split("text", " ")
-    rows = table(spark, sf, "documents").filter("doc_id % 90 < 9").select("doc_id", F.posexplode(words).alias("position", "word")).filter(F.length("word") >= 5)
+    rows = docs.select("doc_id", F.posexplode(words).alias("position", "word")).filter(F.length("word") >= 5)
     order = Window.partitionBy("doc_id").orderBy("position")
     marked = rows.withColumn("island", F.col("position") - F.row_number().over(order))
     runs = marked.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("position", "word"))).alias("w"))
     return runs.select("doc_id", F.col("w")[0]["position"].cast("long").alias("start"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("span"))
 
 
+@query("label_spans", SPANS_SQL)
+def label_spans(spark, sf):
+    """The first tenth of every pool only, as its SQL has it; ``label_spans_all`` has all."""
+    return spans(table(spark, sf, "documents").filter("doc_id % 90 < 9"))
+
+
+@query("label_spans_all", SPANS_SQL.replace(" WHERE doc_id % 90 < 9", ""))
+def label_spans_all(spark, sf):
+    return spans(table(spark, sf, "documents"))
+
+
 @query("relaxed_match", f"""WITH {EVIDENCE}, t AS (SELECT item_id, {tokens_sql('text')}[1:3] AS q FROM benchmark), one AS (SELECT item_id, q, unnest(q) AS term FROM t), d AS (SELECT DISTINCT ev_id, unnest({tokens_sql('title')}) AS term FROM evidence),
     h AS (SELECT item_id, ev_id, count(DISTINCT term) AS n, len(any_value(list_distinct(q))) AS size FROM one JOIN d USING (term) GROUP BY item_id, ev_id), l AS (SELECT *, min(CASE WHEN n = size THEN 0 WHEN n >= 2 THEN 1 ELSE 2 END) OVER (PARTITION BY item_id) AS best, CASE WHEN n = size THEN 0 WHEN n >= 2 THEN 1 ELSE 2 END AS level FROM h)
     SELECT item_id, ev_id, level, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, ev_id) AS r FROM l WHERE level = best) WHERE r <= 10""")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.operators import verify as V
+from quarry.operators.retrieve import top_per_group
 from quarry.plans.registry import query
 from quarry.sources.tables import EVIDENCE, SIGNALS, evidence, signals, table
 
@@ -51,28 +53,37 @@ CLAIMS_SQL = f"""{EVIDENCE}, claims AS (SELECT topic_id, ev_id % 9 AS claim_inde
     articles AS (SELECT topic_id, CAST(ev_id % 90 AS INTEGER) AS position, ev_id AS source_id, CASE WHEN citation_count % 3 = 0 THEN 'direct' ELSE 'indirect' END AS directness FROM evidence WHERE ev_id % 90 < 12)"""
 
 
-def _claims(spark, sf):
+def _claims(spark, sf, every: bool = False):
+    """Claims and articles of the first rows of each topic, as CLAIMS_SQL has them, or of ``every`` row, numbered by arrival."""
     k = F.col("ev_id")
     idx = F.array((k % 13).cast("int"), (k % 13).cast("int"), (k % 5).cast("int"), F.lit(99), F.lit(-1))
     strength = F.when(k % 4 == 0, "strong").when(k % 4 == 1, "moderate").when(k % 4 == 2, "weak").otherwise("huge")
-    claims = evidence(spark, sf).filter("ev_id % 90 < 9").select("topic_id", (k % 9).alias("claim_index"), idx.alias("source_indices"), strength.alias("strength"), "ev_id")
+    place = F.row_number().over(Window.partitionBy("topic_id").orderBy("arrival")) - 1
+    rows = evidence(spark, sf).withColumn("place", place) if every else evidence(spark, sf)
+    claims = (rows if every else rows.filter("ev_id % 90 < 9")).select("topic_id", (F.col("place").cast("long") if every else k % 9).alias("claim_index"), idx.alias("source_indices"), strength.alias("strength"), "ev_id")
     directness = F.when(F.col("citation_count") % 3 == 0, "direct").otherwise("indirect")
-    articles = evidence(spark, sf).filter("ev_id % 90 < 12").select(F.col("topic_id").alias("t"), (k % 90).cast("int").alias("position"), k.alias("source_id"), directness.alias("directness"))
+    articles = (rows if every else rows.filter("ev_id % 90 < 12")).select(F.col("topic_id").alias("t"), (F.col("place") if every else k % 90).cast("int").alias("position"), k.alias("source_id"), directness.alias("directness"))
     return claims, articles
 
 
-@query("claim_source_pairs", f"WITH {CLAIMS_SQL}, p AS (SELECT DISTINCT topic_id, claim_index, unnest(source_indices) AS position FROM claims) SELECT topic_id, claim_index, position, source_id, directness FROM p JOIN articles USING (topic_id, position)")
-def claim_source_pairs(spark, sf):
-    claims, articles = _claims(spark, sf)
+PAIRS_SQL = f"WITH {CLAIMS_SQL}, p AS (SELECT DISTINCT topic_id, claim_index, unnest(source_indices) AS position FROM claims) SELECT topic_id, claim_index, position, source_id, directness FROM p JOIN articles USING (topic_id, position)"
+
+
+@query("claim_source_pairs", PAIRS_SQL)
+def claim_source_pairs(spark, sf, every: bool = False):
+    claims, articles = _claims(spark, sf, every)
     pairs = claims.select("topic_id", "claim_index", F.explode(F.array_distinct("source_indices")).alias("p"))
     return pairs.join(articles, (F.col("topic_id") == F.col("t")) & (F.col("p") == F.col("position"))).select("topic_id", "claim_index", "position", "source_id", "directness")
 
 
-@query("validate_claims", f"""WITH {CLAIMS_SQL}, p AS (SELECT topic_id, claim_index, strength, position, directness FROM (SELECT DISTINCT topic_id, claim_index, strength, unnest(source_indices) AS position FROM claims) JOIN articles USING (topic_id, position))
-    SELECT topic_id, claim_index, string_agg(position::VARCHAR, ',' ORDER BY position) AS sources, CASE WHEN NOT bool_or(directness = 'direct') THEN 'weak' WHEN strength IN ('strong', 'moderate', 'weak') THEN strength ELSE 'moderate' END AS strength, count(*) >= 2 AS can_disagree FROM p GROUP BY topic_id, claim_index, strength""")
-def validate_claims(spark, sf):
+VALID_SQL = f"""WITH {CLAIMS_SQL}, p AS (SELECT topic_id, claim_index, strength, position, directness FROM (SELECT DISTINCT topic_id, claim_index, strength, unnest(source_indices) AS position FROM claims) JOIN articles USING (topic_id, position))
+    SELECT topic_id, claim_index, string_agg(position::VARCHAR, ',' ORDER BY position) AS sources, CASE WHEN NOT bool_or(directness = 'direct') THEN 'weak' WHEN strength IN ('strong', 'moderate', 'weak') THEN strength ELSE 'moderate' END AS strength, count(*) >= 2 AS can_disagree FROM p GROUP BY topic_id, claim_index, strength"""
+
+
+@query("validate_claims", VALID_SQL)
+def validate_claims(spark, sf, every: bool = False):
     """Claims with their valid, distinct sources; strength defaults to moderate and is weak without a direct source. A claim without a valid source goes."""
-    claims, articles = _claims(spark, sf)
+    claims, articles = _claims(spark, sf, every)
     pairs = claims.select("topic_id", "claim_index", "strength", F.explode(F.array_distinct("source_indices")).alias("p"))
     met = pairs.join(articles, (F.col("topic_id") == F.col("t")) & (F.col("p") == F.col("position")))
     per = met.groupBy("topic_id", "claim_index", "strength").agg(F.sort_array(F.collect_set("position")).alias("s"), F.bool_or(F.col("directness") == "direct").alias("direct"))
@@ -80,6 +91,23 @@ def validate_claims(spark, sf):
     return per.select("topic_id", "claim_index", F.array_join(F.col("s").cast("array<string>"), ",").alias("sources"), F.when(~F.col("direct"), "weak").otherwise(known).alias("strength"), (F.size("s") >= 2).alias("can_disagree"))
 
 
+#: CLAIMS_SQL over every row, numbered by arrival within the topic.
+ALL_CLAIMS_SQL = (
+    CLAIMS_SQL.replace(" FROM evidence WHERE ev_id % 90 < 9)", " FROM placed)").replace(" FROM evidence WHERE ev_id % 90 < 12)", " FROM placed)").replace("ev_id % 9 AS claim_index", "place AS claim_index").replace("CAST(ev_id % 90 AS INTEGER) AS position", "CAST(place AS INTEGER) AS position")
+    .replace(", claims AS (", ", placed AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY arrival) - 1 AS place FROM evidence), claims AS (")
+)
+
+
+@query("claim_source_pairs_all", PAIRS_SQL.replace(CLAIMS_SQL, ALL_CLAIMS_SQL))
+def claim_source_pairs_all(spark, sf):
+    return claim_source_pairs(spark, sf, every=True)
+
+
+@query("validate_claims_all", VALID_SQL.replace(CLAIMS_SQL, ALL_CLAIMS_SQL))
+def validate_claims_all(spark, sf):
+    return validate_claims(spark, sf, every=True)
+
+
 @query("evidence_flags", f"WITH {SIGNALS} SELECT topic_id, count(*) FILTER (relevance > 0.65) AS n_passed, NOT bool_or(relevance > 0.65) AS low_evidence, NOT bool_or(relevance > 0.65 AND citation_count % 50 = 0) AS no_direct FROM signals GROUP BY topic_id")
 def evidence_flags(spark, sf):
     """Topics where no article passes the strict gate of 0.65, or none of those is direct."""
@@ -100,8 +128,9 @@ def collapse_direction(spark, sf):
 @query("evidence_block", f"""WITH {EVIDENCE} SELECT topic_id, string_agg('[' || (ev_id % 90) || '] ' || title || ' (' || source_type || ')', chr(10) ORDER BY arrival) AS block FROM evidence WHERE ev_id % 90 < 8 GROUP BY topic_id""")
 def evidence_block(spark, sf):
     """The prompt lines of a topic's first eight sources, in order."""
-    line = F.concat(F.lit("["), (F.col("ev_id") % 90).cast("string"), F.lit("] "), "title", F.lit(" ("), "source_type", F.lit(")"))
-    per = evidence(spark, sf).filter("ev_id % 90 < 8").groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("arrival", line.alias("line")))).alias("l"))
+    line = F.concat(F.lit("["), (F.col("place") - 1).cast("string"), F.lit("] "), "title", F.lit(" ("), "source_type", F.lit(")"))
+    first = top_per_group(evidence(spark, sf), ["topic_id"], ["arrival"], 8, "place")
+    per = first.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("arrival", line.alias("line")))).alias("l"))
     return per.select("topic_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("block"))
 
 
