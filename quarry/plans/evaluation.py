@@ -9,7 +9,7 @@ from quarry.functions.text import tokenize
 from quarry.operators import retrieve
 from quarry.operators.rank import round_saturation
 from quarry.plans.registry import query
-from quarry.sources.tables import SIGNALS, signals, table
+from quarry.sources.tables import SIGNALS, evidence, signals, table
 from quarry.storage import materialise
 
 
@@ -75,14 +75,15 @@ def calibrate(spark, sf, passes: int = 1):
     return spark.createDataFrame([(n, float(w), float(train), float(held)) for n, w in weights.items()], "name string, weight double, train_ndcg double, held_ndcg double")
 
 
-@query("feedback_rounds")
-def feedback_rounds(spark, sf, rounds: int = 2, hits_per_topic: int = 8, terms_per_round: int = 3):
+def feedback_rounds(spark, sf, rounds: int = 2, hits_per_topic: int = 8, terms_per_round: int = 3, hits_per_provider: int = 14):
     """Discovery in rounds: BM25 hits of a topic's terms, then the weightiest new terms of its best hits as the next round's query.
 
-    The new terms are plain relevance feedback (count in the hits times inverse document frequency). Rounds stop
-    as in ``round_saturation``. Columns: topic_id, round, n_new, kept.
+    A round keeps ``hits_per_provider`` hits of each provider, among which new keys are counted; the best
+    ``hits_per_topic`` of all only choose the new terms. These are plain relevance feedback (count in the hits times
+    inverse document frequency). Rounds stop as in ``round_saturation``. Columns: topic_id, round, n_new, kept.
     """
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("doc_text"))
+    providers = evidence(spark, sf).select(F.col("ev_id").alias("id"), F.col("source_type").alias("provider"))
     topics = table(spark, sf, "benchmark").select(F.col("item_id").alias("topic_id"), "text")
     asked = retrieve.query_terms(topics)
     tokens = docs.select(F.col("doc_id").alias("id"), F.explode(tokenize(F.col("doc_text"))).alias("term"))
@@ -90,17 +91,25 @@ def feedback_rounds(spark, sf, rounds: int = 2, hits_per_topic: int = 8, terms_p
     frequency = materialise(tokens.groupBy("term").agg(F.countDistinct("id").alias("df")), "frequency")
     found = None
     for number in range(1, rounds + 1):
-        hits = materialise(retrieve.top_per_group(retrieve.bm25(docs, asked, id_col="doc_id"), ["topic_id"], [F.desc(F.round("score", 6)), "id"], hits_per_topic).withColumn("round", F.lit(number)), "hits")
+        scored = retrieve.bm25(docs, asked, id_col="doc_id").join(providers, "id")
+        hits = materialise(retrieve.top_per_group(scored, ["topic_id", "provider"], [F.desc(F.round("score", 6)), "id"], hits_per_provider).withColumn("round", F.lit(number)), "hits")
         found = hits if found is None else found.unionByName(hits)
         if number == rounds:
             break
-        seen = tokens.join(retrieve.broadcast_if_small(hits.select("topic_id", "id"), 1_000_000), "id").groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
+        best = retrieve.top_per_group(hits.drop("rank"), ["topic_id"], [F.desc(F.round("score", 6)), "id"], hits_per_topic)
+        seen = tokens.join(retrieve.broadcast_if_small(best.select("topic_id", "id"), 1_000_000), "id").groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
         fresh = seen.join(asked.select("topic_id", "term"), ["topic_id", "term"], "left_anti").join(frequency, "term")
         weight = F.round(F.col("tf") * F.log(n_docs / F.col("df")), 6)
         asked = materialise(retrieve.top_per_group(fresh.withColumn("w", weight), ["topic_id"], [F.desc("w"), "term"], terms_per_round, "r").select("topic_id", "term", F.lit(1).cast("long").alias("qtf")), "terms")
     return round_saturation(found.select("topic_id", "round", F.col("id").alias("key"), F.col("score").alias("cosine")))
 
 
+@query("feedback_rounds")
+def three_feedback_rounds(spark, sf):
+    """All rounds of the reference: the first and up to two reformulations, so that saturation can stop a topic."""
+    return feedback_rounds(spark, sf, rounds=3)
+
+
 @query("first_seen_round", f"""WITH {SIGNALS} SELECT topic_id, key, min(round) AS round, count(*) AS n FROM (SELECT topic_id, ev_id % 5 + 1 AS round, (ev_id * 7) % 41 AS key FROM signals) GROUP BY ALL""")
 def first_seen_round(spark, sf):
     rows = signals(spark, sf).select("topic_id", (F.col("ev_id") % 5 + 1).alias("round"), ((F.col("ev_id") * 7) % 41).alias("key"))

@@ -19,3 +19,9 @@ def test_first_sources_of_a_topic_with_gaps(spark, tmp_path):
 def test_no_row_is_left_out(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert queries()["quote_grounding_all"](spark, SF).count() == n
+
+
+def test_discovery_has_three_rounds_and_counts_the_wide_list(spark):
+    rows = queries()["feedback_rounds"](spark, SF).collect()
+    assert {r["round"] for r in rows} == {1, 2, 3}
+    assert max(r.n_new for r in rows if r["round"] == 1) > 8
