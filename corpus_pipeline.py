@@ -18,7 +18,7 @@ from quarry.llm.suffix_dedup import remove_repeats
 from quarry.storage import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bytes from which a repeated string is cut out: 50 words of these languages are longer.
+#: Bytes from which a repeated string is cut out: most runs of over 50 words are longer (README).
 REPEAT_BYTES = 240
 
 
