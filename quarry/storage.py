@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,15 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting ``df``; beyond ``max_rows`` the join shuffles on its key."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes that a side may have to be broadcast.
+BROADCAST_BYTES = 256 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, row_bytes: Column | int = 64) -> DataFrame:
+    """Hint a broadcast only after measuring ``df``; beyond ``max_rows`` rows or BROADCAST_BYTES the join shuffles on its key.
+
+    ``row_bytes`` is about what a row takes: a number, or a Column where rows hold strings or arrays.
+    """
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    found = df.select(size.cast("long").alias("b")).limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found.n <= max_rows and found.bytes <= BROADCAST_BYTES else df
