@@ -2,67 +2,67 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.sample import bounded_sample
+from quarry.llm.worker import bounded_batches, give_back, state
+
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 #: Bytes that are compressed at a time; a dictionary saves about the same on each block, so margins don't fall with the length.
 BLOCK_BYTES = 1 << 15
-_WORKER: dict = {}
 
 
 def learn_dictionaries(
-    train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    rows_per_lang: int = 300, dict_bytes: int = 1 << 17, chars_per_row: int = 2000,
+    train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 100, row_bytes: int = 2048,
 ) -> dict[str, bytes]:
-    """A raw-content dictionary for each language: parts of a sample of its labelled rows, end to end.
+    """A raw-content dictionary for each language: whole texts of a sample of its labelled rows, end to end.
 
-    The sample is bounded: about ``rows_per_lang`` rows of a language, those with the smallest
-    hashes of their ids, ``chars_per_row`` characters of each and ``dict_bytes`` in all. One
-    counting pass finds the share of each language that this is; no language is sorted or gathered.
+    The sample is at most ``rows_per_lang`` rows of a language, drawn by a hash among those of at most ``row_bytes`` bytes; a
+    language that has none of these is learned from its shortest text. So a dictionary has at most ``rows_per_lang * row_bytes``
+    bytes, or one longer text, and no text is cut. Rows without a language or with a blank text aren't used.
     """
     rows = train.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body"),
-        F.abs(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)) % 1_000_000).alias("draw"),
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("body"), F.col(id_col).cast("string").alias("row_id")
     )
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(1 + 1_000_000 * min(1.0, rows_per_lang / n)))))
-    picked = rows.filter(F.col("draw") < share[F.col("lang")]).select("lang", "draw", F.substring("body", 1, chars_per_row).alias("part")).collect()
-    parts: dict[str, list] = {lang: [] for lang in counts}
-    for r in sorted(picked, key=lambda r: (r.draw, r.part)):
-        parts[r.lang].append(r.part.lower())
-    return {lang: "\n".join(p).encode()[:dict_bytes] for lang, p in sorted(parts.items()) if p}
+    draw = F.xxhash64("row_id", "body", F.lit(17))
+    short = F.octet_length("body") <= row_bytes
+    picked = bounded_sample(rows.filter(short), rows_per_lang, draw, "lang").collect()
+    parts: dict[str, list] = {}
+    for r in sorted(picked, key=lambda r: (r.lang, r.row_id, r.body)):
+        parts.setdefault(r.lang, []).append(r.body.lower().encode())
+    other = rows.filter(~short).filter(~F.col("lang").isin(list(parts)))
+    for r in other.groupBy("lang").agg(F.min_by("body", F.struct(F.octet_length("body"), draw)).alias("body")).collect():
+        parts[r.lang] = [r.body.lower().encode()]
+    return {lang: b"\n".join(p) for lang, p in sorted(parts.items())}
 
 
 class SizeByLanguage:
-    """Sizes of a text with each dictionary; short texts, where a byte decides, are compressed harder.
+    """Sizes of a text with each dictionary.
 
     A long text is compressed in equal blocks of at most BLOCK_BYTES, each with the fresh dictionary, and its
     size is their sum: every part of it counts, not only the head that is still near the dictionary.
     """
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int, short_level: int, short_bytes: int):
-        self.langs, self.short_bytes = list(dictionaries), short_bytes
-        self.long, self.short = ([_compressor(content, k) for content in dictionaries.values()] for k in (level, short_level))
+    def __init__(self, dictionaries: dict[str, bytes], level: int):
+        self.langs = list(dictionaries)
+        self.compress = [_compressor(content, level) for content in dictionaries.values()]
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language of the smallest encoding and the share of the next smallest that it saves."""
         if not self.langs or not text or not _LETTER(text):
             return UNKNOWN, 0.0
         data = text.lower().encode("utf-8", "ignore")
-        compress = self.short if len(data) < self.short_bytes else self.long
         parts = -(-len(data) // BLOCK_BYTES)
         edges = [len(data) * k // parts for k in range(parts + 1)]
         blocks = [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        best, second = sorted((sum(len(c(b)) for b in blocks), k) for k, c in enumerate(compress))[:2] if len(self.langs) > 1 else ((0, 0), (1, 0))
+        best, second = sorted((sum(len(c(b)) for b in blocks), k) for k, c in enumerate(self.compress))[:2] if len(self.langs) > 1 else ((0, 0), (1, 0))
         return self.langs[best[1]], (second[0] - best[0]) / second[0]
 
 
@@ -75,39 +75,40 @@ def _compressor(content: bytes, level: int):
 
 
 def identify_language(
-    docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text",
-    min_margin: float = 0.001, level: int = 7, short_level: int = 12, short_bytes: int = 2048, keep: bool = False,
+    docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.001, level: int = 9, keep: bool = False,
 ) -> DataFrame:
     """The language whose dictionary compresses the whole text best, summed over blocks of bounded size.
 
-    The dictionaries (``dict_bytes`` for each language) are broadcast; rows stay in their partitions.
+    The dictionaries (``learn_dictionaries`` bounds them) are broadcast; rows stay in their partitions, and only the text goes to Python.
     Columns: ``id_col`` (with ``keep`` all columns of ``docs`` instead), lang_pred string, margin double
     (what the best encoding saves of the second best), score double (margin / (margin + 0.01)),
     rejected boolean (no letter, or a margin below ``min_margin``).
 
-    A text that is null or has no letter, or any text if nothing was learned, is ``und`` with score 0
+    A text that is null or has no letter (Unicode category L), or any text if nothing was learned, is ``und`` with score 0
     and rejected. Equal sizes go to the language that sorts first and have margin 0. With ``keep``,
     columns of ``docs`` that bear the names of results give way to them. Repeated rows each give a
     row; an empty table none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((dictionaries, level, short_level, short_bytes))
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((dictionaries, level))
     key = uuid.uuid4().hex
     names = ("lang_pred", "margin", "score", "rejected")
     kept = [c for c in docs.columns if keep and c not in names] or [id_col]
 
-    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("key") != key:
-            _WORKER.update(key=key, sizes=SizeByLanguage(*shared.value))
-        for batch in batches:
-            found = [_WORKER["sizes"](x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            langs, margins = pa.array([x for x, _ in found], pa.string()), pa.array([m for _, m in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], langs, margins], [*batch.schema.names[:-1], "lang_pred", "margin"])
-
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)), F.col(text_col).cast("string").alias("body"))
-    schema = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept)) + ", lang_pred string, margin double"
-    out = rows.mapInArrow(identify, schema)
+    def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sizes = state(key, lambda: SizeByLanguage(*shared.value))
+        try:
+            for texts in batches:
+                found = [sizes(x.as_py()) for x in texts]
+                yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([m for _, m in found], pa.float64())], ["lang", "margin"])
+        finally:
+            give_back()
+
+    # not deterministic to Spark, so that a filter on the result doesn't run it a second time
+    ask = F.arrow_udf(identify, "lang string, margin double").asNondeterministic()
+    out = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)), ask(F.col(f"`{text_col}`").cast("string")).alias("found"))
     return out.select(
-        *(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), "lang_pred", "margin",
-        (F.col("margin") / (F.col("margin") + 0.01)).alias("score"),
-        ((F.col("lang_pred") == UNKNOWN) | (F.col("margin") < min_margin)).alias("rejected"),
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), F.col("found.lang").alias("lang_pred"), F.col("found.margin").alias("margin"),
+        (F.col("found.margin") / (F.col("found.margin") + 0.01)).alias("score"),
+        ((F.col("found.lang") == UNKNOWN) | (F.col("found.margin") < min_margin)).alias("rejected"),
     )

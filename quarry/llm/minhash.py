@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.words import MULT, joined, mix, shingles, slices, word_hashes
+from quarry.llm.worker import bounded_batches, tidy
 from quarry.operators.components import connected_components
 from quarry.storage import broadcast_if_small, materialise
 
@@ -64,6 +65,13 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key
 
 
+def set_digests(value: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set."""
+    total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(s)), dtype=np.uint64)]) for s in (1, 2)]
+    with np.errstate(over="ignore"):
+        return [mix(x[offsets[1:]] - x[offsets[:-1]]).view(np.int64) for x in total]
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("binary").alias("body"))
 
@@ -75,13 +83,11 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
             for a, b in slices(texts):
                 value, offsets = shingle_sets(texts[a:b], width)
                 keys = band_keys(fast_similarity_sketch(value, offsets)).view(np.int64)
-                total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(s)), dtype=np.uint64)]) for s in (1, 2)]
-                with np.errstate(over="ignore"):
-                    digest = [mix(x[offsets[1:]] - x[offsets[:-1]]).view(np.int64) for x in total]
+                digest = set_digests(value, offsets)
                 bands = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * BANDS, keys.reshape(-1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), *map(pa.array, digest), bands], ["row_id", "n", "h1", "h2", "bands"])
 
-    return docs.mapInArrow(sketch, "row_id long, n long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(tidy(sketch), "row_id long, n long, h1 long, h2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -90,9 +96,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 value, offsets = shingle_sets(texts[a:b], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets.astype(np.int32), value.view(np.int64))], ["row_id", "members"])
+                h1, h2 = set_digests(value, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(offsets.astype(np.int32), value.view(np.int64))], ["row_id", "h1", "h2", "members"])
 
-    return docs.mapInArrow(build, "row_id long, members array<long>")
+    return docs.mapInArrow(tidy(build), "row_id long, h1 long, h2 long, members array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -114,7 +121,8 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     member of two prefixes is common: both bound the overlap from above.
     """
     tokens = sets.join(rows, "row_id").select("row_id", "n", "part", F.explode("members").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("docs"), F.min("part").alias("low"), F.max("part").alias("high"))
+    # written first, so that both sides of the join are plain exchanges and Spark can split a member that very many sets have
+    counts = materialise(tokens.groupBy("token").agg(F.count("*").alias("docs"), F.min("part").alias("low"), F.max("part").alias("high")), "members")
     mixed = F.col("low") < F.col("high")
     ranked = tokens.join(counts, "token").groupBy("row_id", "n", "part").agg(
         F.count_if(mixed).alias("most"), F.sort_array(F.collect_list(F.struct("docs", "token", mixed.alias("mixed")))).alias("by_rarity")
@@ -147,12 +155,19 @@ def near_duplicates(
 
     A pair at exactly the similarity escapes all 32 bands with probability 1e-7 (80 %) or 5e-11
     (85 %). Columns: ``id_col`` (long), n_shingles long, component_id long (smallest id reachable),
-    kept boolean. Ids are meant to be unique; rows that repeat an id each give a row. A row with
+    kept boolean. Ids are meant to be unique; rows that repeat an id each give a row, and if their sets differ, the one with
+    the smallest digest stands for the id in the search, the others link it with equal sets only, and all rows of the id are in one component. A row with
     a null id is linked with nothing and kept. An empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     meta = materialise(_sketched(texts, width), "sketches")
     usable = meta.filter("n > 0 and row_id is not null")
+    several = materialise(usable.select("row_id", "n", "h1", "h2").groupBy("row_id").agg(F.min(F.struct("h1", "h2", "n")).alias("least"), F.max(F.struct("h1", "h2", "n")).alias("most")).filter("least <> most").select("row_id", "least"), "repeated")
+    repeated = several.limit(1).count() > 0
+    if repeated:
+        other = meta.join(several, "row_id").filter("least <> struct(h1, h2, n)").select("row_id", "h1", "h2", "n", "least").distinct()
+        usable = materialise(usable.join(other, ["row_id", "h1", "h2"], "left_anti"), "sketches")
     classes = materialise(usable.groupBy("h1", "h2", "n").agg(F.min("row_id").alias("rep")), "classes")
     banded = materialise(usable.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n", F.explode("bands").alias("key")).distinct(), "bands")
 
@@ -164,12 +179,20 @@ def near_duplicates(
         members.select(F.col("head.row_id").alias("a"), F.col("row_id").alias("b"), F.col("head.n").alias("m"), "n").filter("a <> b").filter(fits).select("a", "b").distinct(), "pairs"
     )
     involved = members.select("row_id").distinct()
-    sets = materialise(_sets(texts.join(broadcast_if_small(involved, broadcast_rows), "row_id", "left_semi"), width).dropDuplicates(["row_id"]), "sets")
-    links = materialise(_links(stars, sets, percent), "links")
+    sets = _sets(texts.join(broadcast_if_small(involved, broadcast_rows), "row_id", "left_semi"), width)
+    if repeated:
+        sets = sets.join(usable.select("row_id", "h1", "h2").distinct(), ["row_id", "h1", "h2"], "left_semi")
+    sets = materialise(sets.drop("h1", "h2").dropDuplicates(["row_id"]), "sets")
+    links = _links(stars, sets, percent)
+    if repeated:
+        of = classes.select(F.struct("h1", "h2", "n").alias("least"), F.col("rep").alias("a"))
+        links = links.union(other.join(classes, ["h1", "h2", "n"]).select("least", F.col("rep").alias("b")).join(of, "least").select("a", "b"))
+    links = materialise(links, "links")
     parts = connected_components(links, "a", "b")
 
     placed = members.join(parts, members.row_id == parts.id, "left").select("key", "row_id", "n", F.coalesce("component", "row_id").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+    placed = materialise(placed, "placed")
+    mixed = materialise(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key"), "mixed")
     open_rows = materialise(placed.join(mixed, "key", "left_semi").select("row_id", "n", "part").distinct(), "open")
     fresh = materialise(_across(open_rows, sets, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_links(fresh, sets, percent), "links")
@@ -177,8 +200,10 @@ def near_duplicates(
         parts = connected_components(links.union(more), "a", "b")
 
     known = classes.join(parts, classes.rep == parts.id, "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("part"))
-    ids = meta.select("row_id", "n", "h1", "h2")
+    ids = meta.select("row_id", F.col("n").alias("size"), "n", "h1", "h2")
+    if repeated:
+        ids = ids.join(several, "row_id", "left").withColumn("of", F.when(F.col("n") > 0, F.coalesce("least", F.struct("h1", "h2", "n")))).select("row_id", "size", "of.h1", "of.h2", "of.n")
     out = ids.join(known, ["h1", "h2", "n"], "left").select(
-        F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("row_id").isNotNull() & (F.col("n") > 0), F.col("part")).otherwise(F.col("row_id")).alias("component_id")
+        F.col("row_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("row_id").isNotNull() & (F.col("size") > 0), F.col("part")).otherwise(F.col("row_id")).alias("component_id")
     )
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.words import _BYTE, mix, powers
+from quarry.llm.words import _BYTE, CHUNK, mix, powers
+from quarry.llm.worker import bounded_batches, tidy
 from quarry.storage import broadcast_if_small, materialise
 
 #: A position takes this many bits of the numbers whose minimum picks an anchor.
@@ -25,9 +27,9 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
 
 def _byte_hashes(buffer: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of the k bytes from each position on."""
+    """64-bit hash of the k bytes from each position on, over at most CHUNK bytes."""
     n = len(buffer)
-    up, down = powers(n + 1)
+    up, down = powers()
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * up[:n], dtype=np.uint64)])
         return mix((total[k:] - total[: n + 1 - k]) * down[: n + 1 - k])
@@ -53,8 +55,12 @@ def anchors(buffer: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     return first, np.diff(np.concatenate([first, [len(at)]])), at[first], hashes[at[first]]
 
 
-def text_anchors(texts: list[bytes], length: int, k: int, segment: int = 1 << 23) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``anchors`` of every text of at least ``length`` bytes, many short ones at a time: text numbers, and so on, within texts."""
+def text_anchors(texts: list[bytes], length: int, k: int, segment: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``anchors`` of every text of at least ``length`` bytes: text numbers, and so on, within texts.
+
+    Many short texts go at a time; a text longer than ``segment`` (or than 16 windows, if that is more) goes in overlapping segments.
+    """
+    segment = min(CHUNK, max(segment, 16 * length))
     group: list[int] = []
     size = 0
 
@@ -85,7 +91,7 @@ def text_anchors(texts: list[bytes], length: int, k: int, segment: int = 1 << 23
                 first, n, at, key = anchors(np.frombuffer(text[a : a + segment], np.uint8), length, k)
                 yield np.full(len(first), i), first + a, n, at + a, key
             continue
-        if group and size + len(text) > (1 << 20):
+        if group and size + len(text) > segment:
             yield flush()
             group, size = [], 0
         group.append(i)
@@ -124,16 +130,31 @@ def collapse(texts: list[bytes], of: np.ndarray, first: np.ndarray, count: np.nd
     return keep, [(i, a, b) for i, spans in found.items() for a, b in spans]
 
 
-def deal(digest: bytes, runs: list[dict], bucket_rows: int) -> list[tuple[int, int]]:
-    """(part, parts) of each run of a text in its bucket: by the text, and by place where a text has over ``bucket_rows`` runs in a bucket."""
-    met: dict = {}
-    out = []
-    for r in sorted(range(len(runs)), key=lambda r: runs[r]["first"]):
-        parts = -(-runs[r]["n"] // bucket_rows)
-        before = met.get(runs[r]["bucket"], 0)
-        met[runs[r]["bucket"]] = before + 1
-        out.append((r, (int.from_bytes(digest[:8], "big") + before // bucket_rows) % parts, parts))
-    return [(part, parts) for _, part, parts in sorted(out)]
+def by_distance(offset: int, count: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """(range, first, end) of a run's windows whose distances to the anchor fall into the same range of ``width`` distances.
+
+    Window i is at distance ``offset`` - i, so ranges come in falling order.
+    """
+    first = 0
+    while first < count:
+        number = (offset - first) // width
+        end = min(count, offset - number * width + 1)
+        yield number, first, end
+        first = end
+
+
+def narrower(rows: list[tuple], length: int, width: int) -> Iterator[tuple]:
+    """Runs of hot buckets dealt anew: (bucket, digest, first, count, offset, context).
+
+    Windows whose distances to the anchor fall into the same range of ``width`` share the bytes that every such window
+    covers, ``length - width + 1`` of them at a fixed place from the anchor. These name the new bucket, so windows that can be equal still meet.
+    """
+    for bucket, digest, first, count, offset, context in rows:
+        for number, a, b in by_distance(offset, count, width):
+            common = offset - number * width
+            shared = context[common : common - width + 1 + length]
+            name = hashlib.blake2b(b"%d %d %d " % (bucket, width, number) + shared, digest_size=8).digest()
+            yield int.from_bytes(name, "big", signed=True), digest, first + a, b - a, offset - a, context[a : b - 1 + length]
 
 
 def _words(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -239,49 +260,91 @@ def _runs(entry: np.ndarray, start: np.ndarray, mark: np.ndarray) -> tuple[np.nd
     return entry[first], start[first], start[last]
 
 
-def _block(rows: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]:
-    """Spans of repeated windows of a block, and for split buckets what other parts must be asked about."""
+def _block(rows: list[tuple], length: int) -> list[tuple]:
+    """Spans (digest, start, end) of the windows that occur more than once in a block of buckets.
+
+    Rows are (bucket, digest, first, count, offset, context). Rows of one bucket with the same context are sorted once.
+    """
     groups: dict = {}
     same: dict = {}
-    for row in rows:
-        bucket, part, parts, digest, first, count, offset, context = row
-        same.setdefault((groups.setdefault((bucket, part), len(groups)), offset, count, context), []).append(row)
+    for bucket, digest, first, count, offset, context in rows:
+        same.setdefault((groups.setdefault(bucket, len(groups)), offset, count, context), []).append((digest, first))
     keys = list(same)
     entry, start, repeated = repeated_in_block([k[3] for k in keys], *(np.array([k[j] for k in keys], np.int64) for j in range(3)), length)
-    several = np.array([len(same[k]) > 1 for k in keys])
-    repeated |= several[entry]
-    spans, asked = [], []
-    for e, lo, hi in zip(*(v.tolist() for v in _runs(entry, start, repeated)), strict=True):
-        spans += [(r[3], r[4] + lo, r[4] + hi + length) for r in same[keys[e]]]
-    told: set = set()
-    begin = np.concatenate([[0], np.cumsum([k[2] for k in keys])])
-    for e, key in enumerate(keys):
-        row = same[key][0]
-        if row[2] > 1:
-            for j in range(key[2]):
-                window = key[3][j : j + length]
-                name = hashlib.blake2b(window, digest_size=16).digest()
-                if not repeated[begin[e] + j]:
-                    asked.append((name, row[3], row[4] + j, False))
-                elif name not in told:
-                    told.add(name)
-                    asked.append((name, row[3], row[4] + j, True))
-    return spans, asked
-
-
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, bucket_rows: int = 2048, block_bytes: int = 3 << 20, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    repeated |= np.array([len(same[k]) > 1 for k in keys])[entry]
+    return [(digest, first + lo, first + hi + length) for e, lo, hi in zip(*(v.tolist() for v in _runs(entry, start, repeated)), strict=True) for digest, first in same[keys[e]]]
+
+
+#: Rows that go to a sort: a run of windows and the bytes that they cover.
+_CONTEXT = "bucket long, digest binary, first long, count int, offset int, context binary"
+_KINDS = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: tuple, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    held: list = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+
+def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+_NAMES = [c.split()[0] for c in _CONTEXT.split(", ")]
+
+
+def split_hot_buckets(hot: DataFrame, length: int, width: int, bucket_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(rows of bounded buckets, spans that are already known to be repeated) for the rows of buckets that are too large to sort.
+
+    In each round equal contexts of a bucket become one row, as all their windows are repeated, and what is left is dealt by a longer
+    piece of its bytes (``narrower``), with ranges a quarter as wide. A row that is then alone is dropped, since no window equals its own; a
+    bucket of at most ``bucket_rows`` rows is bounded. With ranges of one window a bucket holds equal windows only, so the rounds end. Groups
+    are counted by pre-aggregation and joined back, so none is gathered anywhere, however many rows it has.
+    """
+    ready, spans = [], []
+    while True:
+        named = hot.withColumn("name", F.substring(F.unhex(F.sha2("context", 256)), 1, 16))
+        of = ["bucket", "offset", "count", "name"]
+        groups = materialise(named.groupBy(*of).agg(F.count("*").alias("copies"), F.min(F.struct("digest", "first")).alias("one")), "equal")
+        joined = named.join(groups, of)
+        alone = (F.col("digest") == F.col("one.digest")) & (F.col("first") == F.col("one.first"))
+        known = materialise(joined.select("bucket", "digest", "first", "count", "offset", "copies", F.when(alone, F.col("context")).alias("context")), "known")
+        spans.append(known.filter("copies > 1").select("digest", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + length).alias("end")))
+        if width == 1:
+            return ready, spans
+        width = -(-width // 4)
+
+        def deal(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+            return _batches(narrower(_tuples(batches), length, width), _NAMES, _KINDS)
+
+        dealt = materialise(known.filter("context is not null").select(*_NAMES).mapInArrow(tidy(deal), _CONTEXT), "dealt")
+        counts = materialise(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+        ready.append(dealt.join(counts.filter(F.col("n") <= bucket_rows).select("bucket"), "bucket").select(*_NAMES))
+        large = counts.filter(F.col("n") > bucket_rows)
+        if not large.limit(1).count():
+            return ready, spans
+        hot = dealt.join(large.select("bucket"), "bucket").select(*_NAMES)
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, bucket_rows: int = 256, block_bytes: int = 1 << 20, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(spans of repeated strings by text digest, number of rows by digest of the texts that are repeated whole).
 
     1. Every window of ``length`` bytes gets an anchor in it. Anchors that occur once in all texts
        belong to windows that occur once; no other windows are dropped. Equal texts count as one here.
        Of equal runs of windows within one text one goes on, as they are known to be repeated (``collapse``).
     2. Buckets are keyed by the anchor's hash. Their entries carry the bytes of their windows, about three times
-       the bytes in question. A bucket of more than ``bucket_rows`` entries is split by text, and within a text by place (``deal``).
-    3. Each task sorts block after block of buckets (``repeated_in_block``). Windows of a split bucket that have no partner
-       in their part are counted across parts by a 128-bit hash.
+       the bytes in question. A bucket of more than ``bucket_rows`` entries is dealt by longer pieces until it is bounded (``split_hot_buckets``).
+    3. Each task sorts block after block of buckets (``repeated_in_block``).
     """
+    bounded_batches(docs.sparkSession)
     k = max(1, length // 4)
-    body = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
+    body = F.coalesce(F.col(f"`{text_col}`").cast("string").cast("binary"), F.lit(b""))
     texts = docs.select(body.alias("body"), F.substring(F.unhex(F.sha2(body, 256)), 1, 16).alias("digest"))
     copies = texts.filter(F.length("body") >= length).groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1")
 
@@ -290,17 +353,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
         for batch in batches:
             bodies = batch.column(0).to_pylist()
             for found in text_anchors(bodies, length, k):
-                for a in range(0, len(found[0]), 1 << 17):
-                    of, first, count, at, key = (x[a : a + (1 << 17)] for x in found)
-                    keep, own = collapse(bodies, of, first, count, at - first, key, length)
-                    columns = [batch.column(1).take(pa.array(of[keep])), pa.array(key[keep].view(np.int64)), pa.array(first[keep], pa.int64()), pa.array(count[keep], pa.int32()), pa.array((at - first)[keep], pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(int(keep.sum()), pa.int64())], names)
-                    if own:
-                        text, start, end = (pa.array(x, pa.int64()) for x in zip(*own, strict=True))
-                        yield pa.RecordBatch.from_arrays([batch.column(1).take(text), pa.nulls(len(own), pa.int64()), start, *[pa.nulls(len(own), pa.int32())] * 2, end], names)
+                of, first, count, at, key = found
+                keep, own = collapse(bodies, of, first, count, at - first, key, length)
+                columns = [batch.column(1).take(pa.array(of[keep])), pa.array(key[keep].view(np.int64)), pa.array(first[keep], pa.int64()), pa.array(count[keep], pa.int32()), pa.array((at - first)[keep], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(int(keep.sum()), pa.int64())], names)
+                if own:
+                    text, start, end = (pa.array(x, pa.int64()) for x in zip(*own, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(text), pa.nulls(len(own), pa.int64()), start, *[pa.nulls(len(own), pa.int32())] * 2, end], names)
 
     long_enough = texts.filter(F.length("body") >= length)
-    every = materialise(long_enough.mapInArrow(anchor_rows, "digest binary, bucket long, first long, count int, offset int, end long").distinct(), "anchors")
+    every = materialise(long_enough.mapInArrow(tidy(anchor_rows), "digest binary, bucket long, first long, count int, offset int, end long").distinct(), "anchors")
     rows, own = every.filter("end is null").drop("end"), every.filter("end is not null").select("digest", F.col("first").alias("start"), "end")
     # written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor
     common = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "common")
@@ -308,51 +370,40 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, b
     wanted = materialise(wanted, "wanted")
     bodies = texts.join(broadcast_if_small(wanted.select("digest"), broadcast_rows), "digest", "left_semi").dropDuplicates(["digest"])
 
-    def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "part", "parts", "digest", "first", "count", "offset", "context"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
-            out: list = []
-            for digest, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for r, (part, parts) in zip(runs, deal(digest, runs, bucket_rows), strict=True):
-                    out.append((r["bucket"], part, parts, digest, r["first"], r["count"], r["offset"], text[r["first"] : r["first"] + r["count"] - 1 + length]))
-                    if len(out) > 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    schema = "bucket long, part int, parts int, digest binary, first long, count int, offset int, context binary"
-    contexts = bodies.join(wanted, "digest").select("digest", "body", "runs").mapInArrow(context_rows, schema)
+    def contexts(asked: DataFrame) -> DataFrame:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = ((r["bucket"], digest, r["first"], r["count"], r["offset"], text[r["first"] : r["first"] + r["count"] - 1 + length]) for digest, text, runs in _tuples(batches) for r in runs)
+            return _batches(found, _NAMES, _KINDS)
+
+        return bodies.join(asked, "digest").select("digest", "body", "runs").mapInArrow(tidy(cut), _CONTEXT)
+
+    def of_buckets(hot: bool) -> DataFrame:
+        runs = F.filter("runs", lambda r: (r["n"] > bucket_rows) if hot else (r["n"] <= bucket_rows))
+        return wanted.select("digest", runs.alias("runs")).filter(F.size("runs") > 0)
+
+    ready, spans = [contexts(of_buckets(hot=False))], [own]
+    if common.filter(F.col("n") > bucket_rows).limit(1).count():
+        more, known = split_hot_buckets(materialise(contexts(of_buckets(hot=True)), "hot"), length, length - k + 1, bucket_rows)
+        ready, spans = ready + more, spans + known
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: list) -> pa.RecordBatch:
-            spans, asked = _block(rows, length)
-            columns = (
-                [d for d, _, _ in spans] + [d for _, d, _, _ in asked], [s for _, s, _ in spans] + [s for _, _, s, _ in asked], [e for _, _, e in spans] + [s + length for _, _, s, _ in asked],
-                [None] * len(spans) + [name for name, *_ in asked], [True] * len(spans) + [known for *_, known in asked],
-            )
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["digest", "start", "end", "name", "known"])
-
-        held, size, last = [], 0, None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != last and size >= block_bytes:
-                    yield found(held)
+        def found() -> Iterator[tuple]:
+            held, size, last = [], 0, None
+            for row in _tuples(batches):
+                if row[0] != last and size >= block_bytes:
+                    yield from _block(held, length)
                     held, size = [], 0
-                last = row[:2]
+                last = row[0]
                 held.append(row)
-                size += len(row[7])
-        if held:
-            yield found(held)
+                size += len(row[5])
+            if held:
+                yield from _block(held, length)
 
-    sorted_rows = contexts.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "part")
-    found = materialise(sorted_rows.mapInArrow(blocks, "digest binary, start long, end long, name binary, known boolean"), "spans")
-    named = found.filter("name is not null")
-    twice = named.groupBy("name").agg(F.count("*").alias("n"), F.bool_or("known").alias("known")).filter("n > 1").select("name")
-    late = named.filter("not known").join(twice, "name", "left_semi")
-    return found.filter("name is null").select("digest", "start", "end").union(late.select("digest", "start", "end")).union(own), copies
+        return _batches(found(), ["digest", "start", "end"], (pa.binary(), pa.int64(), pa.int64()))
+
+    dealt = reduce(DataFrame.unionByName, ready).repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    found = materialise(dealt.mapInArrow(tidy(blocks), "digest binary, start long, end long"), "spans")
+    return reduce(DataFrame.unionByName, spans, found), copies
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_columns: bool = False, **options) -> DataFrame:
@@ -360,37 +411,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes; strings lie within one text, overlap with themselves or others as they
     like, and are judged on the input, so all their occurrences go. Columns: ``id_col`` (with
-    ``keep_columns`` all columns of ``docs``), kept binary, n_bytes long, n_removed long, n_spans long
-    (maximal removed runs). A null text counts as empty and loses nothing; equal rows are copies
+    ``keep_columns`` all columns of ``docs`` but the text), kept binary, n_bytes long, n_removed long, n_spans long
+    (maximal removed runs). A null text counts as empty, loses nothing and has a null ``kept``; equal rows are copies
     of each other, so long ones lose everything; an empty table gives no rows. With ``keep_columns``,
     columns of ``docs`` that bear the names of results give way to them.
     """
     spans, copies = repeated_spans(docs, text_col, length, **options)
     results = ("kept", "n_bytes", "n_removed", "n_spans")
-    names = [c for c in docs.columns if c not in results] if keep_columns else [id_col]
-    body = F.coalesce(F.col(f"`{text_col}`").cast("string").cast("binary"), F.lit(b""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names))).alias("own"), body.alias("body")).withColumn("digest", F.substring(F.unhex(F.sha2("body", 256)), 1, 16))
+    names = [c for c in docs.columns if c not in (*results, text_col)] if keep_columns else [id_col]
+    body = F.col(f"`{text_col}`").cast("string").cast("binary")
+    own = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names))).alias("own")
+    rows = docs.select(own, body.alias("body")).withColumn("digest", F.substring(F.unhex(F.sha2("body", 256)), 1, 16))
     by_text = spans.groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     marks = by_text.join(copies.withColumn("whole", F.lit(True)), "digest", "full").select("digest", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
+    # written first, so that both sides of the join are plain exchanges and Spark can split a text that very many rows have
+    marks = materialise(marks, "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, bodies, spans, whole = batch.columns
-            kept, removed, runs = [], [], []
-            for text, found, all_of_it in zip(bodies.to_pylist(), spans.to_pylist(), whole.to_pylist(), strict=True):
-                merged: list = [[0, len(text)]] if all_of_it else []
+            kept, size, removed, runs = [], [], [], []
+            for text, found, all_of_it in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                n = len(text or b"")
+                merged: list = [[0, n]] if all_of_it else []
                 for s, e in sorted((x["start"], x["end"]) for x in found or () if not all_of_it):
                     if merged and s <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], e)
                     else:
                         merged.append([s, e])
-                edges = [0, *(x for m in merged for x in m), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                edges = [0, *(x for m in merged for x in m), n]
+                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if merged else text)
+                size.append(n)
                 removed.append(sum(e - s for s, e in merged))
                 runs.append(len(merged))
-            n = pa.array([len(t) for t in bodies.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([own, pa.array(kept, pa.binary()), n, pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["own", *results])
+            numbers = (pa.array(x, pa.int64()) for x in (size, removed, runs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *numbers], ["own", *results])
 
     kind = rows.schema["own"].dataType.simpleString()
-    out = rows.join(marks, "digest", "left").select("own", "body", "spans", "whole").mapInArrow(cut, f"own {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    out = rows.join(marks, "digest", "left").select("own", "body", "spans", "whole").mapInArrow(tidy(cut), f"own {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
     return out.select(*(F.col(f"own.c{k}").alias(c) for k, c in enumerate(names)), *results)

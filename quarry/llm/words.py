@@ -28,24 +28,24 @@ _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes whose running sums are taken at a time; a longer buffer goes chunk by chunk, so memory doesn't grow with a text.
+CHUNK = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP**k and its inverse for k < n, kept for the largest n so far."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """STEP**k and its inverse for k up to CHUNK."""
+    if not _POWERS:
         for base in (int(STEP), _inverse(int(STEP))):
-            table = np.full(size, np.uint64(base))
+            table = np.full(CHUNK + 1, np.uint64(base))
             table[0] = 1
             with np.errstate(over="ignore"):
                 np.cumprod(table, out=table)
             _POWERS.append(table)
-        del _POWERS[:-2]
     return _POWERS[0], _POWERS[1]
 
 
-def slices(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``size`` bytes; a longer text gets a range of its own."""
     a = total = 0
     for b, t in enumerate(texts):
@@ -64,16 +64,32 @@ def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join([*(t or b"" for t in texts), b""]), np.uint8), starts
 
 
+def _sums(buffer: np.ndarray, table: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of table[byte] * STEP**(place in the word) over each of the words [first, end), which don't overlap."""
+    out = np.zeros(len(first), np.uint64)
+    up, down = powers()
+    for a in range(0, len(buffer), CHUNK):
+        b = min(a + CHUNK, len(buffer))
+        lo, hi = np.searchsorted(end, a, side="right"), np.searchsorted(first, b)
+        if lo == hi:
+            continue
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[buffer[a:b]] * up[: b - a], dtype=np.uint64)])
+            start = np.maximum(first[lo:hi], a) - a
+            part = (total[np.minimum(end[lo:hi], b) - a] - total[start]) * down[start]
+            if first[lo] < a:  # begun in a chunk before
+                part[0] *= np.uint64(pow(int(STEP), int(a - first[lo]), 1 << 64))
+            out[lo:hi] += part
+    return out
+
+
 def word_hashes(buffer: np.ndarray, starts: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (a maximal run without ASCII white space) and the text that it is in."""
-    n = len(buffer)
     space = _SPACE[buffer]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     first, end = edge[::2], edge[1::2]
-    up, down = powers(n + 1)
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_FOLDED if fold else _BYTE)[buffer] * up[:n], dtype=np.uint64)])
-        hashes = mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64) * MULT)
+        hashes = mix(_sums(buffer, _FOLDED if fold else _BYTE, first, end) + (end - first).astype(np.uint64) * MULT)
     return hashes, np.searchsorted(starts, first, side="right") - 1
 
 
