@@ -14,12 +14,21 @@ def word_array(text: Column) -> Column:
 
 
 def _runs(words: Column, width: int, of) -> Column:
-    """``of`` applied to each run of ``width`` words; no runs in fewer words."""
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), of)).otherwise(F.array().cast("array<string>"))
+    """``of`` applied to the first place of each run of ``width`` words; null in fewer words."""
+    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), of))
 
 
-def shingle_strings(words: Column, width: int) -> Column:
-    return F.array_distinct(_runs(words, width, lambda i: F.array_join(F.slice(words, i + 1, width), " ")))
+def _text_of(words: Column, width: int):
+    return lambda i: F.array_join(F.slice(words, i + 1, width), " ")
+
+
+def _hash_of(hashes: Column, width: int):
+    """A run's hash from those of its words, so that no run has to be built as a string."""
+    return lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(width)))
+
+
+def _probes(hashes: Column, width: int) -> Column:
+    return _runs(hashes, width, lambda i: F.struct(_hash_of(hashes, width)(i).alias("h"), F.lit(width).alias("m")))
 
 
 def containment_matches(
@@ -28,33 +37,43 @@ def containment_matches(
 ) -> DataFrame:
     """Pairs (``id_col``, item_id, n_shared, n_item, containment) where a text holds ``percent`` of an item's shingles or more.
 
-    Shingles are runs of ``width`` words; containment is the share of an item's distinct shingles that
+    Shingles are runs of ``width`` words, and an item of fewer words is one shingle, which a text holds wherever these words stand in
+    a row; containment is the share of an item's distinct shingles that
     the whole text has. Items are partitioned by size, in powers of two. Every item's sketch is its k smallest
     shingle hashes, with k set by its partition: one more than the largest item of the partition may
     lack. So a text that holds enough of an item holds at least one value of its sketch, at any
     length of the text: the search loses no pair, and candidates are then verified on the shingles themselves.
 
-    Texts are scanned where they lie. The sketches are broadcast if they have at most
-    ``broadcast_rows`` rows, which are counted first; larger ones are joined by shuffling on the hash.
-    Items of fewer than ``width`` words, and null texts, match nothing. Repeated item ids count as one item
+    Texts are scanned where they lie: words are hashed once, and runs are hashed from their words' hashes. The sketches are broadcast if they
+    have at most ``broadcast_rows`` rows, which are counted first; larger ones are joined by shuffling on the hash.
+    Items without words, and null texts, match nothing. Repeated item ids count as one item
     with the shingles of all; repeated document ids likewise. Rows with a null id take no part.
     """
-    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), word_array(F.col(item_text_col)).alias("w"))
-    owned = items.select("item", F.explode(shingle_strings(F.col("w"), width)).alias("s")).distinct()
-    sized = materialise(owned.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("s").alias("h"), "s"))).alias("by_hash")).withColumn("n_item", F.size("by_hash")), "items")
+    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), word_array(F.col(item_text_col)).alias("w")).filter(F.size("w") > 0)
+    items = items.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
+    w, wh = F.col("w"), F.col("wh")
+    run = lambda m: _runs(w, m, lambda i: F.struct(_hash_of(wh, m)(i).alias("h"), F.lit(m).alias("m"), _text_of(w, m)(i).alias("s")))
+    shorter = F.coalesce(*(F.when(F.size("w") == m, run(m)) for m in range(1, width)), run(width))
+    owned = items.select("item", F.explode(shorter).alias("x")).distinct()
+    sized = materialise(owned.groupBy("item").agg(F.sort_array(F.collect_list("x")).alias("by_hash")).withColumn("n_item", F.size("by_hash")), "items")
     top = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_item").cast("double"))) + 1) - 1
     k = top - F.ceil(top * percent / 100) + 1
-    sketches = sized.select("item", "n_item", F.explode(F.slice("by_hash", F.lit(1), k.cast("int"))).alias("x")).select(F.col("x.h").alias("h"), "item")
+    sketches = sized.select("item", F.explode(F.slice("by_hash", F.lit(1), k.cast("int"))).alias("x")).select("x.h", "x.m", "item")
+    # at most ``width`` numbers: how many words the shingles of items have
+    widths = [r.m for r in sized.select(F.explode("by_hash.m").alias("m")).distinct().orderBy("m").collect()] or [width]
 
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), word_array(F.col(text_col)).alias("w"))
-    w = F.col("w")
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, width), " ")))
-    probes = texts.filter(F.size(w) >= width).select("doc", F.explode(hashes).alias("h"))
-    candidates = materialise(probes.join(broadcast_if_small(sketches, broadcast_rows), "h").select("doc", "item").distinct(), "candidates")
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
+    hashed = texts.select("doc", F.transform(word_array(F.col("body")), lambda x: F.xxhash64(x)).alias("wh"))
+    probe = F.concat(*(F.coalesce(_probes(wh, m), F.array().cast("array<struct<h:bigint,m:int>>")) for m in widths))
+    probes = hashed.select("doc", F.explode(probe).alias("x")).select("doc", "x.h", "x.m")
+    candidates = materialise(probes.join(broadcast_if_small(sketches, broadcast_rows), ["h", "m"]).select("doc", "item").distinct(), "candidates")
 
     found = candidates.groupBy("doc").agg(F.collect_set("item").alias("wanted"))
-    held = texts.join(broadcast_if_small(found, broadcast_rows), "doc").select("doc", "wanted", F.explode(F.array_distinct(shingle_strings(w, width))).alias("s"))
-    asked = broadcast_if_small(sized.select("item", "n_item", F.explode("by_hash.s").alias("s")), broadcast_rows)
+    # the words of candidates only: the join comes before the split
+    near = texts.join(broadcast_if_small(found, broadcast_rows, 16 + 16 * F.size("wanted")), "doc").select("doc", "wanted", word_array(F.col("body")).alias("w"))
+    strings = F.concat(*(F.coalesce(_runs(w, m, _text_of(w, m)), F.array().cast("array<string>")) for m in widths))
+    held = near.select("doc", "wanted", F.explode(F.array_distinct(strings)).alias("s"))
+    asked = broadcast_if_small(sized.select("item", "n_item", F.explode("by_hash.s").alias("s")), broadcast_rows, 32 + F.octet_length("s"))
     both = held.join(asked, "s").filter(F.array_contains("wanted", F.col("item"))).select("doc", "item", "n_item", "s").distinct()
     counted = both.groupBy("doc", "item", "n_item").agg(F.count("*").alias("n_shared")).filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return counted.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "n_shared", F.col("n_item").cast("long").alias("n_item"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
@@ -74,11 +93,12 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def contamination_sql(width: int = 5, percent: int = 80) -> str:
     """``flag_contaminated`` of documents and benchmark in DuckDB SQL: all shingles, no sketches."""
     words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-    run = f"unnest(list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')))"
+    run = "unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))"
     return f"""
-    WITH b AS (SELECT DISTINCT item_id, {run} AS s FROM (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) >= {width}),
+    WITH i AS (SELECT item_id, w, least(len(w), {width}) AS m FROM (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+    b AS (SELECT DISTINCT item_id, {run} AS s FROM i),
     n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
-    d AS (SELECT DISTINCT doc_id, {run} AS s FROM (SELECT doc_id, {words} AS w FROM documents) WHERE len(w) >= {width}),
+    d AS (SELECT DISTINCT doc_id, {run} AS s FROM (SELECT doc_id, {words} AS w FROM documents), (SELECT DISTINCT m FROM i) WHERE len(w) >= m),
     m AS (SELECT doc_id, item_id, count(*) AS shared, any_value(n_item) AS n_item FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id),
     k AS (SELECT doc_id, item_id, shared / n_item AS containment, count(*) OVER (PARTITION BY doc_id) AS n_items,
           row_number() OVER (PARTITION BY doc_id ORDER BY shared / n_item DESC, item_id) AS r FROM m WHERE 100 * shared >= {percent} * n_item)
