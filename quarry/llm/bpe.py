@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.pretokens import splitter
+from quarry.llm.worker import bounded_batches, state, tidy
 
 NONE = np.int32(2**31 - 1)
-_WORKER: dict = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -175,11 +175,11 @@ class TextEncoder:
         import public_tokenizers
 
         self.bpe, self.room, self.cache = MatrixBpe(ranks), room, {}
-        self.pieces, self.odd = splitter(public_tokenizers.PATTERN)
+        self.pieces, self.odd = splitter()
         self.pattern, self.library = public_tokenizers.PATTERN, None
 
     def _by_library(self, text: str) -> np.ndarray:
-        """For characters whose category may differ between Unicode versions."""
+        """For texts with a code point that isn't assigned here, which the library may know as a letter; it doesn't show its pieces."""
         if self.library is None:
             import tiktoken
 
@@ -198,9 +198,7 @@ class TextEncoder:
 
 
 def _encoder(key: str, shared) -> TextEncoder:
-    if _WORKER.get("key") != key:
-        _WORKER.update(key=key, encoder=TextEncoder(*shared.value))
-    return _WORKER["encoder"]
+    return state(key, lambda: TextEncoder(*shared.value))
 
 
 def _slices(texts: list[str], chars: int = 400_000) -> Iterator[tuple[int, int]]:
@@ -231,6 +229,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
     Special tokens are never produced. A null or empty text gives no ids and empty bytes; an empty
     table gives no rows; repeated rows each give a row; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), cache_room))
     key = uuid.uuid4().hex
 
@@ -247,11 +246,12 @@ def bpe_encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("body"))
-    return rows.mapInArrow(encode, f"row_id {kind}, ids array<int>" + ", decoded binary" * decode).withColumnRenamed("row_id", id_col)
+    return rows.mapInArrow(tidy(encode, key), f"row_id {kind}, ids array<int>" + ", decoded binary" * decode).withColumnRenamed("row_id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Bytes of every row's ids (null ids: null). Columns: ``id_col``, decoded binary. An id outside the vocabulary fails the task."""
+    bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), 0))
     key = uuid.uuid4().hex
 
@@ -262,4 +262,4 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_
             yield pa.RecordBatch.from_pydict({"row_id": batch.column(0), "decoded": pa.array(out, pa.binary())})
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("row_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(decode, f"row_id {kind}, decoded binary").withColumnRenamed("row_id", id_col)
+    return encoded.select(F.col(id_col).alias("row_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy(decode, key), f"row_id {kind}, decoded binary").withColumnRenamed("row_id", id_col)

@@ -11,10 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.pretokens import splitter
-
-#: State of one Python worker: the counter built from the last broadcast it was given.
-_WORKER: dict = {}
+from quarry.llm.pretokens import by_offsets, splitter
+from quarry.llm.worker import bounded_batches, state, tidy
 
 
 class PieceCounts(dict):
@@ -37,14 +35,13 @@ class PieceCounts(dict):
 class TextCounter:
     def __init__(self, serialised: str, frequent: dict[str, int], room: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(serialised)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces, self.odd = splitter(public_tokenizers.PATTERN)
+        self.pieces, self.odd = splitter()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True))) if added else None
         self.counts = PieceCounts(self.tokenizer, frequent, room)
@@ -52,32 +49,27 @@ class TextCounter:
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
-        if self.odd(text):  # categories may differ between Unicode versions: the library decides
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.special is None or not self.special.search(text):
-            return sum(map(self.counts.__getitem__, self.pieces(text)))
-        found = len(self.special.findall(text))
-        return found + sum(sum(map(self.counts.__getitem__, self.pieces(part))) for part in self.special.split(text))
-
+            return self._plain(text)
+        return len(self.special.findall(text)) + sum(map(self._plain, self.special.split(text)))
 
-def frequent_pieces(docs: DataFrame, serialised: str, text_col: str, table_size: int, sample_rows: int) -> dict[str, int]:
-    """Token counts of the commonest pieces of at most ``sample_rows`` rows, counted in one task.
+    def _plain(self, text: str) -> int:
+        """Only the pieces of a text with a code point that isn't assigned here come from the library, which may know it as a letter."""
+        return sum(map(self.counts.__getitem__, by_offsets(text, self.tokenizer.pre_tokenizer) if self.odd(text) else self.pieces(text)))
 
-    The sample only decides which pieces start in the first tier; no count depends on it.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
+def frequent_pieces(docs: DataFrame, serialised: str, text_col: str, table_size: int, sample_rows: int, row_bytes: int = 1 << 14) -> dict[str, int]:
+    """Token counts of the commonest pieces of at most ``sample_rows`` rows of at most ``row_bytes`` bytes.
 
-        pieces, seen = splitter(public_tokenizers.PATTERN)[0], Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(pieces(text or ""))
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in seen.most_common(table_size)], pa.string())})
-
-    rows = docs.select(F.col(text_col).cast("string")).limit(sample_rows).mapInArrow(count, "piece string").limit(table_size).collect()
-    counter = TextCounter(serialised, {}, 1 << 30)
-    return {r.piece: counter.counts[r.piece] for r in rows}
+    The sample only decides which pieces start in the first tier; no count depends on it. Spark reads one partition for it, and
+    more only while rows are lacking; nothing is shuffled.
+    """
+    body = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(body.alias("body")).filter(F.octet_length("body").between(1, row_bytes)).take(sample_rows)
+    counter, seen = TextCounter(serialised, {}, 1 << 30), Counter()
+    for r in rows:
+        seen.update(counter.pieces(r.body))
+    return {piece: counter.counts[piece] for piece, _ in seen.most_common(table_size)}
 
 
 def count_tokens(
@@ -97,13 +89,12 @@ def count_tokens(
     with open(tokenizer_path, encoding="utf-8") as f:
         serialised = f.read()
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((serialised, frequent_pieces(docs, serialised, text_col, table_size, sample_rows), cache_room))
     key = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("key") != key:
-            _WORKER.update(key=key, counter=TextCounter(*shared.value))
-        counter = _WORKER["counter"]
+        counter = state(key, lambda: TextCounter(*shared.value))
         for batch in batches:
             texts = batch.column(1)
             n = pa.array([counter(x.as_py()) for x in texts], pa.int64())
@@ -111,8 +102,8 @@ def count_tokens(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
-        F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("body"),
-        F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
+        F.col(id_col).alias("row_id"), F.col(f"`{text_col}`").cast("string").alias("body"),
+        F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
     )
-    counted = rows.mapInArrow(count, f"row_id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(tidy(count, key), f"row_id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("row_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > token_limit).alias("over_limit"))
