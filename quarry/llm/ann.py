@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.llm.sample import bounded_sample
+from quarry.llm.worker import bounded_batches, give_back, state
 from quarry.storage import materialise
 
 #: Width of a substring, and how many bits of two 16-bit numbers differ, by their exclusive or.
 PART = 16
-_ONES = np.array([bin(x).count("1") for x in range(1 << PART)], np.uint8)
-_WORKER: dict = {}
+_ONES = np.bitwise_count(np.arange(1 << PART, dtype=np.uint16))
 
 
 def _masks(radius: int) -> np.ndarray:
@@ -117,7 +118,7 @@ def nearest_vectors(
 
     Queries are the rows whose id is divisible by ``query_every``. Equal vectors are one entry of the
     index, with their k + 1 smallest ids: ties go to smaller ids, so no others can be in a result. Codes
-    are learned from about ``sample_rows`` vectors (the bound of what the driver gathers), and so is the
+    are learned from at most ``sample_rows`` vectors (the bound of what the driver gathers), and so is the
     Hamming radius that holds ``share`` of near neighbours; every vector is indexed. Blocks of the query
     set meet blocks of the index, each cell a bounded task; candidates are scored in
     double precision on the vectors as given. A query with fewer than k + 1 codes in the radius of a
@@ -128,6 +129,7 @@ def nearest_vectors(
     long, rank int (from 1), vec_id long, score double. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("v", lambda x: x == 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(~bad)
@@ -143,8 +145,7 @@ def nearest_vectors(
     queries = asked.select("rep").distinct()
     n_queries = queries.count()
 
-    draw = int(1 + 1_000_000 * min(1.0, sample_rows / facts.n))
-    picked = entries.filter(F.abs(F.xxhash64("rep", F.lit(5)) % 1_000_000) < draw).select("rep", "v").collect()
+    picked = bounded_sample(entries.select("rep", "v"), sample_rows, F.xxhash64("rep", F.lit(5))).collect()
     sample = np.array([r.v for r in sorted(picked, key=lambda r: r.rep)]).reshape(len(picked), -1)
     longest = float(np.sqrt(facts.square)) * (1 + 1e-12)
     codes = learn_codes(sample if len(sample) else np.eye(sizes[0].n), longest, bits)
@@ -152,9 +153,7 @@ def nearest_vectors(
     shared, key = spark.sparkContext.broadcast(codes), uuid.uuid4().hex
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if _WORKER.get("key") != key:
-            _WORKER.update(key=key, codes=shared.value)
-        codes = _WORKER["codes"]
+        codes = state(key, lambda: shared.value)
         matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         out: list = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if left.num_rows and right.num_rows:
@@ -166,6 +165,7 @@ def nearest_vectors(
                 best = np.lexsort((ids[near], -score))[: k + 1]
                 found.append((np.full(len(best), rep), ids[near[best]], score[best]))
             out = [np.concatenate(c) for c in zip(*found, strict=True)]
+            give_back()
         return pa.table({"q": out[0], "rep": out[1], "score": out[2]})
 
     n_index, n_blocks = -(-facts.n // block_rows), -(-max(1, n_queries) // query_rows)

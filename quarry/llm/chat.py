@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.storage import materialise
+
 #: Fixed values of the rendering.
 OPEN, CLOSE, END = "<|", "|>", "<|end|>\n"
 
@@ -43,6 +45,8 @@ def rotate_perspectives(
     placed = placed.select("conv_id", "role", "text", (F.col("before") + F.col("at") - 1).alias("position"))
 
     speakers = placed.filter(F.col("role").isNotNull() & (F.col("role") != system_role)).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
+    # written first, so that both sides of the join are plain exchanges and Spark can split a long conversation
+    speakers = materialise(speakers, "speakers")
     viewed = placed.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     own = F.col("role").eqNullSafe(F.col("speaker"))
     header = (

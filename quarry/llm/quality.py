@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.sample import bounded_sample
 from quarry.llm.words import MULT, joined, mix, slices, word_hashes
+from quarry.llm.worker import bounded_batches, state, tidy
+from quarry.storage import materialise
 
 TRIGRAMS, SHAPES, REPEATS = 2048, 512, 4
 TERMS = TRIGRAMS + SHAPES + REPEATS
-_WORKER: dict = {}
 
 
 def _shape_table() -> np.ndarray:
@@ -68,12 +70,15 @@ class NeighbourModel:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """Share of label 1 in the votes of the k most similar labelled rows, from all cosines."""
+        """Share of label 1 in the votes of the k most similar labelled rows, from all cosines; of equal ones the first in the sample count."""
         if not len(self.labels):
             return np.where(counts.any(axis=1), 0.5, 0.0)
         cosines = self.project(counts) @ self.vectors.T
         k = min(self.k, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        least = np.partition(cosines, -k, axis=1)[:, -k, None]
+        above, level = cosines > least, cosines == least
+        taken = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))
+        near = np.nonzero(taken)[1].reshape(-1, k)
         weight = np.exp(self.sharpness * (np.take_along_axis(cosines, near, 1).astype(np.float64) - 1))
         votes = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.where(counts.any(axis=1), votes, 0.0)
@@ -87,22 +92,22 @@ def learn_quality(
     train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     rows_per_label: int = 1500, axes: int = 64, k: int = 15,
 ) -> NeighbourModel:
-    """Latent vectors of about ``rows_per_label`` labelled rows for each label, those with the smallest
+    """Latent vectors of at most ``rows_per_label`` labelled rows for each label, those with the smallest
     hashes of their ids (the bound of the sample, and so of what is collected and broadcast).
 
-    Both labels weigh the same, whatever their shares, so a score is not the base rate.
+    Both labels weigh the same, whatever their shares, so a score is not the base rate. A label that is repeated for an id counts
+    once; of rows that repeat an id the smallest text is learned from.
     """
-    known = labels.filter(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("row_id"), F.col(label_col).cast("int").alias("label"), F.abs(F.xxhash64(F.col(id_col).cast("string"), F.lit(23)) % 1_000_000).alias("draw")
-    )
+    bounded_batches(train.sparkSession)
+    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("row_id"), F.col(label_col).cast("int").alias("label")).distinct()
     rows = train.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("body"))
     usable = known.join(rows.select("row_id"), "row_id", "left_semi")
-    counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    draw = F.xxhash64(F.col("row_id").cast("string"), F.lit(23))
+    picked = bounded_sample(usable, rows_per_label, draw, "label").withColumn("draw", draw)
+    picked = materialise(picked, "picked")
     empty = NeighbourModel(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k)
-    if not counts:
+    if not picked.limit(1).count():
         return empty
-    share = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, int(1 + 1_000_000 * min(1.0, rows_per_label / n)))))
-    picked = usable.filter(F.col("draw") < share[F.col("label")])
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +116,9 @@ def learn_quality(
                 data = [x.astype(np.float32).tobytes() for x in term_counts(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([label.slice(a, b - a), draw.slice(a, b - a), pa.array(data, pa.binary())], ["label", "draw", "counts"])
 
-    # the picked ids are about two times rows_per_label
-    sample = rows.join(F.broadcast(picked), "row_id").select("label", "draw", "body").mapInArrow(featurise, "label int, draw long, counts binary").collect()
+    # the picked rows are at most two times rows_per_label
+    texts = rows.join(F.broadcast(picked), "row_id").groupBy("row_id", "label", "draw").agg(F.min("body").alias("body"))
+    sample = texts.select("label", "draw", "body").mapInArrow(tidy(featurise), "label int, draw long, counts binary").collect()
     sample.sort(key=lambda r: (r.draw, r.label, r.counts))
     x = np.stack([np.frombuffer(r.counts, np.float32) for r in sample])
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
@@ -132,19 +138,19 @@ def score_quality(docs: DataFrame, model: NeighbourModel, id_col: str = "doc_id"
     Null and empty texts score 0; without any labelled row every other text scores 0.5. Equal
     cosines are told apart by the order of the sample. Repeated rows each give a row; an empty table none.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("key") != key:
-            _WORKER.update(key=key, model=shared.value)
+        model = state(key, lambda: shared.value)
         for batch in batches:
             texts, ids = _encoded(batch.column(1)), batch.column(0)
-            for a, b in slices(texts, 1 << 19):
+            for a, b in slices(texts, 1 << 18):
                 for c in range(a, b, 256):
                     d = min(b, c + 256)
-                    yield pa.RecordBatch.from_arrays([ids.slice(c, d - c), pa.array(_WORKER["model"].score(term_counts(texts[c:d])), pa.float64())], ["row_id", "score"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(c, d - c), pa.array(model.score(term_counts(texts[c:d])), pa.float64())], ["row_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(score, f"row_id {kind}, score double")
+    out = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(tidy(score, key), f"row_id {kind}, score double")
     return out.select(F.col("row_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.worker import bounded_batches, state, tidy
 from quarry.storage import shared_dir
 
 #: Fixed values of the format: the skippable frame that carries a dictionary, and the revisit profile.
 DICTIONARY_FRAME = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-_WORKER: dict = {}
 
 
 def record(page_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -69,18 +69,22 @@ def read_archive(content: bytes) -> Iterator[bytes]:
         more = {"dict_data": z.ZstdCompressionDict(content[8 : 8 + size])}
         content = content[8 + size :]
     decompressor = z.ZstdDecompressor(**more)
-    view = memoryview(content)
-    while len(view):
-        one = decompressor.decompressobj()
-        yield one.decompress(view)
-        view = view[len(view) - len(one.unused_data) :] if one.unused_data else view[len(view) :]
-
-
-def train_dictionary(pages: DataFrame, html_col: str, sample_rows: int = 400, bytes_per_row: int = 20_000, size: int = 1 << 16) -> bytes:
-    """A dictionary made from at most ``sample_rows`` records; empty if they are too few to train on."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        one, parts = decompressor.decompressobj(), []
+        while not one.eof and at < len(view):  # fed in steps, since what is left of the last one is copied
+            step = view[at : at + (1 << 14)]
+            parts.append(one.decompress(step))
+            at += len(step)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
+
+
+def train_dictionary(pages: DataFrame, html_col: str, sample_rows: int = 400, row_bytes: int = 20_000, size: int = 1 << 16) -> bytes:
+    """A dictionary made from at most ``sample_rows`` records of whole payloads, each of at most ``row_bytes`` bytes; empty if they are too few to train on."""
     import zstandard as z
 
-    rows = pages.select(F.substring(F.col(html_col).cast("binary"), 1, bytes_per_row).alias("body")).filter(F.length("body") > 0).limit(sample_rows).collect()
+    rows = pages.select(F.col(html_col).cast("string").cast("binary").alias("body")).filter(F.length("body").between(1, row_bytes)).take(sample_rows)
     samples = sorted(record(k, None, "response", bytes(r.body), hashlib.sha1(bytes(r.body)).hexdigest(), None) for k, r in enumerate(rows))
     try:
         return z.train_dictionary(min(size, max(256, sum(map(len, samples)) // 10)), samples).as_bytes()
@@ -118,13 +122,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     repeat the id of a response, each is a response. An empty table gives no archive. Columns other than those named
     are ignored.
     """
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast((train_dictionary(pages, html_col), level))
     key = uuid.uuid4().hex
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("key") != key:
-            _WORKER.update(key=key, writer=ArchiveWriter(*shared.value))
-        writer = _WORKER["writer"]
+        writer = state(key, lambda: ArchiveWriter(*shared.value))
         frames, size = [], 0
 
         def archive() -> pa.RecordBatch:
@@ -145,7 +148,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), (F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")).alias("url"), F.col(html_col).alias("html"))
     rows = assign_records(plain, "page_id", "html", min_bytes).select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
-    rows.mapInArrow(write, "name string, n_records long, content binary").write.parquet(path)
+    rows.mapInArrow(tidy(write, key), "name string, n_records long, content binary").write.parquet(path)
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
@@ -177,7 +180,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield table(rows)
 
-    return archives.select("content").mapInArrow(read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, body binary")
+    return archives.select("content").mapInArrow(tidy(read), "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, body binary")
 
 
 def export_archives(archives: DataFrame, folder: str) -> int:
