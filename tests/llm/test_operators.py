@@ -1,9 +1,13 @@
+import math
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import suffix_dedup
 from quarry.llm.ann import nearest_vectors
@@ -11,8 +15,9 @@ from quarry.llm.chat import rotate_perspectives
 from quarry.llm.decontaminate import containment_matches, flag_contaminated
 from quarry.llm.langid import SizeByLanguage, identify_language, learn_dictionaries
 from quarry.llm.minhash import fast_similarity_sketch, near_duplicates
-from quarry.llm.quality import learn_quality, score_quality
-from quarry.llm.queries import op6_quality, op9_language_id, queries
+from quarry.llm.quality import TERMS, NeighbourModel, learn_quality, score_quality, term_counts
+from quarry.llm.queries import held_out, op6_quality, op9_language_id, queries
+from quarry.llm.sample import bounded_sample
 from quarry.llm.suffix_dedup import COVER, PERIOD, remove_repeats
 from quarry.llm.warc import archive_round_trip, export_archives, read_archive, write_warc
 from quarry.storage import materialise
@@ -73,6 +78,13 @@ def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     assert near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    rows = [(1, "a b c d"), (1, "k l m n"), (2, "a b c d"), (3, "k l m n"), (4, "k l m n o p")]
+    found = [sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), width=2, percent=60).collect())) for n in (1, 3, 7)]
+    assert len(found[0]) == 5 and found[0] == found[1] == found[2]
+    assert {r[2] for r in found[0]} == {1} and sorted(r[1] for r in found[0]) == [3, 3, 3, 3, 5]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**63, 300, np.uint64), rng.integers(0, 2**63, 60, np.uint64)
@@ -105,7 +117,8 @@ def test_repeats_equal_brute_force(spark, length, bucket_rows):
     got = {r.doc_id: r for r in remove_repeats(frame(spark, texts), length=length, bucket_rows=bucket_rows, block_bytes=2000, keep_columns=True).collect()}
     data = [(t or "").encode() for t in texts]
     for k, want in enumerate(brute_removal(data, length)):
-        assert (got[k].n_removed, got[k].n_spans, bytes(got[k].kept), got[k].n_bytes) == (*want, len(data[k]))
+        assert (got[k].n_removed, got[k].n_spans, bytes(got[k].kept or b""), got[k].n_bytes) == (*want, len(data[k]))
+    assert {k for k in got if got[k].kept is None} == {k for k, t in enumerate(texts) if t is None}
     assert remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
 
 
@@ -121,10 +134,44 @@ def test_a_long_text_of_short_period_ships_few_runs(spark, monkeypatch):
     assert kept["anchors"].count() < 3000 and kept["wanted"].selectExpr("max(size(runs))").first()[0] < 1000
 
 
-def test_a_hot_bucket_of_one_text_is_split():
-    runs = [{"bucket": k % 2, "n": 1000, "first": k} for k in range(1500)]
-    sizes = Counter((r["bucket"], part) for r, (part, parts) in zip(runs, suffix_dedup.deal(b"\xff" * 16, runs, 100), strict=True) if parts == 10)
-    assert sum(sizes.values()) == 1500 and max(sizes.values()) == 100
+def test_a_hot_bucket_is_dealt_until_it_is_bounded(spark, monkeypatch):
+    kept = defaultdict(list)
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, name: kept[name].append(out := materialise(df, name)) or out)
+    rnd = random.Random(4)
+    some = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage = some(150)
+    texts = [some(rnd.randrange(200)) + (passage[: rnd.randrange(90, 151)] if k % 3 else passage) + some(rnd.randrange(200)) for k in range(300)]
+    got = {r.doc_id: r for r in remove_repeats(frame(spark, texts), length=100, bucket_rows=20).collect()}
+    for k, want in enumerate(brute_removal([t.encode() for t in texts], 100)):
+        assert (got[k].n_removed, got[k].n_spans, bytes(got[k].kept)) == want
+    assert len(kept["dealt"]) >= 2
+    # ranges that are alone are dropped, so rows stay far below one for each of up to 76 windows of 300 texts
+    assert sum(d.count() for d in kept["dealt"]) < 300 * 76 / 4
+
+
+def test_ranges_of_windows_share_their_bytes():
+    rnd = random.Random(1)
+    text = bytes(rnd.choice(b"ab") for _ in range(400))
+    for width in (76, 19, 5, 2, 1):
+        rows = [(9, b"x", a, n, 80 - a, text[a : a + n - 1 + 100]) for a, n in ((0, 76), (7, 30), (60, 16), (75, 1))]
+        met = defaultdict(set)
+        for bucket, _, first, count, offset, context in suffix_dedup.narrower(rows, 100, width):
+            assert context == text[first : first + count - 1 + 100] and offset == 80 - first
+            for start in range(first, first + count):
+                met[start].add(bucket)
+        assert set(met) == set(range(76)) and all(len(b) == 1 for b in met.values())
+        assert len({min(b) for b in met.values()}) == len({(80 - s) // width for s in met})
+
+
+def test_texts_longer_than_a_segment(spark):
+    rnd = random.Random(6)
+    prose = lambda n: "".join(rnd.choices("abcdefgh ijé", k=n))
+    shared = prose(1500)
+    texts = [prose(9_000_000) + shared + prose(50_000), prose(300_000) + shared[200:1400] + prose(262_144), prose(5000)]
+    got = {r.doc_id: r for r in remove_repeats(frame(spark, texts), length=400).collect()}
+    want = len(shared[200:1400].encode())
+    assert [(got[k].n_removed, got[k].n_spans) for k in range(3)] == [(want, 1), (want, 1), (0, 0)]
+    assert shared[200:1400].encode() not in bytes(got[0].kept)
 
 
 def test_the_cover_covers():
@@ -137,15 +184,22 @@ def test_the_cover_covers():
 def test_containment_equals_brute_force(spark):
     rnd = random.Random(11)
     words = [f"v{k}" for k in range(300)]
-    items = [" ".join(rnd.choice(words) for _ in range(n)) for n in (5, 6, 9, 20, 33, 64, 4, 200)]
-    texts = [None, "", "v1 v2"]
+    items = [" ".join(rnd.choice(words) for _ in range(n)) for n in (5, 6, 9, 20, 33, 64, 4, 200, 2, 3)] + ["", "?!"]
+    texts = [None, "", "v1 v2", items[8], items[9].upper() + "."]
     for _ in range(80):
-        w = rnd.choice(items).split()
+        w = rnd.choice(items[:10]).split()
         for _ in range(rnd.randrange(4)):
             w[rnd.randrange(len(w))] = rnd.choice(words)
         texts.append(" ".join(rnd.choice(words) for _ in range(rnd.randrange(60))) + " " + ", ".join(w).upper() + "! " + " ".join(rnd.choice(words) for _ in range(30)))
-    shingles = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for i in range(len(w) - 4)}
-    want = {(d, k) for d, t in enumerate(texts) for k, i in enumerate(items) if shingles(i) and 100 * len(shingles(i) & shingles(t)) >= 80 * len(shingles(i))}
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    runs = lambda t, m: {tuple(w[i : i + m]) for w in [split(t)] for i in range(len(w) - m + 1)}
+    want = set()
+    for k, item in enumerate(items):
+        if split(item):
+            m = min(5, len(split(item)))
+            own = runs(item, m)
+            want |= {(d, k) for d, t in enumerate(texts) if 100 * len(own & runs(t, m)) >= 80 * len(own)}
+    assert {(3, 8), (4, 9)} <= want
     bench = spark.createDataFrame([*enumerate(items), (None, "v1 v2 v3 v4 v5"), (2, items[2])], "item_id long, text string")
     docs = frame(spark, texts)
     for rows in (1_000_000, 0):
@@ -225,17 +279,69 @@ def test_language_of_odd_texts(spark):
     train = spark.createDataFrame([(k, ("the and of with " if k % 2 else "der und nicht mit ") * 20, "en" if k % 2 else "de") for k in range(40)] + [(99, None, "en"), (98, "x y", None)], "doc_id long, text string, lang string")
     known = learn_dictionaries(train)
     assert sorted(known) == ["de", "en"]
-    docs = frame(spark, [None, "", "12 !?", "der und mit der und", "the and of with the and of", "the and of " * 40_000, "q"])
+    docs = frame(spark, [None, "", "12 !?", "der und mit der und", "the and of with the and of", "the and of " * 40_000, "q", "½ ²", "Ⅷ ③ _"])
     got = {r.doc_id: r for r in identify_language(docs, known, keep=True).collect()}
     assert [got[k].lang_pred for k in range(6)] == ["und", "und", "und", "de", "en", "en"]
     assert [got[k].rejected for k in range(7)] == [True, True, True, False, False, False, True]
+    assert [got[k].lang_pred for k in (7, 8)] == ["und", "und"]
     assert got[3]["kept"] == "x" and 0 <= got[4].score <= 1
     assert all(r.lang_pred == "und" for r in identify_language(docs, learn_dictionaries(train.limit(0))).collect())
 
 
+def plain_language(text, dictionaries, level=9, block=1 << 15):
+    """(language, margin) by compressing every block with every dictionary."""
+    import zstandard as z
+
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return "und", 0.0
+    data = text.lower().encode()
+    n = math.ceil(len(data) / block)
+    blocks = [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+    sizes = []
+    for lang in sorted(dictionaries):
+        one = z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False)
+        sizes.append((sum(len(one.compress(b)) for b in blocks), lang))
+    best, second = sorted(sizes)[:2]
+    return best[1], (second[0] - best[0]) / second[0]
+
+
+def plain_dictionaries(rows, row_bytes=2048):
+    """All short texts by language: what is learned where a language has at most a hundred of them."""
+    parts = defaultdict(list)
+    for r in sorted((r for r in rows if r.lang and len(r.text.encode()) <= row_bytes), key=lambda r: (r.lang, str(r.doc_id), r.text)):
+        parts[r.lang].append(r.text.lower().encode())
+    assert all(len(p) <= 100 for p in parts.values())
+    return {lang: b"\n".join(p) for lang, p in parts.items()}
+
+
+def test_language_query_equals_all_encodings(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    known = plain_dictionaries([r for r in rows if not held(r.doc_id)])
+    got = {r.doc_id: r for r in op9_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, margin = plain_language(r.text, known)
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (lang, held(r.doc_id))
+        assert math.isclose(got[r.doc_id].score, margin / (margin + 0.01), abs_tol=1e-12)
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(k, "der und nicht mit " * 400, "de") for k in range(5)] + [(9, "der und nicht " * 300, "de"), (10, "the and of", "en")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert learn_dictionaries(train) == {"de": ("der und nicht " * 300).encode(), "en": b"the and of"}
+
+
+def test_samples_are_bounded_whatever_the_ids(spark):
+    rows = spark.createDataFrame([(7, f"text {k}") for k in range(3000)] + [(7, "same")] * 3000, "id long, t string")
+    assert bounded_sample(rows, 10, F.xxhash64("id")).count() == 10
+    grouped = rows.withColumn("g", (F.col("t") == "same").cast("string"))
+    assert {r["count"] for r in bounded_sample(grouped, 10, F.xxhash64("id", "t"), "g").groupBy("g").count().collect()} == {10}
+
+
 def test_language_of_long_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sizes = SizeByLanguage(learn_dictionaries(docs), 7, 12, 2048)
+    sizes = SizeByLanguage(learn_dictionaries(docs), 9)
     vocabulary = {lang: sorted({w for r in docs.filter(docs.lang == lang).collect() for w in r.text.split()}) for lang in ("en", "fr")}
     rnd = random.Random(3)
 
@@ -256,6 +362,33 @@ def test_quality_of_held_out_documents(spark):
     assert sum(r.predicted == label[r.doc_id] for r in rows) / len(rows) > 0.9
 
 
+def test_quality_query_equals_all_cosines_and_votes(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = learn_quality(docs.filter(~held_out()), spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in op6_quality(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        cosines = (model.project(term_counts([r.text.encode()])) @ model.vectors.T)[0]
+        near = sorted(range(len(cosines)), key=lambda k: -cosines[k])[: model.k]
+        weight = [math.exp(model.sharpness * (float(cosines[k]) - 1)) for k in near]
+        score = sum(w for w, k in zip(weight, near, strict=True) if model.labels[k]) / sum(weight)
+        if abs(score - got[r.doc_id].score) > 1e-4:  # products of a block and of a row may round apart and swap the last neighbours
+            order = sorted(cosines, reverse=True)
+            assert order[model.k - 1] - order[model.k] < 1e-5, r.doc_id
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_equal_cosines_vote_in_the_order_of_the_sample():
+    model = NeighbourModel(np.ones(TERMS, np.float32), np.eye(TERMS, 2, dtype=np.float32), np.array([[1, 0]] * 5, np.float32), np.array([1.0, 0, 0, 1, 1]), k=2)
+    counts = np.zeros((1, TERMS), np.float32)
+    counts[0, 0] = 1
+    assert model.score(counts)[0] == 0.5
+    model.k = 3
+    assert abs(model.score(counts)[0] - 1 / 3) < 1e-12
+
+
 def test_quality_of_odd_texts(spark):
     docs = frame(spark, [None, "", "plain words in a line", "LOUD!! WORDS!!", "a " * 200_000] + ["good plain words here"] * 9 + ["BAD!! SHOUT!! HERE!!"] * 9)
     labels = spark.createDataFrame([(k, 1 if k < 14 else 0) for k in range(5, 23)] + [(None, 1), (7, None), (77, 0)], "doc_id long, quality int")
