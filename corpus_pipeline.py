@@ -44,7 +44,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A text of which nothing remains goes; n_chars follows the text.
     """
     out = remove_repeats(docs.select(*COLUMNS), length=REPEAT_BYTES, keep_columns=True)
-    cut = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
+    text = F.col("kept").cast("string")
+    cut = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))).otherwise(text)
     rest = out.withColumn("text", cut).filter((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
     return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
