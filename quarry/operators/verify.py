@@ -45,18 +45,23 @@ def fold_verdicts(verdicts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def judge_in_batches(rows: DataFrame, judge: Callable[[list], list], size: int = 15, input_col: str = "input", id_col: str = "id") -> DataFrame:
-    """A user's ``judge`` over chunks of ``size`` inputs: id, score in [0, 1], error. A chunk that fails loses only its own rows."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for a in range(0, len(pdf), size):
-                part = pdf.iloc[a : a + size]
-                try:
-                    scores = [None if s is None else min(1.0, max(0.0, float(s))) for s in judge(part[input_col].tolist())]
-                    if len(scores) != len(part):
-                        raise ValueError(f"{len(scores)} scores for {len(part)} rows")
-                    yield pd.DataFrame({"id": part[id_col], "score": pd.Series(scores, part.index, dtype="float64"), "error": None})
-                except Exception as e:  # noqa: BLE001  the chunk's failure is its result
-                    yield pd.DataFrame({"id": part[id_col], "score": None, "error": str(e)[:200]})
-
-    return rows.select(id_col, input_col).mapInPandas(run, "id long, score double, error string")
+    """A user's ``judge`` over chunks of at most ``size`` inputs: id, score in [0, 1], error. A chunk that fails loses only its own rows.
+
+    A chunk holds ids of one range of ``size`` numbers, in order, so which rows fail together doesn't depend on how rows lie in partitions.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values([id_col, input_col]), []
+        for a in range(0, len(pdf), size):  # more than one only where ids are repeated
+            part = pdf.iloc[a : a + size]
+            try:
+                scores = [None if s is None else min(1.0, max(0.0, float(s))) for s in judge(part[input_col].tolist())]
+                if len(scores) != len(part):
+                    raise ValueError(f"{len(scores)} scores for {len(part)} rows")
+                out.append(pd.DataFrame({"id": part[id_col], "score": pd.Series(scores, part.index, dtype="float64"), "error": pd.Series([None] * len(part), part.index, dtype=object)}))
+            except Exception as e:  # noqa: BLE001  the chunk's failure is its result
+                out.append(pd.DataFrame({"id": part[id_col], "score": pd.Series([None] * len(part), part.index, dtype="float64"), "error": str(e)[:200]}))
+        return pd.concat(out)
+
+    chunk = F.floor(F.col(id_col) / size).alias("chunk")
+    return rows.select(id_col, input_col).groupBy(chunk).applyInPandas(run, "id long, score double, error string")

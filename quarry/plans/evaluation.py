@@ -20,6 +20,15 @@ def pool_relevance(spark, sf):
     return signals(spark, sf).groupBy("source_type").agg(F.count("*").alias("items"), hit.alias("relevant"), F.round(hit / F.count("*"), 6).alias("share"), F.round(r, 6).alias("r"))
 
 
+@query("pool_correlation", f"""WITH {SIGNALS}, p AS (SELECT topic_id, count(*) AS size, count(*) FILTER (relevance >= 0.6) / count(*) AS rate FROM signals WHERE cosine >= 0.25 GROUP BY topic_id)
+    SELECT count(*) AS n_topics, round(CASE WHEN count(*) < 2 OR min(size) = max(size) OR min(rate) = max(rate) THEN NULL ELSE corr(size, rate) END, 6) AS r FROM p""")
+def pool_correlation(spark, sf):
+    """Over topics, the correlation of how large a pool is with the share of it that is relevant; null where either is constant."""
+    pools = signals(spark, sf).filter("cosine >= 0.25").groupBy("topic_id").agg(F.count("*").alias("size"), (F.count_if(F.col("relevance") >= 0.6) / F.count("*")).alias("rate"))
+    flat = (F.count("*") < 2) | (F.min("size") == F.max("size")) | (F.min("rate") == F.max("rate"))
+    return pools.agg(F.count("*").alias("n_topics"), F.round(F.when(~flat, F.corr("size", "rate")), 6).alias("r"))
+
+
 #: Steps of one weight that a pass of the calibration looks at.
 STEPS = (0.0, 0.1, 0.2, 0.3, 0.4)
 SIGNAL_NAMES = ("rerank", "cosine", "bm25", "rrf", "concept", "evidence", "offtopic")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions import design as D
 from quarry.functions import signals as S
@@ -124,6 +125,13 @@ def pool_cut(spark, sf):
     return R.pool_cut(rows, 60, 30).select("topic_id", "ev_id", "authority_rank", "cosine_rank")
 
 
+@query("order_without_vectors", f"WITH {SIGNALS} SELECT topic_id, ev_id, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY relevance DESC, reliability_tier, arrival) AS INTEGER) AS rank FROM signals")
+def order_without_vectors(spark, sf):
+    """A topic's order where nothing has a vector: by score, then tier, then arrival."""
+    order = Window.partitionBy("topic_id").orderBy(F.desc("relevance"), "reliability_tier", "arrival")
+    return signals(spark, sf).select("topic_id", "ev_id", F.row_number().over(order).alias("rank"))
+
+
 @query("relevance_floor", f"""WITH {SIGNALS}, x AS (SELECT topic_id, ev_id, arrival, CASE WHEN topic_id % 3 = 0 THEN relevance * 0.4 ELSE relevance END AS relevance FROM signals),
     m AS (SELECT *, max(relevance) OVER (PARTITION BY topic_id) AS top, row_number() OVER (PARTITION BY topic_id ORDER BY relevance DESC, arrival) AS r FROM x)
     SELECT topic_id, ev_id, round(relevance, 6) AS relevance FROM m WHERE relevance >= 0.45 OR (top < 0.45 AND r = 1)""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,6 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import identity, retrieve
 from quarry.plans.registry import query
 from quarry.sources.tables import EVIDENCE, evidence, table
+from quarry.storage import materialise
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
@@ -108,19 +110,23 @@ def collector_merge(spark, sf):
     return identity.first_arrivals(identity.host_filter(hits, _domains(spark, BLOCKED)), ["topic_id", "url"])
 
 
+#: Fixed value: characters of a document that lexical scores look at.
+WINDOW = 1200
+
+
 def topics(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("topic_id"), "text").withColumn("must_include", F.slice(F.array_distinct(T.tokenize(F.col("text"))), 1, 3))
 
 
 def ranked_documents(spark, sf, k: int):
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("doc_text"))
+    docs = evidence(spark, sf).select(F.col("ev_id").alias("doc_id"), retrieve.document_text(F.col("title"), F.col("content"), F.col("snippet"), WINDOW).alias("doc_text"))
     t = topics(spark, sf)
     scores = retrieve.bm25(docs, retrieve.query_terms(t, F.col("must_include")), id_col="doc_id")
     return retrieve.top_per_group(scores.withColumn("score", F.round("score", 6)), ["topic_id"], [F.desc("score"), "id"], k)
 
 
-BM25_SQL = f"""q0 AS (SELECT item_id AS topic_id, {tokens_sql('text')} AS t FROM benchmark), q AS (SELECT topic_id, term, count(*) AS qtf FROM (SELECT topic_id, unnest(t || (list_filter(t, lambda x, i: list_position(t, x) = i))[1:3] || (list_filter(t, lambda x, i: list_position(t, x) = i))[1:3]) AS term FROM q0) GROUP BY ALL),
-    d AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents), facts AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM d),
+BM25_SQL = f"""{EVIDENCE}, q0 AS (SELECT item_id AS topic_id, {tokens_sql('text')} AS t FROM benchmark), q AS (SELECT topic_id, term, count(*) AS qtf FROM (SELECT topic_id, unnest(t || (list_filter(t, lambda x, i: list_position(t, x) = i))[1:3] || (list_filter(t, lambda x, i: list_position(t, x) = i))[1:3]) AS term FROM q0) GROUP BY ALL),
+    d AS (SELECT doc_id, {tokens_sql('doc_text')} AS t FROM (SELECT ev_id AS doc_id, substr(title || ' ' || title || ' ' || coalesce(nullif(content, ''), snippet, ''), 1, {WINDOW}) AS doc_text FROM evidence)), facts AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM d),
     tf AS (SELECT doc_id, length, term, count(*)::DOUBLE AS f FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
     df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
     raw AS (SELECT topic_id, doc_id AS id, sum(qtf * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS raw FROM tf JOIN df USING (term) JOIN q USING (term), facts GROUP BY ALL),
@@ -132,41 +138,100 @@ def bm25(spark, sf):
     return ranked_documents(spark, sf, 10)
 
 
-RUN = "array_to_string(w[i:i + 4], ' ')"
-QRELS_SQL = f"""g AS (SELECT item_id AS topic_id, array_to_string(string_split(text, ' ')[5:9], ' ') AS run FROM benchmark WHERE len(string_split(text, ' ')) >= 9),
-    runs AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: {RUN})) AS run FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) WHERE len(w) >= 5),
-    qrels AS (SELECT DISTINCT topic_id, doc_id AS id, 1 AS grade FROM g JOIN runs USING (run))"""
+#: Gold grades: a document is graded by how many of two runs of a benchmark item it holds, words 5 to 9 and 10 to 14.
+STARTS = (5, 10)
+#: A topic's pool before and after the cut.
+POOL, CUT = 40, 20
+QRELS_SQL = f"""b AS (SELECT item_id AS topic_id, string_split(text, ' ') AS w FROM benchmark), g AS (SELECT DISTINCT topic_id, array_to_string(w[s:s + 4], ' ') AS run FROM b, (SELECT unnest({list(STARTS)}) AS s) WHERE len(w) >= s + 4),
+    runs AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) WHERE len(w) >= 5),
+    ids AS (SELECT ev_id AS id, (url LIKE '%pubmed%' OR {DOI_SQL.format('url')} IS NOT NULL) AS gradable FROM evidence),
+    qrels AS (SELECT topic_id, doc_id AS id, count(*) AS grade FROM g JOIN runs USING (run) JOIN ids ON id = doc_id WHERE gradable GROUP BY ALL)"""
 
 
 def qrels(spark, sf):
-    """Documents that hold words 5 to 9 of a benchmark item in a row, by equality of runs of five words."""
+    """topic_id, id, grade of the documents with a known paper id that hold runs of five words of a benchmark item.
+
+    Words are hashed once and runs are compared by 64-bit hashes of theirs; items are the small side.
+    """
     words = F.split("text", " ")
-    wanted = table(spark, sf, "benchmark").filter(F.size(words) >= 9).select(F.col("item_id").alias("topic_id"), F.array_join(F.slice(words, 5, 5), " ").alias("run"))
-    docs = table(spark, sf, "documents").select("doc_id", words.alias("w")).filter(F.size("w") >= 5)
-    runs = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("run"))
-    return runs.join(retrieve.broadcast_if_small(wanted, 1_000_000), "run").select("topic_id", F.col("doc_id").alias("id"), F.lit(1).alias("grade")).distinct()
+    code = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    run = lambda h, i: F.xxhash64(*(F.get(h, i + j) for j in range(5)))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("topic_id"), code(words).alias("h"))
+    wanted = items.select("topic_id", F.explode(F.array(*(F.when(F.size("h") >= s + 4, run(F.col("h"), F.lit(s - 1))) for s in STARTS))).alias("run")).filter("run is not null").distinct()
+    docs = evidence(spark, sf).filter(T.paper_id(F.col("url")).isNotNull()).select("ev_id", code(F.split("content", " ")).alias("h")).filter(F.size("h") >= 5)
+    runs = docs.select("ev_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - 5), lambda i: run(F.col("h"), i))).alias("run"))
+    held = runs.join(retrieve.broadcast_if_small(wanted, 1_000_000), "run").select("topic_id", F.col("ev_id").alias("id"), "run").distinct()
+    return held.groupBy("topic_id", "id").agg(F.count("*").alias("grade"))
+
+
+METRICS_SQL = f"""{BM25_SQL}, {QRELS_SQL}, gold AS (SELECT topic_id, count(*) AS n_gold FROM qrels GROUP BY 1),
+    ideal AS (SELECT topic_id, sum((2 ** grade - 1) / log2(r + 1)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY grade DESC, id) AS r FROM qrels) WHERE r <= 10 GROUP BY 1),
+    slots AS (SELECT r.topic_id, r.id, r.rank, i.gradable, coalesce(q.grade, 0) AS grade, sum(CASE WHEN i.gradable AND rank <= {CUT} THEN 1 ELSE 0 END) OVER (PARTITION BY r.topic_id ORDER BY rank) AS place FROM ranked r JOIN ids i ON i.id = r.id LEFT JOIN qrels q ON q.topic_id = r.topic_id AND q.id = r.id WHERE rank <= {POOL}),
+    own AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY grade DESC, id) AS r FROM slots WHERE gradable AND rank <= {CUT}), pool_ideal AS (SELECT topic_id, sum((2 ** grade - 1) / log2(r + 1)) AS best FROM own WHERE r <= 10 GROUP BY 1),
+    m AS (SELECT topic_id, count(*) FILTER (rank <= {CUT}) AS n_ranked, count(*) FILTER (gradable AND rank <= {CUT}) AS n_gradable, count(*) FILTER (grade > 0) AS in_pool, count(*) FILTER (grade > 0 AND rank <= 10) AS h10, count(*) FILTER (grade > 0 AND rank <= 20) AS h20,
+      min(rank) FILTER (grade > 0 AND rank <= {CUT}) AS first, count(*) FILTER (gradable AND place <= 10 AND rank <= {CUT} AND grade > 0) AS p10, coalesce(sum((2 ** grade - 1) / log2(place + 1)) FILTER (gradable AND place <= 10 AND rank <= {CUT}), 0) AS dcg FROM slots GROUP BY 1),
+    metrics AS (SELECT topic_id, n_ranked, n_gradable, n_gold, round(n_gradable / n_ranked, 6) AS gradable_share, round(in_pool / n_gold, 6) AS pool_recall, round(least(n_gradable, n_gold) / n_gold, 6) AS pool_recall_ceiling, round(h10 / n_gold, 6) AS recall_at_10, round(h20 / n_gold, 6) AS recall_at_20,
+      round(CASE WHEN n_gradable = 0 THEN 0 ELSE p10 / least(10, n_gradable) END, 6) AS precision_at_10, round(dcg / ideal.best, 6) AS ndcg_at_10, round(CASE WHEN coalesce(pool_ideal.best, 0) = 0 THEN 0 ELSE dcg / pool_ideal.best END, 6) AS ndcg_at_10_pool, round(coalesce(1 / first, 0), 6) AS mrr
+      FROM gold JOIN m USING (topic_id) JOIN ideal USING (topic_id) LEFT JOIN pool_ideal USING (topic_id))"""
+
+
+def topic_metrics(ranked: DataFrame, ids: DataFrame, gold: DataFrame, cut: int = CUT) -> DataFrame:
+    """Ranked metrics of each topic that has gold and a pool.
+
+    ``ranked`` (topic_id, id, rank from 1) is the pool before the cut, ``ids`` (id, gradable) says which slots can be judged, ``gold``
+    (topic_id, id, grade) holds what is relevant. Precision and nDCG look at gradable slots only and divide by min(10, gradable); recall
+    and MRR count every slot; nDCG's gain is 2 ** grade - 1, against the best of all gold and of the pool's own slots.
+    """
+    known = ids.join(retrieve.broadcast_if_small(ranked.select("id").distinct(), 1_000_000), "id", "left_semi")
+    slots = ranked.join(known, "id").join(gold, ["topic_id", "id"], "left").select("topic_id", "id", "rank", "gradable", F.coalesce("grade", F.lit(0)).alias("grade"))
+    kept = F.col("rank") <= cut
+    own = F.col("gradable") & kept
+    slots = slots.withColumn("place", F.sum(F.when(own, 1).otherwise(0)).over(Window.partitionBy("topic_id").orderBy("rank")))
+    gain = lambda at: (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col(at) + 1.0)
+    best = lambda df, name: retrieve.top_per_group(df, ["topic_id"], [F.desc("grade"), "id"], 10, "r").groupBy("topic_id").agg(F.sum(gain("r")).alias(name))
+    hit, top = F.col("grade") > 0, own & (F.col("place") <= 10)
+    found = slots.groupBy("topic_id").agg(
+        F.count_if(kept).alias("n_ranked"), F.count_if(own).alias("n_gradable"), F.count_if(hit).alias("in_pool"), F.count_if(hit & (F.col("rank") <= 10)).alias("h10"), F.count_if(hit & (F.col("rank") <= 20)).alias("h20"),
+        F.min(F.when(hit & kept, F.col("rank"))).alias("first"), F.count_if(top & hit).alias("p10"), F.coalesce(F.sum(F.when(top, gain("place"))), F.lit(0.0)).alias("dcg"),
+    )
+    per = gold.groupBy("topic_id").agg(F.count("*").alias("n_gold")).join(found, "topic_id").join(best(gold, "best"), "topic_id").join(best(slots.filter(own), "own_best"), "topic_id", "left")
+    n, judged = F.col("n_gold"), F.col("n_gradable")
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    return per.select(
+        "topic_id", "n_ranked", "n_gradable", "n_gold", share(judged, F.col("n_ranked")).alias("gradable_share"), share(F.col("in_pool"), n).alias("pool_recall"), share(F.least(judged, n), n).alias("pool_recall_ceiling"),
+        share(F.col("h10"), n).alias("recall_at_10"), share(F.col("h20"), n).alias("recall_at_20"), share(F.col("p10"), F.least(F.lit(10), judged)).alias("precision_at_10"),
+        share(F.col("dcg"), F.col("best")).alias("ndcg_at_10"), share(F.col("dcg"), F.col("own_best")).alias("ndcg_at_10_pool"), share(F.lit(1.0), F.col("first")).alias("mrr"),
+    )
+
+
+def _metrics(spark, sf):
+    ids = evidence(spark, sf).select(F.col("ev_id").alias("id"), T.paper_id(F.col("url")).isNotNull().alias("gradable"))
+    return topic_metrics(materialise(ranked_documents(spark, sf, POOL), "ranked"), ids, materialise(qrels(spark, sf), "qrels"))
 
 
-@query("retrieval_metrics", f"""WITH {BM25_SQL}, {QRELS_SQL}, gold AS (SELECT topic_id, count(*) AS n_gold FROM qrels GROUP BY 1),
-    hit AS (SELECT r.topic_id, rank, grade FROM ranked r JOIN qrels USING (topic_id, id) WHERE rank <= 20),
-    m AS (SELECT topic_id, count(*) FILTER (rank <= 10) AS h10, count(*) AS h20, min(rank) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM hit GROUP BY 1)
-    SELECT topic_id, n_gold, round(coalesce(h10, 0) / n_gold, 6) AS recall_at_10, round(coalesce(h20, 0) / n_gold, 6) AS recall_at_20, round(coalesce(h10, 0) / 10, 6) AS precision_at_10, round(coalesce(1 / first, 0), 6) AS mrr,
-    round(coalesce(dcg, 0) / (SELECT sum(1 / log2(k + 1)) FROM range(1, least(n_gold, 10) + 1) t(k)), 6) AS ndcg_at_10 FROM gold LEFT JOIN m USING (topic_id)""")
+@query("retrieval_metrics", f"WITH {METRICS_SQL} SELECT * FROM metrics")
 def retrieval_metrics(spark, sf):
-    gold = qrels(spark, sf)
-    hits = ranked_documents(spark, sf, 20).join(gold, ["topic_id", "id"])
-    found = hits.groupBy("topic_id").agg(
-        F.count_if(F.col("rank") <= 10).alias("h10"), F.count("*").alias("h20"), F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= 10, 1.0 / F.log2(F.col("rank") + 1.0))).alias("dcg")
-    )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_gold", F.lit(10)).cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / F.log2(k + 1.0))
-    per = gold.groupBy("topic_id").agg(F.count("*").alias("n_gold")).join(found, "topic_id", "left")
-    share = lambda c, by: F.round(F.coalesce(c, F.lit(0)) / by, 6)
-    return per.select(
-        "topic_id", "n_gold", share(F.col("h10"), F.col("n_gold")).alias("recall_at_10"), share(F.col("h20"), F.col("n_gold")).alias("recall_at_20"), share(F.col("h10"), F.lit(10)).alias("precision_at_10"),
-        F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg_at_10"),
+    return _metrics(spark, sf)
+
+
+MEANS = ("pool_recall", "pool_recall_ceiling", "recall_at_10", "recall_at_20", "precision_at_10", "ndcg_at_10", "ndcg_at_10_pool", "mrr", "gradable_share")
+
+
+@query("retrieval_summary", f"WITH {METRICS_SQL} SELECT count(*) AS n_topics, " + ", ".join(f"round(avg({m}), 5) AS mean_{m}" for m in MEANS) + ", round(coalesce(avg(pool_recall / pool_recall_ceiling) FILTER (pool_recall_ceiling > 0), 0), 5) AS mean_recall_vs_ceiling, count(*) FILTER (pool_recall = 0) AS zero_recall FROM metrics")
+def retrieval_summary(spark, sf):
+    """Means of the metrics over topics, topics whose pool holds no gold, and recall as a share of what the gradable slots allow."""
+    ratio = F.avg(F.when(F.col("pool_recall_ceiling") > 0, F.col("pool_recall") / F.col("pool_recall_ceiling")))
+    return _metrics(spark, sf).agg(
+        F.count("*").alias("n_topics"), *(F.round(F.avg(m), 5).alias(f"mean_{m}") for m in MEANS), F.round(F.coalesce(ratio, F.lit(0.0)), 5).alias("mean_recall_vs_ceiling"), F.count_if(F.col("pool_recall") == 0).alias("zero_recall")
     )
 
 
+@query("seedable_papers", f"""WITH {EVIDENCE} SELECT ev_id, coalesce('PMID:' || nullif(regexp_extract(lower(url), '(?:pubmed\\.ncbi\\.nlm\\.nih\\.gov|/med/)/?(\\d{{4,9}})', 1), ''), 'DOI:' || {DOI_SQL.format('lower(url)')}) AS seed FROM evidence WHERE source_type IN ('pubmed', 'europe_pmc', 'biorxiv') AND seed IS NOT NULL""")
+def seedable_papers(spark, sf):
+    """Records of the three paper providers whose url a citation graph knows."""
+    return evidence(spark, sf).filter(F.col("source_type").isin("pubmed", "europe_pmc", "biorxiv")).select("ev_id", T.paper_id(F.col("url")).alias("seed")).filter("seed is not null")
+
+
 @query("rrf", f"""WITH {EVIDENCE}, h AS (SELECT topic_id, citation_count % 40 AS key, row_number() OVER (PARTITION BY topic_id, source_type ORDER BY citation_count DESC, arrival) - 1 AS rank FROM evidence)
     SELECT topic_id, key, round(sum(1.0 / (60 + rank)), 6) AS rrf FROM h GROUP BY ALL""")
 def rrf(spark, sf):

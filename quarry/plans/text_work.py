@@ -97,40 +97,36 @@ CHUNKS_SQL = rf"""lines AS (SELECT conv_id, turn, unnest(range(0, len(l))) AS li
     chunks AS (SELECT conv_id, turn, line, unnest(range(0, len(c))) AS position, unnest(c) AS chunk FROM (SELECT conv_id, turn, line, list_filter(list_transform(string_split(regexp_replace(text, '{_MARK}', '\1' || chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: trim(regexp_replace(p, '{_MARK}', '', 'g')) <> '') AS c FROM marked))"""
 
 
-@query("citation_chunks", rf"""WITH {CHUNKS_SQL} SELECT conv_id, turn, line, position, chunk, array_to_string(regexp_extract_all(chunk, '\[(\d+)\]', 1), ',') AS cited, len(regexp_extract_all(chunk, '\[\d+\]')) = 0 AND len(list_filter(string_split(chunk, ' '), lambda w: w <> '')) >= 6 AS uncited FROM chunks""")
+@query("citation_chunks", rf"""WITH {CHUNKS_SQL} SELECT conv_id, turn, line, position, chunk, array_to_string(regexp_extract_all(chunk, '\[(\d+)\]', 1), ',') AS cited, len(regexp_extract_all(chunk, '\[\d+\]')) = 0 AND len(list_filter(string_split(translate(chunk, '*_', ''), ' '), lambda w: w <> '')) >= 6 AS uncited FROM chunks""")
 def citation_chunks(spark, sf):
     """Chunks of prose by the citations that end them; an uncited one counts from six words."""
     lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     mark = F.concat(F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("]["), (F.col("line") + 2).cast("string"), F.lit("]. "))
     text = F.when(F.col("line") % 4 == 3, F.col("text")).otherwise(F.replace("text", F.lit(". "), mark))
     chunks = lines.select("conv_id", "turn", F.col("line").cast("long").alias("line"), F.posexplode(T.citation_chunks(text)).alias("position", "chunk"))
-    words = F.size(F.filter(F.split("chunk", " "), lambda w: w != ""))
+    words = F.size(F.filter(F.split(F.translate("chunk", "*_", ""), " "), lambda w: w != ""))
     cited = T.cited(F.col("chunk"))
     return chunks.select("conv_id", "turn", "line", F.col("position").cast("long").alias("position"), "chunk", F.array_join(cited.cast("array<string>"), ",").alias("cited"), ((F.size(cited) == 0) & (words >= 6)).alias("uncited"))
 
 
 _FOLD = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
 
+#: Letters that a made-up quote has in upper case: engines fold the others differently.
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
 
-QUOTES_SQL = f"""WITH q AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN upper(substr(text, 10, 60)) WHEN 1 THEN replace(substr(text, 5, 80), ' ', '  ') WHEN 2 THEN 'not there at all' ELSE '' END AS quote FROM documents WHERE lang = 'en')
+QUOTES_SQL = f"""WITH q AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN translate(substr(text, 10, 60), '{_SMALL}', '{_SMALL.upper()}') WHEN 1 THEN replace(substr(text, 5, 80), ' ', '  ') WHEN 2 THEN 'not there at all' ELSE '' END AS quote FROM documents)
     SELECT doc_id, {_FOLD.format('quote')} <> '' AND contains({_FOLD.format('text')}, {_FOLD.format('quote')}) AS grounded FROM q"""
 
 
 def _quotes(docs):
     k = F.col("doc_id")
-    quote = F.when(k % 4 == 0, F.upper(F.substring("text", 10, 60))).when(k % 4 == 1, F.replace(F.substring("text", 5, 80), F.lit(" "), F.lit("  "))).when(k % 4 == 2, "not there at all").otherwise("")
+    quote = F.when(k % 4 == 0, F.translate(F.substring("text", 10, 60), _SMALL, _SMALL.upper())).when(k % 4 == 1, F.replace(F.substring("text", 5, 80), F.lit(" "), F.lit("  "))).when(k % 4 == 2, "not there at all").otherwise("")
     return docs.select("doc_id", T.quote_grounded(F.col("text"), quote).alias("grounded"))
 
 
+@query("quote_grounding_all", QUOTES_SQL)
 @query("quote_grounding", QUOTES_SQL)
 def quote_grounding(spark, sf):
-    """English rows only, as its SQL has it; ``quote_grounding_all`` has all."""
-    return _quotes(table(spark, sf, "documents").filter("lang = 'en'"))
-
-
-@query("quote_grounding_all")
-def quote_grounding_all(spark, sf):
-    """Every document, whatever its language. No SQL: case folding of other letters may differ there."""
     return _quotes(table(spark, sf, "documents"))
 
 
@@ -227,6 +223,15 @@ def stratified_sample(spark, sf):
     return top_per_group(once, ["lang"], [F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id"], 30, "r").select("doc_id", "lang")
 
 
+@query("disjoint_resample", """WITH once AS (SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY lang, text), used AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS r FROM once) WHERE r <= 30)
+    SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('8:' || doc_id), doc_id) AS r FROM once WHERE doc_id NOT IN (SELECT doc_id FROM used)) WHERE r <= 30""")
+def disjoint_resample(spark, sf):
+    """Another thirty of each stratum, by another seed, of which none is in ``stratified_sample``."""
+    once = table(spark, sf, "documents").groupBy("lang", F.sha2("text", 256).alias("body")).agg(F.min("doc_id").alias("doc_id"))
+    rest = once.join(stratified_sample(spark, sf).select("doc_id"), "doc_id", "left_anti")
+    return top_per_group(rest, ["lang"], [F.md5(F.concat(F.lit("8:"), F.col("doc_id").cast("string"))), "doc_id"], 30, "r").select("doc_id", "lang")
+
+
 @query("token_overlap", f"""WITH {EVIDENCE}, t AS (SELECT ev_id, list_distinct(list_transform({tokens_sql('title')}, lambda w: regexp_replace(w, 's$', ''))) AS a, list_distinct(list_transform({tokens_sql('snippet')}, lambda w: regexp_replace(w, 's$', ''))) AS b FROM evidence), o AS (SELECT ev_id, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS n FROM t)
     SELECT ev_id, round(CASE WHEN na = 0 THEN NULL ELSE n / na END, 6) AS precision, round(CASE WHEN nb = 0 THEN NULL ELSE n / nb END, 6) AS recall, n > 0 AS hit FROM o""")
 def token_overlap(spark, sf):
@@ -236,7 +241,7 @@ def token_overlap(spark, sf):
     return o.select("ev_id", F.round(F.try_divide("n", F.size("a")), 6).alias("precision"), F.round(F.try_divide("n", F.size("b")), 6).alias("recall"), (F.col("n") > 0).alias("hit"))
 
 
-SPANS_SQL = """WITH w AS (SELECT doc_id, unnest(range(0, len(w))) AS position, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE doc_id % 90 < 9)), m AS (SELECT *, length(word) >= 5 AS mark FROM w),
+SPANS_SQL = """WITH w AS (SELECT doc_id, unnest(range(0, len(w))) AS position, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)), m AS (SELECT *, length(word) >= 5 AS mark FROM w),
     g AS (SELECT *, position - row_number() OVER (PARTITION BY doc_id ORDER BY position) AS island FROM m WHERE mark) SELECT doc_id, min(position) AS start, string_agg(word, ' ' ORDER BY position) AS span FROM g GROUP BY doc_id, island"""
 
 
@@ -250,14 +255,9 @@ def spans(docs):
     return runs.select("doc_id", F.col("w")[0]["position"].cast("long").alias("start"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("span"))
 
 
+@query("label_spans_all", SPANS_SQL)
 @query("label_spans", SPANS_SQL)
 def label_spans(spark, sf):
-    """The first tenth of every pool only, as its SQL has it; ``label_spans_all`` has all."""
-    return spans(table(spark, sf, "documents").filter("doc_id % 90 < 9"))
-
-
-@query("label_spans_all", SPANS_SQL.replace(" WHERE doc_id % 90 < 9", ""))
-def label_spans_all(spark, sf):
     return spans(table(spark, sf, "documents"))
 
 

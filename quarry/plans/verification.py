@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,29 +50,29 @@ def overview_flags(spark, sf):
     return per.select("claim", F.when(uncited, F.when(words >= 6, "uncited").otherwise("")).when(F.col("against"), "contradicted").when(F.col("nothing"), "unsupported").otherwise("").alias("flag"))
 
 
-CLAIMS_SQL = f"""{EVIDENCE}, claims AS (SELECT topic_id, ev_id % 9 AS claim_index, [CAST(ev_id % 13 AS INTEGER), CAST(ev_id % 13 AS INTEGER), CAST(ev_id % 5 AS INTEGER), 99, -1] AS source_indices, CASE ev_id % 4 WHEN 0 THEN 'strong' WHEN 1 THEN 'moderate' WHEN 2 THEN 'weak' ELSE 'huge' END AS strength, ev_id FROM evidence WHERE ev_id % 90 < 9),
-    articles AS (SELECT topic_id, CAST(ev_id % 90 AS INTEGER) AS position, ev_id AS source_id, CASE WHEN citation_count % 3 = 0 THEN 'direct' ELSE 'indirect' END AS directness FROM evidence WHERE ev_id % 90 < 12)"""
+CLAIMS_SQL = f"""{EVIDENCE}, placed AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY arrival) - 1 AS place FROM evidence),
+    claims AS (SELECT topic_id, place AS claim_index, [CAST(ev_id % 13 AS INTEGER), CAST(ev_id % 13 AS INTEGER), CAST(ev_id % 5 AS INTEGER), 99, -1] AS source_indices, CASE ev_id % 4 WHEN 0 THEN 'strong' WHEN 1 THEN 'moderate' WHEN 2 THEN 'weak' ELSE 'huge' END AS strength, ev_id FROM placed),
+    articles AS (SELECT topic_id, CAST(place AS INTEGER) AS position, ev_id AS source_id, CASE WHEN citation_count % 3 = 0 THEN 'direct' ELSE 'indirect' END AS directness FROM placed)"""
 
 
-def _claims(spark, sf, every: bool = False):
-    """Claims and articles of the first rows of each topic, as CLAIMS_SQL has them, or of ``every`` row, numbered by arrival."""
+def _claims(spark, sf):
+    """A claim and an article of every record, numbered by arrival within its topic."""
     k = F.col("ev_id")
     idx = F.array((k % 13).cast("int"), (k % 13).cast("int"), (k % 5).cast("int"), F.lit(99), F.lit(-1))
     strength = F.when(k % 4 == 0, "strong").when(k % 4 == 1, "moderate").when(k % 4 == 2, "weak").otherwise("huge")
-    place = F.row_number().over(Window.partitionBy("topic_id").orderBy("arrival")) - 1
-    rows = evidence(spark, sf).withColumn("place", place) if every else evidence(spark, sf)
-    claims = (rows if every else rows.filter("ev_id % 90 < 9")).select("topic_id", (F.col("place").cast("long") if every else k % 9).alias("claim_index"), idx.alias("source_indices"), strength.alias("strength"), "ev_id")
+    rows = evidence(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("topic_id").orderBy("arrival")) - 1)
+    claims = rows.select("topic_id", F.col("place").cast("long").alias("claim_index"), idx.alias("source_indices"), strength.alias("strength"), "ev_id")
     directness = F.when(F.col("citation_count") % 3 == 0, "direct").otherwise("indirect")
-    articles = (rows if every else rows.filter("ev_id % 90 < 12")).select(F.col("topic_id").alias("t"), (F.col("place") if every else k % 90).cast("int").alias("position"), k.alias("source_id"), directness.alias("directness"))
-    return claims, articles
+    return claims, rows.select(F.col("topic_id").alias("t"), F.col("place").cast("int").alias("position"), k.alias("source_id"), directness.alias("directness"))
 
 
 PAIRS_SQL = f"WITH {CLAIMS_SQL}, p AS (SELECT DISTINCT topic_id, claim_index, unnest(source_indices) AS position FROM claims) SELECT topic_id, claim_index, position, source_id, directness FROM p JOIN articles USING (topic_id, position)"
 
 
+@query("claim_source_pairs_all", PAIRS_SQL)
 @query("claim_source_pairs", PAIRS_SQL)
-def claim_source_pairs(spark, sf, every: bool = False):
-    claims, articles = _claims(spark, sf, every)
+def claim_source_pairs(spark, sf):
+    claims, articles = _claims(spark, sf)
     pairs = claims.select("topic_id", "claim_index", F.explode(F.array_distinct("source_indices")).alias("p"))
     return pairs.join(articles, (F.col("topic_id") == F.col("t")) & (F.col("p") == F.col("position"))).select("topic_id", "claim_index", "position", "source_id", "directness")
 
@@ -80,10 +81,11 @@ VALID_SQL = f"""WITH {CLAIMS_SQL}, p AS (SELECT topic_id, claim_index, strength,
     SELECT topic_id, claim_index, string_agg(position::VARCHAR, ',' ORDER BY position) AS sources, CASE WHEN NOT bool_or(directness = 'direct') THEN 'weak' WHEN strength IN ('strong', 'moderate', 'weak') THEN strength ELSE 'moderate' END AS strength, count(*) >= 2 AS can_disagree FROM p GROUP BY topic_id, claim_index, strength"""
 
 
+@query("validate_claims_all", VALID_SQL)
 @query("validate_claims", VALID_SQL)
-def validate_claims(spark, sf, every: bool = False):
+def validate_claims(spark, sf):
     """Claims with their valid, distinct sources; strength defaults to moderate and is weak without a direct source. A claim without a valid source goes."""
-    claims, articles = _claims(spark, sf, every)
+    claims, articles = _claims(spark, sf)
     pairs = claims.select("topic_id", "claim_index", "strength", F.explode(F.array_distinct("source_indices")).alias("p"))
     met = pairs.join(articles, (F.col("topic_id") == F.col("t")) & (F.col("p") == F.col("position")))
     per = met.groupBy("topic_id", "claim_index", "strength").agg(F.sort_array(F.collect_set("position")).alias("s"), F.bool_or(F.col("directness") == "direct").alias("direct"))
@@ -91,23 +93,6 @@ def validate_claims(spark, sf, every: bool = False):
     return per.select("topic_id", "claim_index", F.array_join(F.col("s").cast("array<string>"), ",").alias("sources"), F.when(~F.col("direct"), "weak").otherwise(known).alias("strength"), (F.size("s") >= 2).alias("can_disagree"))
 
 
-#: CLAIMS_SQL over every row, numbered by arrival within the topic.
-ALL_CLAIMS_SQL = (
-    CLAIMS_SQL.replace(" FROM evidence WHERE ev_id % 90 < 9)", " FROM placed)").replace(" FROM evidence WHERE ev_id % 90 < 12)", " FROM placed)").replace("ev_id % 9 AS claim_index", "place AS claim_index").replace("CAST(ev_id % 90 AS INTEGER) AS position", "CAST(place AS INTEGER) AS position")
-    .replace(", claims AS (", ", placed AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY arrival) - 1 AS place FROM evidence), claims AS (")
-)
-
-
-@query("claim_source_pairs_all", PAIRS_SQL.replace(CLAIMS_SQL, ALL_CLAIMS_SQL))
-def claim_source_pairs_all(spark, sf):
-    return claim_source_pairs(spark, sf, every=True)
-
-
-@query("validate_claims_all", VALID_SQL.replace(CLAIMS_SQL, ALL_CLAIMS_SQL))
-def validate_claims_all(spark, sf):
-    return validate_claims(spark, sf, every=True)
-
-
 @query("evidence_flags", f"WITH {SIGNALS} SELECT topic_id, count(*) FILTER (relevance > 0.65) AS n_passed, NOT bool_or(relevance > 0.65) AS low_evidence, NOT bool_or(relevance > 0.65 AND citation_count % 50 = 0) AS no_direct FROM signals GROUP BY topic_id")
 def evidence_flags(spark, sf):
     """Topics where no article passes the strict gate of 0.65, or none of those is direct."""
@@ -125,7 +110,7 @@ def collapse_direction(spark, sf):
     return d.select("doc_id", F.when(F.endswith("direction", F.lit("supports")), "SUPPORT").when(F.endswith("direction", F.lit("contradicts")), "CONTRADICT").otherwise("NOINFO").alias("label"))
 
 
-@query("evidence_block", f"""WITH {EVIDENCE} SELECT topic_id, string_agg('[' || (ev_id % 90) || '] ' || title || ' (' || source_type || ')', chr(10) ORDER BY arrival) AS block FROM evidence WHERE ev_id % 90 < 8 GROUP BY topic_id""")
+@query("evidence_block", f"""WITH {EVIDENCE} SELECT topic_id, string_agg('[' || place || '] ' || title || ' (' || source_type || ')', chr(10) ORDER BY arrival) AS block FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY arrival) - 1 AS place FROM evidence) WHERE place < 8 GROUP BY topic_id""")
 def evidence_block(spark, sf):
     """The prompt lines of a topic's first eight sources, in order."""
     line = F.concat(F.lit("["), (F.col("place") - 1).cast("string"), F.lit("] "), "title", F.lit(" ("), "source_type", F.lit(")"))
@@ -172,6 +157,63 @@ def stance_report(spark, sf):
     return per.select("*", share(F.col("n_both"), F.col("n_pred")).alias("precision"), share(F.col("n_both"), F.col("n_gold")).alias("recall"), share(2 * F.col("n_both"), F.col("n_gold") + F.col("n_pred")).alias("f1"))
 
 
+#: Fixed value: mass from which a verdict below the flag's bar counts as doubtful.
+DOUBT_FLOOR = 0.4
+
+
+#: Three findings of each labelled document, in order; what the document is labelled; how relevant it was judged.
+FINDINGS_SQL = f"""findings AS (SELECT doc_id, position, {list(DIRECTIONS)}[1 + (doc_id * 7 + position * 5) % 6] AS direction FROM labels, (SELECT unnest([0, 1, 2]) AS position)),
+    firsts AS (SELECT doc_id, coalesce(arg_min(direction, position) FILTER (direction <> 'no_evidence'), 'no_evidence') AS direction FROM findings GROUP BY doc_id)"""
+
+
+def first_directions(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """The first finding of each document that decides anything, else no_evidence: ``keys``, direction."""
+    first = F.min_by(F.when(F.col("direction") != "no_evidence", F.col("direction")), F.when(F.col("direction") != "no_evidence", F.col("position")))
+    return findings.groupBy(*keys).agg(F.coalesce(first, F.lit("no_evidence")).alias("direction"))
+
+
+def _firsts(spark, sf):
+    rows = table(spark, sf, "labels").select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("position"))
+    at = (1 + (F.col("doc_id") * 7 + F.col("position") * 5) % 6).cast("int")
+    return first_directions(rows.withColumn("direction", F.element_at(F.array(*map(F.lit, DIRECTIONS)), at)), ["doc_id"])
+
+
+@query("first_decisive", f"WITH {FINDINGS_SQL} SELECT doc_id, direction FROM firsts")
+def first_decisive(spark, sf):
+    return _firsts(spark, sf)
+
+
+#: Fixed value: relevance up to which a document doesn't pass to the synthesis.
+GATE = 0.65
+GOLD = ("SUPPORT", "CONTRADICT", "NOINFO")
+_F1 = ", ".join(f"coalesce(2 * count(*) FILTER (gold = '{g}' AND pred = '{g}') / nullif(count(*) FILTER (gold = '{g}') + count(*) FILTER (pred = '{g}'), 0), 0)" for g in GOLD)
+
+
+@query("stance_summary", f"""WITH {FINDINGS_SQL}, p AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'CONTRADICT' WHEN doc_id % 5 = 0 THEN 'NOINFO' ELSE 'SUPPORT' END AS gold, direction, doc_id % 4 <> 0 AS found, ((doc_id * 29) % 107) / 106.0::DOUBLE AS relevance,
+    CASE WHEN direction LIKE '%supports' THEN 'SUPPORT' WHEN direction LIKE '%contradicts' THEN 'CONTRADICT' ELSE 'NOINFO' END AS pred FROM labels JOIN firsts USING (doc_id)), h AS (SELECT *, gold = 'NOINFO' AND found AND direction <> 'no_evidence' AND relevance > {GATE} AS told FROM p)
+    SELECT count(*) AS n_pairs, round(count(*) FILTER (gold = pred) / count(*), 6) AS accuracy, round(list_sum([{_F1}]) / 3, 6) AS macro_f1, round(count(*) FILTER (gold = 'CONTRADICT' AND pred = gold) / nullif(count(*) FILTER (gold = 'CONTRADICT'), 0), 6) AS contradict_recall,
+    round(count(*) FILTER (direction = 'mixed') / count(*), 6) AS mixed_rate, count(*) FILTER (told) AS n_hallucinated, round(count(*) FILTER (told) / nullif(count(*) FILTER (gold = 'NOINFO'), 0), 6) AS hallucinated_rate,
+    round(count(*) FILTER (told AND direction NOT LIKE 'weakly%') / nullif(count(*) FILTER (gold = 'NOINFO'), 0), 6) AS strong_hallucination_rate, round(count(*) FILTER (gold = 'NOINFO' AND relevance <= {GATE}) / nullif(count(*) FILTER (gold = 'NOINFO'), 0), 6) AS below_gate_rate,
+    round(avg(relevance) FILTER (gold = 'SUPPORT'), 6) AS relevance_support, round(avg(relevance) FILTER (gold = 'CONTRADICT'), 6) AS relevance_contradict, round(avg(relevance) FILTER (gold = 'NOINFO'), 6) AS relevance_noinfo FROM h""")
+def stance_summary(spark, sf):
+    """One row over all claim-document pairs: accuracy, macro F1, findings asserted where there is nothing to find, and mean relevance by label."""
+    k = F.col("doc_id")
+    gold = F.when(F.col("toxic") == 1, "CONTRADICT").when(k % 5 == 0, "NOINFO").otherwise("SUPPORT")
+    pred = F.when(F.endswith("direction", F.lit("supports")), "SUPPORT").when(F.endswith("direction", F.lit("contradicts")), "CONTRADICT").otherwise("NOINFO")
+    p = table(spark, sf, "labels").join(_firsts(spark, sf), "doc_id").select("direction", gold.alias("gold"), pred.alias("pred"), (k % 4 != 0).alias("found"), (((k * 29) % 107) / 106.0).alias("relevance"))
+    g, nothing = F.col("gold"), F.col("gold") == "NOINFO"
+    told = nothing & F.col("found") & (F.col("direction") != "no_evidence") & (F.col("relevance") > GATE)
+    share = lambda a, b: F.round(F.try_divide(F.count_if(a), F.count_if(b)), 6)
+    both = lambda c: F.try_divide(2 * F.count_if((g == c) & (F.col("pred") == c)), F.count_if(g == c) + F.count_if(F.col("pred") == c))
+    every = F.lit(True)
+    return p.agg(
+        F.count("*").alias("n_pairs"), share(g == F.col("pred"), every).alias("accuracy"), F.round(sum(F.coalesce(both(c), F.lit(0.0)) for c in GOLD) / 3, 6).alias("macro_f1"),
+        share((g == "CONTRADICT") & (F.col("pred") == g), g == "CONTRADICT").alias("contradict_recall"), share(F.col("direction") == "mixed", every).alias("mixed_rate"),
+        F.count_if(told).alias("n_hallucinated"), share(told, nothing).alias("hallucinated_rate"), share(told & ~F.startswith("direction", F.lit("weakly")), nothing).alias("strong_hallucination_rate"),
+        share(nothing & (F.col("relevance") <= GATE), nothing).alias("below_gate_rate"), *(F.round(F.avg(F.when(g == c, F.col("relevance"))), 6).alias(f"relevance_{c.lower()}") for c in GOLD),
+    )
+
+
 #: Lower ends of the confidence buckets.
 BUCKETS = (0.0, 0.5, 0.7, 0.85, 0.95)
 
@@ -188,11 +230,22 @@ def calibration(spark, sf):
 
 
 @query("rule_precision", f"""WITH {VERDICTS_SQL} SELECT backend, count(*) FILTER (m_against >= CASE backend WHEN 'typed' THEN 0.85 ELSE 0.9 END) AS fired, round(coalesce(count(*) FILTER (m_against >= CASE backend WHEN 'typed' THEN 0.85 ELSE 0.9 END AND gold = 'contradicts')
-    / nullif(count(*) FILTER (m_against >= CASE backend WHEN 'typed' THEN 0.85 ELSE 0.9 END), 0), 0), 6) AS precision, round(count(*) FILTER (gold = 'contradicts') / count(*), 6) AS base FROM masses WHERE relation <> 'error' GROUP BY backend""")
+    / nullif(count(*) FILTER (m_against >= CASE backend WHEN 'typed' THEN 0.85 ELSE 0.9 END), 0), 0), 6) AS precision, round(count(*) FILTER (gold = 'contradicts') / count(*), 6) AS base,
+    count(*) FILTER (m_against >= 0.4 AND m_against < CASE backend WHEN 'typed' THEN 0.85 ELSE 0.9 END) AS doubtful, round(count(*) FILTER (m_against >= 0.4 AND m_against < CASE backend WHEN 'typed' THEN 0.85 ELSE 0.9 END AND gold = 'contradicts') / nullif(count(*) FILTER (m_against >= 0.4 AND m_against < CASE backend WHEN 'typed' THEN 0.85 ELSE 0.9 END), 0), 6) AS doubt_share,
+    count(*) FILTER (relation = 'supports') AS n_argmax, round(count(*) FILTER (relation = 'supports' AND gold = 'supports') / nullif(count(*) FILTER (relation = 'supports'), 0), 6) AS argmax_precision FROM masses WHERE relation <> 'error' GROUP BY backend""")
 def rule_precision(spark, sf):
+    """By backend: precision of the flag at its bar, the share that is contradicted just below it (null where none is), and precision of the largest mass alone."""
     fired, right = V.mass("contradicts") >= V.bar(F.col("backend"), "contradict"), F.col("gold") == "contradicts"
-    per = verdicts(spark, sf).filter("relation <> 'error'").groupBy("backend").agg(F.count_if(fired).alias("fired"), F.count_if(fired & right).alias("hit"), F.count_if(right).alias("gold"), F.count("*").alias("n"))
-    return per.select("backend", "fired", F.round(F.coalesce(F.try_divide("hit", "fired"), F.lit(0.0)), 6).alias("precision"), F.round(F.col("gold") / F.col("n"), 6).alias("base"))
+    doubt, pro = (V.mass("contradicts") >= DOUBT_FLOOR) & ~fired, F.col("relation") == "supports"
+    per = verdicts(spark, sf).filter("relation <> 'error'").groupBy("backend").agg(
+        F.count_if(fired).alias("fired"), F.count_if(fired & right).alias("hit"), F.count_if(right).alias("gold"), F.count("*").alias("n"),
+        F.count_if(doubt).alias("doubtful"), F.count_if(doubt & right).alias("doubt_hit"), F.count_if(pro).alias("n_argmax"), F.count_if(pro & (F.col("gold") == "supports")).alias("argmax_hit"),
+    )
+    share = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return per.select(
+        "backend", "fired", F.coalesce(share("hit", "fired"), F.lit(0.0)).alias("precision"), share("gold", "n").alias("base"),
+        "doubtful", share("doubt_hit", "doubtful").alias("doubt_share"), "n_argmax", share("argmax_hit", "n_argmax").alias("argmax_precision"),
+    )
 
 
 @query("ordinal_stance", f"""WITH {VERDICTS_SQL}, s AS (SELECT gold, confidence * 4 AS raw FROM verdicts), r AS (SELECT gold, raw, CASE WHEN abs(raw - floor(raw) - 0.5) < 1e-9 THEN 2 * round(raw / 2) ELSE round(raw) END AS step FROM s)
