@@ -35,7 +35,7 @@ def learn_dictionaries(
     short = F.octet_length("body") <= row_bytes
     picked = bounded_sample(rows.filter(short), rows_per_lang, draw, "lang").collect()
     parts: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r.lang, r.row_id, r.body)):
+    for r in sorted(picked, key=lambda r: (r.lang, r.row_id or "", r.body)):
         parts.setdefault(r.lang, []).append(r.body.lower().encode())
     other = rows.filter(~short).filter(~F.col("lang").isin(list(parts)))
     for r in other.groupBy("lang").agg(F.min_by("body", F.struct(F.octet_length("body"), draw)).alias("body")).collect():
