@@ -144,13 +144,13 @@ GUIDELINE_PRIORITY = ("recommendation", "evidence to decision", "rationale", "im
 SKIPPED_SECTIONS = ("reference", "bibliography", "acknowledg", "conflict of interest", "funding", "author contribution", "supplementary", "data availability")
 
 
-def section_priority(name: Column, order: tuple[str, ...] = BIOMED_PRIORITY) -> Column:
+def section_priority(name: Column, order: tuple[str, ...] = BIOMED_PRIORITY, skipped: tuple[str, ...] = SKIPPED_SECTIONS) -> Column:
     """Place of the first word of ``order`` that a heading holds, the length of ``order`` for none, null for a section to skip."""
     low, rank = F.lower(F.coalesce(name, F.lit(""))), F.lit(len(order))
     for k, word in reversed(list(enumerate(order))):
         rank = F.when(F.contains(low, F.lit(word)), k).otherwise(rank)
     skip = F.lit(False)
-    for word in SKIPPED_SECTIONS:
+    for word in skipped:
         skip = skip | F.contains(low, F.lit(word))
     return F.when(~skip, rank)
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.operators.retrieve import top_per_group
+from quarry.operators.sections import density, trim_sections
 from quarry.plans.registry import query
 from quarry.plans.retrieval import tokens_sql
 from quarry.sources.tables import EVIDENCE, evidence, table
@@ -91,6 +92,41 @@ def fair_share_trim(spark, sf, budget: int = 600):
     return w.withColumn("granted", granted.cast("long")).filter("granted > 0").select("page_id", "position", "granted")
 
 
+#: Sections of an encyclopaedia that never count.
+WIKI_SKIPPED = ("voci correlate", "see also", "note", "references", "bibliography", "bibliografia", "collegamenti esterni", "external links", "altri progetti")
+
+_HEADED = f"""headed AS (SELECT page_id, position, CASE WHEN starts_with(section, '## ') THEN '## ' || {list(HEADINGS)}[1 + (page_id + position) % 6] || substr(section, 3) ELSE section END AS section FROM sections)"""
+
+
+def _trim_sql(budget: int, words: tuple[str, ...], rank: str) -> str:
+    skipped = " OR ".join(f"contains(low, '{w}')" for w in words)
+    return rf"""WITH {SECTIONS_SQL}, {_HEADED}, named AS (SELECT *, length(section) AS n, lower(trim(regexp_extract(section, '^##[ \t]+([^\n]+)', 1))) AS low, sum(length(section)) OVER (PARTITION BY page_id) AS total FROM headed),
+    kept AS (SELECT *, position > 0 AS rest, {rank} AS rank, {budget} // count(*) OVER (PARTITION BY page_id) AS share FROM named WHERE position = 0 OR NOT ({skipped})),
+    w AS (SELECT *, least(n, share) AS base, greatest(0, n - share) AS want, {budget} - sum(least(n, share)) OVER (PARTITION BY page_id) AS slack FROM kept),
+    g AS (SELECT *, base + greatest(0, least(want, slack - coalesce(sum(want) OVER (PARTITION BY page_id ORDER BY rest, rank, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS granted FROM w),
+    cut AS (SELECT page_id, string_agg(substr(section, 1, granted::BIGINT), '' ORDER BY rest, rank, position) AS text FROM g GROUP BY page_id), whole AS (SELECT page_id, string_agg(section, '' ORDER BY position) AS text, any_value(total) AS total FROM named GROUP BY page_id)
+    SELECT page_id, coalesce(CASE WHEN whole.total <= {budget} THEN whole.text ELSE cut.text END, '') AS text FROM page_text LEFT JOIN whole USING (page_id) LEFT JOIN cut USING (page_id)"""
+
+
+def _headed(spark, sf):
+    """Pages whose headings say what kind of section follows."""
+    kind = lambda k: F.element_at(F.array(*map(F.lit, HEADINGS)), (1 + (F.col("page_id") + k) % 6).cast("int"))
+    renamed = F.transform(T.sections(F.col("text")), lambda s, k: F.when(F.startswith(s, F.lit("## ")), F.concat(F.lit("## "), kind(k), F.substring(s, F.lit(3), F.length(s)))).otherwise(s))
+    return page_text(spark, sf).select("page_id", F.array_join(renamed, "").alias("text"))
+
+
+@query("trim_sections", _trim_sql(600, T.SKIPPED_SECTIONS, "CASE " + " ".join(f"WHEN contains(low, '{w}') THEN {k}" for k, w in enumerate(T.BIOMED_PRIORITY)) + f" ELSE {len(T.BIOMED_PRIORITY)} END"))
+def trimmed_by_priority(spark, sf):
+    """Pages cut to 600 characters by the priority of their sections."""
+    return trim_sections(_headed(spark, sf), "text", 600)
+
+
+@query("trim_by_density", _trim_sql(900, WIKI_SKIPPED, "-(len(regexp_extract_all(section, '[0-9]+')) * 0.5 + len(regexp_extract_all(section, '[0-9]{4}')) * 1.5 + least(n / 500, 3.0) + CASE WHEN n > 200 THEN 1.0 ELSE 0.3 END)::DOUBLE"))
+def trimmed_by_density(spark, sf):
+    """Pages cut to 900 characters by how many numbers, years and characters a section has."""
+    return trim_sections(_headed(spark, sf), "text", 900, skip=WIKI_SKIPPED, score=density)
+
+
 _MARK = r"((?:\[\d+\]\s*)+[.,;:!?]?)"
 CHUNKS_SQL = rf"""lines AS (SELECT conv_id, turn, unnest(range(0, len(l))) AS line, unnest(l) AS text FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)),
     marked AS (SELECT conv_id, turn, line, CASE WHEN line % 4 = 3 THEN text ELSE replace(text, '. ', ' [' || (turn + 1) || '][' || (line + 2) || ']. ') END AS text FROM lines),
