@@ -133,16 +133,20 @@ CHUNKS_SQL = rf"""lines AS (SELECT conv_id, turn, unnest(range(0, len(l))) AS li
     chunks AS (SELECT conv_id, turn, line, unnest(range(0, len(c))) AS position, unnest(c) AS chunk FROM (SELECT conv_id, turn, line, list_filter(list_transform(string_split(regexp_replace(text, '{_MARK}', '\1' || chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: trim(regexp_replace(p, '{_MARK}', '', 'g')) <> '') AS c FROM marked))"""
 
 
-@query("citation_chunks", rf"""WITH {CHUNKS_SQL} SELECT conv_id, turn, line, position, chunk, array_to_string(regexp_extract_all(chunk, '\[(\d+)\]', 1), ',') AS cited, len(regexp_extract_all(chunk, '\[\d+\]')) = 0 AND len(list_filter(string_split(translate(chunk, '*_', ''), ' '), lambda w: w <> '')) >= 6 AS uncited FROM chunks""")
-def citation_chunks(spark, sf):
-    """Chunks of prose by the citations that end them; an uncited one counts from six words."""
+def chunks_of_turns(spark, sf):
+    """conv_id, turn, line, position, chunk, the numbers that it cites (marks), and its words without emphasis marks."""
     lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     mark = F.concat(F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("]["), (F.col("line") + 2).cast("string"), F.lit("]. "))
     text = F.when(F.col("line") % 4 == 3, F.col("text")).otherwise(F.replace("text", F.lit(". "), mark))
     chunks = lines.select("conv_id", "turn", F.col("line").cast("long").alias("line"), F.posexplode(T.citation_chunks(text)).alias("position", "chunk"))
     words = F.size(F.filter(F.split(F.translate("chunk", "*_", ""), " "), lambda w: w != ""))
-    cited = T.cited(F.col("chunk"))
-    return chunks.select("conv_id", "turn", "line", F.col("position").cast("long").alias("position"), "chunk", F.array_join(cited.cast("array<string>"), ",").alias("cited"), ((F.size(cited) == 0) & (words >= 6)).alias("uncited"))
+    return chunks.select("conv_id", "turn", "line", F.col("position").cast("long").alias("position"), "chunk", T.cited(F.col("chunk")).alias("marks"), words.alias("words"))
+
+
+@query("citation_chunks", rf"""WITH {CHUNKS_SQL} SELECT conv_id, turn, line, position, chunk, array_to_string(regexp_extract_all(chunk, '\[(\d+)\]', 1), ',') AS cited, len(regexp_extract_all(chunk, '\[\d+\]')) = 0 AND len(list_filter(string_split(translate(chunk, '*_', ''), ' '), lambda w: w <> '')) >= 6 AS uncited FROM chunks""")
+def citation_chunks(spark, sf):
+    """Chunks of prose by the citations that end them; an uncited one counts from six words."""
+    return chunks_of_turns(spark, sf).select("conv_id", "turn", "line", "position", "chunk", F.array_join(F.col("marks").cast("array<string>"), ",").alias("cited"), ((F.size("marks") == 0) & (F.col("words") >= 6)).alias("uncited"))
 
 
 _FOLD = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
@@ -268,13 +272,47 @@ def disjoint_resample(spark, sf):
     return top_per_group(rest, ["lang"], [F.md5(F.concat(F.lit("8:"), F.col("doc_id").cast("string"))), "doc_id"], 30, "r").select("doc_id", "lang")
 
 
-@query("token_overlap", f"""WITH {EVIDENCE}, t AS (SELECT ev_id, list_distinct(list_transform({tokens_sql('title')}, lambda w: regexp_replace(w, 's$', ''))) AS a, list_distinct(list_transform({tokens_sql('snippet')}, lambda w: regexp_replace(w, 's$', ''))) AS b FROM evidence), o AS (SELECT ev_id, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS n FROM t)
-    SELECT ev_id, round(CASE WHEN na = 0 THEN NULL ELSE n / na END, 6) AS precision, round(CASE WHEN nb = 0 THEN NULL ELSE n / nb END, 6) AS recall, n > 0 AS hit FROM o""")
+#: Words that don't count when a predicted element is held against gold.
+OVERLAP_STOPWORDS = tuple("a an and are as at be been by for from had has have in into is it its of on or that the their this to was were with which who whom".split())
+
+
+def overlap_tokens(text):
+    """Distinct words of two letters or more, plurals folded: ``ies`` to ``y`` in words of over four letters, a last ``s`` off in words of over three."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: (F.length(w) > 1) & ~w.isin(*OVERLAP_STOPWORDS))
+    one = lambda w: F.when((F.length(w) > 4) & F.endswith(w, F.lit("ies")), F.regexp_replace(w, "ies$", "y")).when((F.length(w) > 3) & F.endswith(w, F.lit("s")), F.regexp_replace(w, "s$", "")).otherwise(w)
+    return F.array_distinct(F.transform(words, one))
+
+
+def _overlap_sql(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in OVERLAP_STOPWORDS)
+    return f"""list_distinct(list_transform(list_filter(string_split(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains([{stop}], w)),
+        lambda w: CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN regexp_replace(w, 'ies$', 'y') WHEN length(w) > 3 AND ends_with(w, 's') THEN regexp_replace(w, 's$', '') ELSE w END))"""
+
+
+OVERLAP_SQL = f"""{EVIDENCE}, t AS (SELECT ev_id, source_type, {_overlap_sql('title')} AS a, {_overlap_sql("substr(snippet, 40)")} AS b FROM evidence), o AS (SELECT ev_id, source_type, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS n FROM t),
+    overlap AS (SELECT ev_id, source_type, na = 0 AS empty, nb AS n_gold, n > 0 AS hit, CASE WHEN na > 0 THEN n / na END AS precision, CASE WHEN nb > 0 THEN n / nb END AS recall, CASE WHEN n > 0 THEN 2 * (n / na) * (n / nb) / (n / na + n / nb) ELSE 0.0 END AS f1 FROM o)"""
+
+
+def overlap(spark, sf):
+    """A title as the prediction and the rest of the snippet as gold: ev_id, source_type, empty, n_gold, hit, precision, recall, f1."""
+    rows = evidence(spark, sf).select("ev_id", "source_type", overlap_tokens(F.col("title")).alias("a"), overlap_tokens(F.substring("snippet", 40, 300)).alias("b")).withColumn("n", F.size(F.array_intersect("a", "b")))
+    p, r = F.try_divide("n", F.size("a")), F.try_divide("n", F.size("b"))
+    return rows.select("ev_id", "source_type", (F.size("a") == 0).alias("empty"), F.size("b").alias("n_gold"), (F.col("n") > 0).alias("hit"), p.alias("precision"), r.alias("recall"), F.when(F.col("n") > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
+@query("token_overlap", f"WITH {OVERLAP_SQL} SELECT ev_id, hit, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM overlap")
 def token_overlap(spark, sf):
-    """Precision and recall of one text's stemmed tokens against another's; null where a side is empty."""
-    stem = lambda c: F.array_distinct(F.transform(T.tokenize(F.col(c)), lambda w: F.regexp_replace(w, "s$", "")))
-    o = evidence(spark, sf).select("ev_id", stem("title").alias("a"), stem("snippet").alias("b")).withColumn("n", F.size(F.array_intersect("a", "b")))
-    return o.select("ev_id", F.round(F.try_divide("n", F.size("a")), 6).alias("precision"), F.round(F.try_divide("n", F.size("b")), 6).alias("recall"), (F.col("n") > 0).alias("hit"))
+    """Precision, recall and F1 of one text's folded words against another's; precision and recall are null where their side is empty."""
+    return overlap(spark, sf).select("ev_id", "hit", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("overlap_report", f"""WITH {OVERLAP_SQL} SELECT source_type, count(*) AS n, round(avg(hit::INT), 6) AS hit_rate, round(coalesce(avg(precision), 0), 6) AS precision, round(coalesce(avg(recall), 0), 6) AS recall, round(avg(empty::INT), 6) AS empty_rate, round(avg(n_gold), 6) AS mean_gold
+    FROM overlap GROUP BY source_type""")
+def overlap_report(spark, sf):
+    """Means of a block: precision over what was predicted, recall over what has gold, 0 where there is none."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return overlap(spark, sf).groupBy("source_type").agg(
+        F.count("*").alias("n"), mean(F.col("hit").cast("int")).alias("hit_rate"), mean("precision").alias("precision"), mean("recall").alias("recall"), mean(F.col("empty").cast("int")).alias("empty_rate"), mean("n_gold").alias("mean_gold"))
 
 
 SPANS_SQL = """WITH w AS (SELECT doc_id, unnest(range(0, len(w))) AS position, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)), m AS (SELECT *, length(word) >= 5 AS mark FROM w),

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quarry.operators import verify as V
 from quarry.operators.retrieve import top_per_group
 from quarry.plans.registry import query
+from quarry.plans.text_work import CHUNKS_SQL, chunks_of_turns
 from quarry.sources.tables import EVIDENCE, SIGNALS, evidence, signals, table
 
 RELATIONS = ("supports", "contradicts", "says_nothing")
@@ -50,6 +51,29 @@ def overview_flags(spark, sf):
     return per.select("claim", F.when(uncited, F.when(words >= 6, "uncited").otherwise("")).when(F.col("against"), "contradicted").when(F.col("nothing"), "unsupported").otherwise("").alias("flag"))
 
 
+#: The chunks of a conversation's turns as overviews: [k] cites source k - 1 of the claim with the conversation's number.
+@query("overview_chunks", rf"""WITH {VERDICTS_SQL}, {CHUNKS_SQL}, c AS (SELECT DISTINCT conv_id, turn, line, position, chunk, len(list_filter(string_split(translate(chunk, '*_', ''), ' '), lambda w: w <> '')) AS words, list_transform(regexp_extract_all(chunk, '\[(\d+)\]', 1), lambda d: CAST(d AS INTEGER) - 1) AS idx FROM chunks),
+    p AS (SELECT *, len(list_filter(idx, lambda i: i BETWEEN 0 AND 7)) AS n_valid FROM c), u AS (SELECT DISTINCT conv_id, turn, line, position, chunk, unnest(idx) AS source_index FROM p),
+    v AS (SELECT conv_id, turn, line, position, chunk, bool_or(m_against >= CASE backend WHEN 'typed' THEN 0.6 ELSE 0.9 END) AS against, bool_and(m_nothing >= CASE backend WHEN 'typed' THEN 0.6 ELSE 0.9 END) AS nothing FROM u JOIN masses m ON m.claim = conv_id AND m.source_index = u.source_index WHERE relation <> 'error' GROUP BY ALL)
+    SELECT conv_id, turn, line, position, n_valid, CASE WHEN n_valid = 0 THEN CASE WHEN words >= 6 THEN 'uncited' ELSE '' END WHEN against THEN 'contradicted' WHEN nothing THEN 'unsupported' ELSE '' END AS flag FROM p LEFT JOIN v USING (conv_id, turn, line, position, chunk)""")
+def overview_chunks(spark, sf, n_sources: int = 8):
+    """A flag for each chunk of an overview, from the verdicts of the sources that it cites.
+
+    Citations out of range are dropped. A chunk that cites nothing valid is ``uncited`` from six words on; else it is
+    ``contradicted`` if any verdict is, else ``unsupported`` if all are. Errors don't count, and a chunk without
+    another verdict has no flag. Repeated rows count once.
+    """
+    keys = ["conv_id", "turn", "line", "position", "chunk"]
+    index = F.transform("marks", lambda k: k - 1)
+    chunks = chunks_of_turns(spark, sf).select(*keys, "words", F.filter(index, lambda i: i.between(0, n_sources - 1)).alias("idx")).distinct()
+    cited = chunks.select(*keys, F.col("conv_id").alias("claim"), F.explode(F.array_distinct("idx")).alias("source_index"))
+    hit = lambda r: V.mass(r) >= V.bar(F.col("backend"), "summary")
+    real = verdicts(spark, sf).filter("relation <> 'error'").select("claim", "source_index", hit("contradicts").alias("against"), hit("says_nothing").alias("nothing"))
+    folded = cited.join(real, ["claim", "source_index"]).groupBy(*keys).agg(F.bool_or("against").alias("against"), F.bool_and("nothing").alias("nothing"))
+    flag = F.when(F.size("idx") == 0, F.when(F.col("words") >= 6, "uncited").otherwise("")).when(F.col("against"), "contradicted").when(F.col("nothing"), "unsupported").otherwise("")
+    return chunks.join(folded, keys, "left").select("conv_id", "turn", "line", "position", F.size("idx").cast("long").alias("n_valid"), flag.alias("flag"))
+
+
 CLAIMS_SQL = f"""{EVIDENCE}, placed AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY arrival) - 1 AS place FROM evidence),
     claims AS (SELECT topic_id, place AS claim_index, [CAST(ev_id % 13 AS INTEGER), CAST(ev_id % 13 AS INTEGER), CAST(ev_id % 5 AS INTEGER), 99, -1] AS source_indices, CASE ev_id % 4 WHEN 0 THEN 'strong' WHEN 1 THEN 'moderate' WHEN 2 THEN 'weak' ELSE 'huge' END AS strength, ev_id FROM placed),
     articles AS (SELECT topic_id, CAST(place AS INTEGER) AS position, ev_id AS source_id, CASE WHEN citation_count % 3 = 0 THEN 'direct' ELSE 'indirect' END AS directness FROM placed)"""
@@ -93,6 +117,33 @@ def validate_claims(spark, sf):
     return per.select("topic_id", "claim_index", F.array_join(F.col("s").cast("array<string>"), ",").alias("sources"), F.when(~F.col("direct"), "weak").otherwise(known).alias("strength"), (F.size("s") >= 2).alias("can_disagree"))
 
 
+_CONFLICTS_SQL = """, s AS (SELECT topic_id, claim_index, ev_id, list_sort(list(position)) AS idx FROM (SELECT DISTINCT topic_id, claim_index, ev_id, unnest(source_indices) AS position FROM claims) JOIN articles USING (topic_id, position) GROUP BY ALL),
+    i AS (SELECT ev_id, CASE WHEN ev_id % 7 = 0 THEN '  ' ELSE ' ' || title END AS issue, list_filter(list_transform(string_split(snippet, '. '), lambda x: trim(x, ' ')), lambda x: x <> '') AS said FROM evidence)"""
+
+
+@query("validate_conflicts", f"""WITH {CLAIMS_SQL}{_CONFLICTS_SQL} SELECT topic_id, claim_index, trim(issue, ' ') AS issue, array_to_string(said[1:4], '|') AS positions, array_to_string(idx, ',') AS sources FROM s JOIN i USING (ev_id) WHERE trim(issue, ' ') <> '' AND len(idx) >= 2""")
+def validate_conflicts(spark, sf):
+    """Disagreements that state an issue and have two valid sources or more; their first four positions that aren't blank."""
+    claims, articles = _claims(spark, sf)
+    pairs = claims.select("topic_id", "claim_index", "ev_id", F.explode(F.array_distinct("source_indices")).alias("p"))
+    met = pairs.join(articles, (F.col("topic_id") == F.col("t")) & (F.col("p") == F.col("position")))
+    per = met.groupBy("topic_id", "claim_index", "ev_id").agg(F.sort_array(F.collect_set("position")).alias("idx")).filter(F.size("idx") >= 2)
+    stated = evidence(spark, sf).select("ev_id", F.trim(F.when(F.col("ev_id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "title"))).alias("issue"), first_stated(F.split("snippet", r"\. "), 4).alias("positions"))
+    rows = per.join(stated.filter("issue <> ''"), "ev_id")
+    return rows.select("topic_id", "claim_index", "issue", F.array_join("positions", "|").alias("positions"), F.array_join(F.col("idx").cast("array<string>"), ",").alias("sources"))
+
+
+def first_stated(items, most: int):
+    """The first ``most`` items that aren't blank, trimmed."""
+    return F.slice(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+
+
+@query("evidence_gaps", f"WITH {EVIDENCE} SELECT ev_id, array_to_string(list_filter(list_transform(string_split(content, '. '), lambda x: trim(x, ' ')), lambda x: x <> '')[1:5], '|') AS gaps FROM evidence")
+def evidence_gaps(spark, sf):
+    """The first five gaps of a reading that aren't blank."""
+    return evidence(spark, sf).select("ev_id", F.array_join(first_stated(F.split("content", r"\. "), 5), "|").alias("gaps"))
+
+
 @query("evidence_flags", f"WITH {SIGNALS} SELECT topic_id, count(*) FILTER (relevance > 0.65) AS n_passed, NOT bool_or(relevance > 0.65) AS low_evidence, NOT bool_or(relevance > 0.65 AND citation_count % 50 = 0) AS no_direct FROM signals GROUP BY topic_id")
 def evidence_flags(spark, sf):
     """Topics where no article passes the strict gate of 0.65, or none of those is direct."""
