@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions.text import extract_doi, paper_id, url_key
 from quarry.operators.retrieve import top_per_group
 
 
@@ -112,3 +113,43 @@ def citation_expand(edges: DataFrame, seeds: DataFrame, per_seed: int = 6) -> Da
     met = edges.join(seeds.select(F.col("id").alias("src")), "src", "left_semi").filter("src <> dst").distinct()
     kept = top_per_group(met, ["src", "kind"], ["dst"], per_seed, "n")
     return kept.join(seeds.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "kind", "dst", "n")
+
+
+#: Providers whose records are papers.
+PAPER_PROVIDERS = ("pubmed", "europe_pmc", "biorxiv")
+
+
+def choose_seeds(pool: DataFrame, size: int = 4, floor: float = 0.30) -> DataFrame:
+    """The records of each topic from which citations are followed, with their ``seed_rank``.
+
+    The ``size`` nearest of those with cosine ``floor`` or more; where none has that, the ``size`` nearest. Ties go to
+    the earlier arrival. ``pool``: topic_id, cosine, arrival and what else is to be kept.
+    """
+    near = top_per_group(pool, ["topic_id"], [F.desc("cosine"), "arrival"], size, "seed_rank")
+    best = F.max("cosine").over(Window.partitionBy("topic_id"))
+    return near.withColumn("_best", best).filter((F.col("cosine") >= floor) | (F.col("_best") < floor)).drop("_best")
+
+
+def seedable(url: Column, provider: Column) -> Column:
+    """Whether a record is a paper that a citation graph can know."""
+    return provider.isin(*PAPER_PROVIDERS) & paper_id(url).isNotNull()
+
+
+def expand_seeds(seeds: DataFrame, edges: DataFrame, records: DataFrame, per_seed: int = 6) -> DataFrame:
+    """What a topic gains by following its seeds' citations: topic_id, seed, kind, ev_id, place.
+
+    Only seedable seeds are followed, at most ``per_seed`` records of each seed and kind, in order of id; ``related`` works come from
+    the topic's first seed with a DOI alone. A url that any seed of the topic has, followed or not, or that an earlier find has, isn't
+    taken again. ``seeds``: as ``choose_seeds`` gives them, with ev_id, url, source_type; ``edges``: src, dst, kind_no, kind;
+    ``records``: ev_id, url. Edges are shuffled by their ends, and cut in each partition before they are ranked.
+    """
+    followed = seeds.filter(seedable(F.col("url"), F.col("source_type"))).select("topic_id", F.col("ev_id").alias("src"), "seed_rank", extract_doi(F.col("url")).isNotNull().alias("has_doi"))
+    first = F.min(F.when(F.col("has_doi"), F.col("seed_rank"))).over(Window.partitionBy("topic_id"))
+    followed = followed.withColumn("leads", F.coalesce(F.col("seed_rank") == first, F.lit(False))).drop("has_doi")
+    known = records.select(F.col("ev_id").alias("dst"), url_key(F.col("url")).alias("key")).filter("key <> ''")
+    met = edges.join(followed, "src").filter((F.col("kind") != "related") | F.col("leads")).join(known, "dst")
+    near = top_per_group(met, ["topic_id", "src", "kind"], ["dst"], per_seed, "n")
+    new = near.join(seeds.select("topic_id", url_key(F.col("url")).alias("key")), ["topic_id", "key"], "left_anti")
+    once = top_per_group(new, ["topic_id", "key"], ["seed_rank", "kind_no", "n"], 1, "_first")
+    order = Window.partitionBy("topic_id").orderBy("seed_rank", "kind_no", "n")
+    return once.select("topic_id", F.col("src").alias("seed"), "kind", F.col("dst").alias("ev_id"), F.row_number().over(order).alias("place"))

@@ -11,7 +11,7 @@ from quarry.functions.text import tokenize
 from quarry.operators import rank as R
 from quarry.operators.retrieve import dot, top_per_group
 from quarry.plans.registry import query
-from quarry.plans.retrieval import tokens_sql
+from quarry.plans.retrieval import DOI_SQL, PAPER_SQL, tokens_sql
 from quarry.sources.tables import EVIDENCE, PROVIDERS, SIGNALS, evidence, signals, table
 from quarry.storage import broadcast_if_small
 
@@ -232,6 +232,43 @@ def citation_expand(spark, sf):
     return R.citation_expand(edges(spark, sf), table(spark, sf, "part").filter("p_size % 10 = 0").select(F.col("p_partkey").alias("id")))
 
 
+_SEEDABLE_SQL = f"source_type IN {R.PAPER_PROVIDERS} AND {PAPER_SQL.format('url')} IS NOT NULL"
+
+
+@query("seedable_papers", f"WITH {EVIDENCE} SELECT ev_id, {_SEEDABLE_SQL} AS seedable FROM evidence")
+def seedable_papers(spark, sf):
+    """Papers that a citation graph can know, by provider and url."""
+    return evidence(spark, sf).select("ev_id", R.seedable(F.col("url"), F.col("source_type")).alias("seedable"))
+
+
+SEEDS_SQL = f"""{SIGNALS}, pool AS (SELECT topic_id, ev_id, arrival, cosine * CASE WHEN topic_id % 4 = 3 THEN 0.2 ELSE 1 END AS cosine FROM signals),
+    near AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY cosine DESC, arrival) AS seed_rank, max(cosine) OVER (PARTITION BY topic_id) AS best FROM pool),
+    seeds AS (SELECT topic_id, ev_id, seed_rank, url, source_type FROM near JOIN evidence USING (topic_id, ev_id) WHERE seed_rank <= 4 AND (cosine >= 0.3 OR best < 0.3))"""
+
+#: Kinds of edges, in the order in which their finds count.
+EDGE_KINDS = ("recommendations", "references", "citations", "related")
+CITED_SQL = f"""{SEEDS_SQL}, {EDGES_SQL}, pairs AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), kinds AS (SELECT src, dst, kind FROM edges WHERE src <> dst UNION ALL SELECT src, dst, 'recommendations' FROM pairs WHERE (src + dst) % 5 = 0 UNION ALL SELECT src, dst, 'related' FROM pairs WHERE (src + dst) % 3 = 0),
+    followed AS (SELECT topic_id, ev_id AS src, seed_rank, {DOI_SQL.format('url')} IS NOT NULL AS has_doi FROM seeds WHERE {_SEEDABLE_SQL}),
+    lead AS (SELECT topic_id, min(seed_rank) AS lead_rank FROM followed WHERE has_doi GROUP BY topic_id),
+    met AS (SELECT f.topic_id, f.src, f.seed_rank, kind, list_position({list(EDGE_KINDS)}, kind) AS kind_no, dst, lower(regexp_replace(url, '/+$', '')) AS key FROM followed f JOIN kinds USING (src) JOIN (SELECT ev_id, url FROM evidence) e ON e.ev_id = dst LEFT JOIN lead USING (topic_id) WHERE kind <> 'related' OR seed_rank = lead_rank),
+    cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, src, kind ORDER BY dst) AS n FROM met) WHERE n <= 6),
+    fresh AS (SELECT *, row_number() OVER (PARTITION BY topic_id, key ORDER BY seed_rank, kind_no, n) AS again FROM cut c WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.topic_id = c.topic_id AND lower(regexp_replace(s.url, '/+$', '')) = c.key))"""
+
+
+@query("expand_from_seeds", f"WITH {CITED_SQL} SELECT topic_id, src AS seed, kind, dst AS ev_id, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY seed_rank, kind_no, n) AS INTEGER) AS place FROM fresh WHERE again = 1")
+def expand_from_seeds(spark, sf):
+    """Records that each topic gains from its nearest papers: recommended, cited by them, citing them, related to the first with a DOI."""
+    records = evidence(spark, sf).select("ev_id", "url")
+    far = F.col("cosine") * F.when(F.col("topic_id") % 4 == 3, 0.2).otherwise(1.0)
+    pool = signals(spark, sf).select("topic_id", "ev_id", "arrival", "source_type", far.alias("cosine"))
+    seeds = R.choose_seeds(pool).join(records, "ev_id")
+    cites = edges(spark, sf).filter("src <> dst")
+    pairs, s = cites.select("src", "dst").distinct(), F.col("src") + F.col("dst")
+    drawn = pairs.withColumn("kind", F.explode(F.array_compact(F.array(F.when(s % 5 == 0, "recommendations"), F.when(s % 3 == 0, "related")))))
+    kinds = cites.select("src", "dst", "kind").unionByName(drawn).withColumn("kind_no", F.array_position(F.array(*map(F.lit, EDGE_KINDS)), F.col("kind")))
+    return R.expand_seeds(seeds, kinds, records)
+
+
 @query("newest_per_group", """WITH g AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS g FROM g),
     e AS (SELECT e.user_id, e.event_type, event_id, row_number() OVER (PARTITION BY e.user_id, e.event_type ORDER BY ts DESC, event_id) AS n FROM events e JOIN r ON r.user_id = e.user_id AND r.event_type = e.event_type WHERE g <= 3) SELECT user_id, event_type, event_id, CAST(n AS INTEGER) AS n FROM e WHERE n <= 2""")
 def newest_per_group(spark, sf):

@@ -34,9 +34,12 @@ def identity_key(spark, sf):
     return evidence(spark, sf).select("ev_id", T.identity_key(F.col("url"), F.col("title")).alias("key"))
 
 
+PAPER_SQL = rf"""coalesce(nullif(regexp_extract(lower({{0}}), 'semanticscholar\.org/paper/([0-9a-f]{{{{40}}}})', 1), ''), 'ARXIV:' || nullif(regexp_extract(lower({{0}}), 'arxiv\.org/abs/([\w.\-]+?)(?:v\d+)?/?$', 1), ''),
+    'PMID:' || nullif(regexp_extract(lower({{0}}), '(?:pubmed\.ncbi\.nlm\.nih\.gov|/med/)/?(\d{{{{4,9}}}})', 1), ''), 'DOI:' || {DOI_SQL.replace("{0}", "lower({0})")})"""
+
+
 @query("paper_id", f"""WITH {EVIDENCE}, u AS (SELECT ev_id, CASE ev_id % 5 WHEN 0 THEN 'https://www.semanticscholar.org/paper/' || repeat('0a', 20) WHEN 1 THEN 'https://arxiv.org/abs/2401.' || (10000 + ev_id) || 'v2' ELSE url END AS url FROM evidence)
-    SELECT ev_id, coalesce(nullif(regexp_extract(lower(url), 'semanticscholar\\.org/paper/([0-9a-f]{{40}})', 1), ''), 'ARXIV:' || nullif(regexp_extract(lower(url), 'arxiv\\.org/abs/([\\w.\\-]+?)(?:v\\d+)?/?$', 1), ''),
-    'PMID:' || nullif(regexp_extract(lower(url), '(?:pubmed\\.ncbi\\.nlm\\.nih\\.gov|/med/)/?(\\d{{4,9}})', 1), ''), 'DOI:' || {DOI_SQL.format('lower(url)')}) AS paper_id FROM u""")
+    SELECT ev_id, {PAPER_SQL.format('url')} AS paper_id FROM u""")
 def paper_id(spark, sf):
     url = F.when(F.col("ev_id") % 5 == 0, F.lit("https://www.semanticscholar.org/paper/" + "0a" * 20)).when(F.col("ev_id") % 5 == 1, F.concat(F.lit("https://arxiv.org/abs/2401."), (10000 + F.col("ev_id")).cast("string"), F.lit("v2"))).otherwise(F.col("url"))
     return evidence(spark, sf).select("ev_id", T.paper_id(url).alias("paper_id"))
