@@ -9,6 +9,7 @@ from quarry.functions import design as D
 from quarry.functions import signals as S
 from quarry.functions.text import tokenize
 from quarry.operators import rank as R
+from quarry.operators import register as G
 from quarry.operators.retrieve import dot, top_per_group
 from quarry.plans.registry import query
 from quarry.plans.retrieval import DOI_SQL, PAPER_SQL, tokens_sql
@@ -359,6 +360,29 @@ def register_match(spark, sf):
     return total.select("p_partkey", "term", F.when(F.col("authorised"), F.col("s")).otherwise(F.col("s") * 0.6).alias("score")).filter("score >= 0.4")
 
 
+REGISTER_SQL = rf"""{EVIDENCE}, register AS (SELECT ev_id AS id, split_part(title, ' ', 1) AS name, split_part(title, ' ', 2) || '-' || split_part(title, ' ', 3) AS substance, 'L' || lpad((ev_id % 100)::VARCHAR, 2, '0') || 'AC07' AS code, substr(title, 20) AS area, snippet AS indication,
+        ev_id % 4 <> 0 AS authorised, ev_id % 3 = 0 AS reference, nullif(publication_date, '') AS updated FROM evidence),
+    asked AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(substr(text, 1, 60) || ' L' || lpad((item_id % 100)::VARCHAR, 2, '0')), '[a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({list(G.REGISTER_STOPWORDS)}, w)) AS t FROM benchmark),
+    one AS (SELECT query_id, len(t) AS n, unnest(t) AS term FROM asked), terms AS (SELECT query_id, n, term, count(*) AS times FROM one GROUP BY ALL), wanted AS (SELECT DISTINCT term FROM terms),
+    words AS (SELECT DISTINCT id, weight, unnest(string_split_regex(lower(value), '{G.WORD_BREAK}')) AS word FROM (SELECT id, unnest([{', '.join(f"{{'weight': {w}::DOUBLE, 'value': {f}}}" for f, w in G.FIELD_WEIGHTS.items())}], recursive := true) FROM register)),
+    hits AS (SELECT DISTINCT id, weight, term FROM (SELECT DISTINCT word, term FROM (SELECT DISTINCT word FROM words) v JOIN wanted ON substr(word, 1, 3) = substr(term, 1, 3) AND starts_with(word, term)) JOIN words USING (word)
+        UNION ALL SELECT id, {G.WHOLE_NAME} - 3.0, term FROM register JOIN wanted ON lower(name) = term UNION ALL SELECT id, {G.CODE}, term FROM wanted JOIN register ON contains(lower(code), term) WHERE regexp_full_match(term, '{G.CODE_PATTERN}')),
+    scored AS (SELECT query_id, id, sum(weight * times)::DOUBLE / n * CASE WHEN authorised THEN 1.0 ELSE {G.UNAUTHORISED} END::DOUBLE AS score, authorised, reference, updated FROM hits JOIN terms USING (term) JOIN register USING (id) GROUP BY query_id, id, n, authorised, reference, updated)"""
+
+
+@query("register_search", f"WITH {REGISTER_SQL} SELECT query_id, id, score, CAST(place AS INTEGER) AS place FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, authorised DESC, reference DESC, updated DESC NULLS LAST, id) AS place FROM scored WHERE score >= {G.FLOOR}) WHERE place <= 3")
+def register_search(spark, sf):
+    """The three best records of a register for each benchmark item and a code, by all the fields' weights."""
+    word = lambda k: F.split_part("title", F.lit(" "), F.lit(k))
+    code = lambda c: F.concat(F.lit("L"), F.lpad((c % 100).cast("string"), 2, "0"))
+    k = F.col("ev_id")
+    register = evidence(spark, sf).select(
+        k.alias("id"), word(1).alias("name"), F.concat(word(2), F.lit("-"), word(3)).alias("substance"), F.concat(code(k), F.lit("AC07")).alias("code"), F.substring("title", 20, 200).alias("area"), F.col("snippet").alias("indication"),
+        (k % 4 != 0).alias("authorised"), (k % 3 == 0).alias("reference"), F.nullif("publication_date", F.lit("")).alias("updated"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.substring("text", 1, 60), F.lit(" "), code(F.col("item_id"))).alias("text"))
+    return G.register_search(asked, register)
+
+
 TRIAL_WORDS = ("Completed, has posted results. Phase 3. Enrollment: 1500", "Active. phase4 Enrollment: 150", "Recruiting phase 2 Enrollment: 20", "withdrawn", "completed phase 3 and phase 4")
 
 

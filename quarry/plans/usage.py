@@ -78,9 +78,9 @@ def stream_quota(spark, sf):
     return streams.finish(spark, streams.quota_windows(call_log(streams.events(spark, sf))), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_novelty")
+@query("stream_novelty", "SELECT event_type AS topic, CAST(0 AS BIGINT) AS batch, count(DISTINCT user_id) AS n_new, CAST(count(DISTINCT user_id) AS BIGINT) AS n_seen, false AS stopped FROM events WHERE user_id IS NOT NULL GROUP BY event_type")
 def stream_novelty(spark, sf):
-    return streams.finish(spark, streams.novelty(streams.events(spark, sf), "event_type", "user_id"), "update")
+    return streams.novelty(spark, streams.events(spark, sf), "event_type", "user_id")
 
 
 @query("stream_breaker")

@@ -3,39 +3,41 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from quarry.storage import shared_dir
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
-    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(kind).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark: SparkSession, sf_dir: str, max_bytes: int = 256 << 20) -> DataFrame:
+    """The events table as a stream of files, of which a batch takes at most ``max_bytes``, or one file if that is larger."""
+    kind = spark.read.parquet(f"{sf_dir}/events*.parquet").schema
+    files = spark.readStream.schema(kind).option("pathGlobFilter", "events*.parquet").option("maxBytesPerTrigger", str(max_bytes))
+    return files.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finish(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+def finish(spark: SparkSession, stream: DataFrame, mode: str, fold: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
     """Run a stream over all that is there, with its results and checkpoint in the shared folder, and read them.
 
-    In complete and update mode each batch is written under its number; complete keeps the last.
+    Each batch goes through ``fold`` and is written under its number, once however often it is tried; complete mode keeps the last.
     """
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{root}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/n={number}")
+        fold(batch).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/n={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.option("recursiveFileLookup", True).parquet(out)
     if mode == "complete":
         last = rows.agg(F.max("_batch").alias("last"))
         rows = rows.join(F.broadcast(last), F.col("_batch") == F.col("last")).drop("last")
-    return rows.drop("_batch")
+    return rows.withColumnRenamed("_batch", "batch") if mode == "update" else rows.drop("_batch")
 
 
 def quota_windows(log: DataFrame, max_requests: int = 200, max_tokens: int = 200_000, late: str = "10 minutes") -> DataFrame:
@@ -59,28 +61,28 @@ def running_cost(log: DataFrame) -> DataFrame:
     return log.groupBy("purpose").agg(F.count("*").alias("calls"), F.sum("cost_cents").alias("cost_cents"))
 
 
-def novelty(rows: DataFrame, topic: str, key: str, need: int = 3) -> DataFrame:
-    """Keys of each topic not seen before, batch by batch: topic, n_new, n_seen, stopped (fewer than ``need`` were new after the first batch)."""
+def novelty(spark: SparkSession, rows: DataFrame, topic: str, key: str, need: int = 3) -> DataFrame:
+    """Keys of each topic not seen before, batch by batch: topic, batch, n_new, n_seen, stopped.
 
-    def count(topic_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, batches, stopped = state.get if state.exists else ([], 0, False)
-        known = set(seen)
-        before = len(known)
-        for pdf in frames:
-            known.update(int(x) for x in pdf["key"].dropna())
-        new = len(known) - before
-        stopped = bool(stopped or (batches > 0 and new < need))
-        state.update((sorted(known), batches + 1, stopped))
-        yield pd.DataFrame({"topic": [topic_key[0]], "n_new": [new], "n_seen": [len(known)], "stopped": [stopped]})
-
-    out = rows.select(F.col(topic).alias("topic"), F.col(key).cast("long").alias("key")).groupBy("topic")
-    return out.applyInPandasWithState(count, "topic string, n_new long, n_seen long, stopped boolean", "seen array<long>, batches int, stopped boolean", "update", GroupStateTimeout.NoTimeout)
+    A topic has stopped from the first batch after its own first that brought fewer than ``need`` new keys. Null keys don't
+    count. The state is one entry for each (topic, key), spread over all partitions, with the times of the first and the
+    last batch that had it: a key is new in the batch where the two are equal. What is folded over batches is a count for
+    each topic and batch.
+    """
+    at = rows.select(F.col(topic).alias("topic"), F.col(key).alias("key"), F.current_timestamp().alias("at")).filter("key IS NOT NULL")
+    seen = at.groupBy("topic", "key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    counts = finish(spark, seen, "update", lambda batch: batch.groupBy("topic").agg(F.count_if(F.col("first") == F.col("last")).alias("n_new")))
+    so_far = Window.partitionBy("topic").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    few = (F.row_number().over(Window.partitionBy("topic").orderBy("batch")) > 1) & (F.col("n_new") < need)
+    folded = counts.withColumn("few", few)
+    return folded.select("topic", "batch", "n_new", F.sum("n_new").over(so_far).alias("n_seen"), F.bool_or("few").over(so_far).alias("stopped"))
 
 
 def breaker(rows: DataFrame, need: int = 5, cool_down: str = "60s") -> DataFrame:
     """A row each time ``need`` failures in a row open a producer's breaker: user_id, opened_at, open_until. A success resets the count.
 
-    Rows of a batch are put in order by (ts, event_id) within the producer.
+    Rows of a batch are put in order by (ts, event_id) within the producer, in one frame: a batch is bounded by the
+    stream's ``maxBytesPerTrigger`` (see ``events``), and with it what a hot producer can bring at once.
     """
 
     def run(user, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
