@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quarry.functions.signals import PRIOR_WEIGHTS, weighted, weighted_sql
 from quarry.functions.text import tokenize
 from quarry.operators import retrieve
+from quarry.operators.calibrate import calibrate as fit
 from quarry.operators.rank import round_saturation
+from quarry.plans.ranking import curves
 from quarry.plans.registry import query
 from quarry.sources.tables import SIGNALS, evidence, signals, table
 from quarry.storage import materialise
@@ -66,22 +68,16 @@ def grid_objective(spark, sf):
     return ndcg_of_grid(graded(spark, sf), [_base() | {"cosine": step} for step in STEPS])
 
 
-@query("calibrate")
-def calibrate(spark, sf, passes: int = 1):
-    """Coordinate ascent over weights: each step is one scan that scores a coordinate's whole grid, on topics of four folds of five.
+#: What each weight may be. A sense that isn't meant only takes away.
+BOUNDS = {n: (-0.6, 0.0) if n == "offtopic" else (0.0, 0.5) for n in PRIOR_WEIGHTS}
 
-    The driver sees one row for each grid point. Columns: name, weight, and the objective on the training and the held-out fold.
-    """
-    rows = materialise(graded(spark, sf).select("topic_id", "arrival", "grade", *SIGNAL_NAMES).withColumn("fold", F.pmod(F.xxhash64("topic_id"), F.lit(5))), "signals")
-    weights = _base()
-    for _ in range(passes):
-        for name in ("rerank", "cosine", "bm25"):
-            grid = [weights | {name: step} for step in STEPS]
-            found = ndcg_of_grid(rows.filter("fold <> 0"), grid).orderBy(F.desc("ndcg"), "grid").limit(1).collect()
-            weights = grid[found[0].grid] if found else weights
-    score = lambda part: ndcg_of_grid(part, [weights]).agg(F.max("ndcg")).first()[0] or 0.0
-    train, held = score(rows.filter("fold <> 0")), score(rows.filter("fold = 0"))
-    return spark.createDataFrame([(n, float(w), float(train), float(held)) for n, w in weights.items()], "name string, weight double, train_ndcg double, held_ndcg double")
+
+@query("calibrate")
+def calibrate(spark, sf, **how):
+    """The prior's weights fitted to graded pools by ``operators.calibrate``: name, weight, and the means before, after and on folds left out."""
+    rows = curves(graded(spark, sf)).select("topic_id", "arrival", "grade", *PRIOR_WEIGHTS)
+    weights, means = fit(rows, PRIOR_WEIGHTS, BOUNDS, **how)
+    return spark.createDataFrame([(n, w, means["base"], means["train"], means["held"]) for n, w in weights.items()], "name string, weight double, base_ndcg double, train_ndcg double, held_ndcg double")
 
 
 def feedback_rounds(spark, sf, rounds: int = 2, hits_per_topic: int = 8, terms_per_round: int = 3, hits_per_provider: int = 14):

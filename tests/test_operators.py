@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from quarry.functions import design, signals, text
 from quarry.operators import identity, rank, retrieve, verify
+from quarry.operators.calibrate import calibrate as fit
+from quarry.operators.calibrate import objective, pack
 from quarry.operators.components import connected_components
-from quarry.plans.evaluation import calibrate, feedback_rounds
+from quarry.plans.evaluation import BOUNDS, calibrate, feedback_rounds
 from quarry.plans.usage import stream_breaker, stream_novelty
-from quarry.streaming.streams import events as events_stream
-from quarry.streaming.streams import novelty
 from quarry.plans.verification import judge_in_batches
 from quarry.storage import broadcast_if_small, materialise
+from quarry.streaming.streams import events as events_stream
+from quarry.streaming.streams import novelty
 from tests.conftest import SF
 
 
@@ -148,12 +150,32 @@ def test_novelty_over_batches(spark, tmp_path):
 
 
 def test_calibration_and_feedback_run(spark):
-    rows = calibrate(spark, SF).collect()
-    assert len(rows) == 7 and all(0 <= r.train_ndcg <= 1 for r in rows)
+    rows = calibrate(spark, SF, step=0.1, passes=2, starts=2).collect()
+    assert len(rows) == 10 and all(0 <= r.base_ndcg <= r.train_ndcg <= 1 for r in rows)
+    assert all(BOUNDS[r.name][0] <= r.weight <= BOUNDS[r.name][1] for r in rows)
     rounds = feedback_rounds(spark, SF).collect()
     assert {r["round"] for r in rounds} == {1, 2} and all(r.kept for r in rounds)
 
 
+def test_objective_equals_a_plain_loop(spark):
+    rnd = random.Random(5)
+    pools = [(t, a, rnd.choice([0, 0, 1, 2]) if t else 0, rnd.choice([0.0, 0.5, 1.0]), None if a == 3 else rnd.random()) for t in range(9) for a in range(rnd.choice([1, 4, 30]))]
+    packed = pack(spark.createDataFrame(pools, "topic_id long, arrival long, grade int, a double, b double"), ["a", "b"], 5)
+    vectors = np.array([[0.5, 0.1], [0.0, 0.0], [-0.3, 1.0]])
+    sums, topics = objective(packed, vectors, 5)
+    assert topics.sum() == 9
+    for v, (wa, wb) in enumerate(vectors):
+        want = 0.0
+        for t in range(9):
+            rows = sorted((r for r in pools if r[0] == t), key=lambda r: (-round(wa * r[3] + wb * (r[4] or 0.0), 9), r[1]))
+            dcg = sum((2 ** r[2] - 1) / math.log2(k + 2) for k, r in enumerate(rows[:10]))
+            ideal = sum((2**g - 1) / math.log2(k + 2) for k, g in enumerate(sorted((r[2] for r in rows), reverse=True)[:10]))
+            want += dcg / ideal if ideal else 0.0
+        assert abs(sums[:, v].sum() - want) < 1e-9
+    nothing = spark.createDataFrame([], "topic_id long, arrival long, grade int, a double")
+    assert fit(nothing, {"a": 0.2}, {"a": (0.0, 0.5)}, starts=1) == ({"a": 0.2}, {"base": 0.0, "train": 0.0, "held": 0.0})
+
+
 def test_order_of_arrival_does_not_matter(spark):
     rnd = random.Random(4)
     rows = [(k, f"http://h/{k % 7}", f"title number {k % 5} of many") for k in range(30)]
