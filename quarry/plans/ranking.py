@@ -53,7 +53,7 @@ def worded_title():
 
 
 def _graded(spark, sf):
-    text = D.scan_text(worded_title(), F.lit("body"), F.col("snippet"))
+    text = D.scan_text(worded_title(), F.col("content"), F.col("snippet"))
     rows = evidence(spark, sf).withColumn("design", D.detect(F.col("source_type"), F.col("publication_types"), text)).withColumn("preprint", D.is_preprint(F.col("source_type"), text))
     return rows.withColumn("score", F.round(D.score(F.col("design"), F.col("preprint")), 6)).withColumn("label", D.label(F.col("design"), F.col("preprint")))
 
@@ -64,7 +64,7 @@ def _case(key: str, values: dict) -> str:
 
 
 _SCORES = {k: v for k, (v, _) in D.DESIGNS.items()}
-GRADED_SQL = f"""{EVIDENCE}, worded AS (SELECT *, substr(title || ' ' || {list(WORDINGS)}[1 + ev_id % {len(WORDINGS)}] || '. body', 1, 700) AS scan FROM evidence),
+GRADED_SQL = f"""{EVIDENCE}, worded AS (SELECT *, substr(title || ' ' || {list(WORDINGS)}[1 + ev_id % {len(WORDINGS)}] || '. ' || CASE WHEN content <> '' THEN content ELSE snippet END, 1, 700) AS scan FROM evidence),
     read AS (SELECT *, source_type = 'biorxiv' OR regexp_matches(scan, '(?i){D.PREPRINT}') AS preprint, coalesce({_case('source_type', D.PROVIDER_DESIGNS)},
         (SELECT arg_max(d, s) FROM (SELECT d, {_case('d', _SCORES)} AS s FROM (SELECT {_case('lower(p)', D.TYPE_DESIGNS)} AS d FROM unnest(publication_types) u(p))) WHERE d IS NOT NULL),
         CASE {' '.join(f"WHEN regexp_matches(scan, '(?i){p}') THEN '{d}'" for d, p in D.PATTERNS)} END, 'unknown') AS design FROM worded),
@@ -84,7 +84,7 @@ READINGS = ("Randomized Controlled Trial", "meta-analysis (preprint)", "unknown"
 def article_design(spark, sf):
     """What a reader called a record in prose, where that names a design, else the record's own design."""
     read = F.element_at(F.array(*map(F.lit, READINGS)), (1 + F.col("ev_id") % len(READINGS)).cast("int"))
-    text = D.scan_text(worded_title(), F.lit("body"), F.col("snippet"))
+    text = D.scan_text(worded_title(), F.col("content"), F.col("snippet"))
     return evidence(spark, sf).select("ev_id", D.of_article(read, F.col("source_type"), F.col("publication_types"), text).alias("design"))
 
 
@@ -94,6 +94,22 @@ def evidence_profile(spark, sf):
     return _graded(spark, sf).groupBy("topic_id", "label").agg(F.count("*").alias("n"), F.count_if(high).alias("n_high"), F.count_if("preprint").alias("n_preprint"))
 
 
+#: Designs that make a body of evidence strong, unless they are preprints.
+HIGH_TIER = ("meta_analysis", "systematic_review", "guideline", "rct")
+
+
+@query("evidence_shares", f"""WITH {GRADED_SQL}, n AS (SELECT topic_id, coalesce(nullif(name, ''), 'unclassified') AS label, count(*) AS n, count(*) FILTER (design IN {HIGH_TIER} AND NOT preprint) AS high, count(*) FILTER (preprint) AS pre FROM (SELECT *, {_case('design', {k: v for k, (_, v) in D.DESIGNS.items()})} AS name FROM read) GROUP BY ALL)
+    SELECT topic_id, label, n, round_even(sum(high) OVER t / sum(n) OVER t, 2) AS high_tier_share, round_even(sum(pre) OVER t / sum(n) OVER t, 2) AS preprint_share, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY n DESC, label) AS INTEGER) AS place FROM n WINDOW t AS (PARTITION BY topic_id)""")
+def evidence_shares(spark, sf):
+    """Designs of a topic's records by how many there are, and the shares of strong designs and of preprints; a topic has few designs."""
+    names = F.create_map(*(x for k, (_, v) in D.DESIGNS.items() for x in (F.lit(k), F.lit(v))))
+    label = F.coalesce(F.nullif(names[F.col("design")], F.lit("")), F.lit("unclassified"))
+    per = _graded(spark, sf).groupBy("topic_id", label.alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("design").isin(*HIGH_TIER) & ~F.col("preprint")).alias("high"), F.count_if("preprint").alias("pre"))
+    topic = Window.partitionBy("topic_id")
+    share = lambda c: F.bround(F.sum(c).over(topic) / F.sum("n").over(topic), 2)
+    return per.select("topic_id", "label", "n", share("high").alias("high_tier_share"), share("pre").alias("preprint_share"), F.row_number().over(topic.orderBy(F.desc("n"), "label")).alias("place"))
+
+
 SCORED_SQL = f"""{SIGNALS}, s AS (SELECT *, {CURVES_SQL} FROM signals)"""
 
 
