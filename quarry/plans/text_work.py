@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,7 +12,9 @@ from quarry.operators.retrieve import top_per_group
 from quarry.operators.sections import density, trim_sections
 from quarry.plans.registry import query
 from quarry.plans.retrieval import tokens_sql
+from quarry.sources.dumps import run_pending
 from quarry.sources.tables import EVIDENCE, evidence, table
+from quarry.storage import shared_dir
 
 #: What marks a page that only lists meanings, and the preprint servers with their DOI prefix.
 DISAMBIGUATION = ("può riferirsi a:", "può indicare:", "may refer to:", "may also refer to:", "disambiguation")
@@ -256,6 +260,20 @@ def resumable_pending(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
+@query("resumable_run", "SELECT doc_id, CASE WHEN NOT contains(t, 'the the') AND t <> '' THEN length(t)::DOUBLE END AS value, CASE WHEN contains(t, 'the the') OR t = '' THEN 'unreadable' END AS error FROM (SELECT doc_id, coalesce(min(text), '') AS t FROM documents GROUP BY doc_id)")
+def resumable_run(spark, sf):
+    """Every text evaluated once over two runs into one folder; failures stay as rows, and the second run finds nothing left to do."""
+
+    def measure(text):
+        if not text or "the the" in text:
+            raise ValueError("unreadable")
+        return len(text)
+
+    docs, path = table(spark, sf, "documents").select("doc_id", F.col("text").alias("input")), f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    run_pending(docs, path, measure, "doc_id", parts=2)
+    return run_pending(docs, path, measure, "doc_id")
+
+
 @query("stratified_sample", """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS r FROM (SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY lang, text)) WHERE r <= 30""")
 def stratified_sample(spark, sf):
     """Thirty of each stratum after dropping repeated bodies, by a seeded hash and so the same each time."""

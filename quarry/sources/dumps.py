@@ -6,8 +6,12 @@ columns, in the order of FIELDS, with '' for what a dump lacks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 FIELDS = ("source_type", "title", "url", "snippet", "content", "publication_date", "citation_count", "publication_types")
 SNIPPET, CONTENT = 300, 4000
@@ -160,6 +164,33 @@ def pending(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
+def run_pending(rows: DataFrame, path: str, evaluate: Callable, key: str = "id", column: str = "input", parts: int = 1) -> DataFrame:
+    """Evaluate the rows that no earlier run has finished, append them to ``path`` and return all results: ``key``, value, error.
+
+    What ``evaluate`` of a row's ``column`` raises is kept as that row's error, with a null value; it doesn't end the run. Rows go in
+    ``parts`` slices, each committed whole, so a run that is broken off goes on behind the last. Of repeated keys the smallest input counts.
+    """
+    spark = rows.sparkSession
+    kind = StructType([StructField(key, rows.schema[key].dataType), StructField("value", DoubleType()), StructField("error", StringType())])
+    spark.createDataFrame([], kind).write.mode("append").parquet(path)
+    todo = pending(rows.groupBy(key).agg(F.min(column).alias(column)), spark.read.schema(kind).parquet(path), key)
+
+    def one(value) -> tuple[float | None, str | None]:
+        try:
+            return float(evaluate(value)), None
+        except Exception as e:  # a row's failure is its result
+            return None, str(e)
+
+    def run(batches):
+        for pdf in batches:
+            value, error = zip(*map(one, pdf[column]), strict=True) if len(pdf) else ((), ())
+            yield pd.DataFrame({key: pdf[key], "value": pd.Series(value, index=pdf.index, dtype="float64"), "error": pd.Series(error, index=pdf.index, dtype="object")})
+
+    for part in range(parts):
+        todo.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part).mapInPandas(run, kind).write.mode("append").parquet(path)
+    return spark.read.schema(kind).parquet(path)
+
+
 def append_history(summary: DataFrame, path: str) -> None:
     """Add summaries (eval, ts, n_done, n_total, and more) to the history, with whether they are complete."""
     summary.withColumn("complete", F.col("n_done") == F.col("n_total")).write.mode("append").partitionBy("eval").parquet(path)

@@ -68,3 +68,20 @@ def test_corpora_history_and_publication(spark, tmp_path):
     assert [r.t for r in spark.read.json(f"file://{tmp_path}/out").collect()] == ["x?api_key=[redacted]&y"]
     rows = spark.range(5).select(F.col("id"))
     assert {r.id for r in D.pending(rows, rows.filter("id < 3")).collect()} == {3, 4}
+
+
+def test_a_broken_run_goes_on(spark, tmp_path):
+    def measure(text):
+        if text == "bad":
+            raise ValueError("no")
+        return len(text)
+
+    path = str(tmp_path / "run")
+    first = spark.createDataFrame([(1, "abc"), (2, "bad"), (2, "bad"), (3, None)], "id long, input string")
+    D.run_pending(first, path, measure)
+    more = first.unionByName(spark.createDataFrame([(1, "changed"), (4, "x")], "id long, input string"))
+    got = {r.id: (r.value, r.error) for r in D.run_pending(more, path, measure, parts=3).collect()}
+    assert got[1] == (3.0, None) and got[2] == (None, "no") and got[4] == (1.0, None) and got[3][0] is None and got[3][1]
+    assert spark.read.parquet(path).count() == 4
+    empty = spark.createDataFrame([], "id long, input string")
+    assert D.run_pending(empty, str(tmp_path / "none"), measure).count() == 0
