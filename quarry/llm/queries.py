@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.alignment import align_tokenizers
 from quarry.llm.ann import nearest_vectors
 from quarry.llm.bpe import bpe_encode
 from quarry.llm.chat import perspectives_sql, rotate_perspectives
@@ -80,6 +81,10 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "speaker", "piece", "n_turns", "n_own", "n_masked", "rendered", F.array_join(spans, ",").alias("mask"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP8_SQL = """
     WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
     h AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
@@ -105,7 +110,7 @@ OP7_SQL = r"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts, "op2_nearest_vectors": op2_nearest_vectors, "op3_byte_bpe": op3_byte_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality,
-        "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_language_id": op9_language_id, "op10_perspectives": op10_perspectives,
+        "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_language_id": op9_language_id, "op10_perspectives": op10_perspectives, "op12_alignment": op12_alignment,
     }
 
 
