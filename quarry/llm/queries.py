@@ -15,6 +15,8 @@ from quarry.llm.chat import perspectives_sql, rotate_perspectives
 from quarry.llm.decontaminate import contamination_sql, flag_contaminated
 from quarry.llm.langid import identify_language, learn_dictionaries
 from quarry.llm.minhash import near_duplicates
+from quarry.llm.ngram_join import components_sql, ngram_components
+from quarry.llm.prefix_trie import prefix_trie, trie_sql
 from quarry.llm.quality import learn_quality, score_quality
 from quarry.llm.suffix_dedup import remove_repeats
 from quarry.llm.token_counts import count_tokens
@@ -81,10 +83,18 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "speaker", "piece", "n_turns", "n_own", "n_masked", "rendered", F.array_join(spans, ",").alias("mask"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 OP8_SQL = """
     WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
     h AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
@@ -110,9 +120,9 @@ OP7_SQL = r"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts, "op2_nearest_vectors": op2_nearest_vectors, "op3_byte_bpe": op3_byte_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality,
-        "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_language_id": op9_language_id, "op10_perspectives": op10_perspectives, "op12_alignment": op12_alignment,
+        "op7_near_dedup": op7_near_dedup, "op8_warc": op8_warc, "op9_language_id": op9_language_id, "op10_perspectives": op10_perspectives, "op11_prefix_trie": op11_prefix_trie, "op12_alignment": op12_alignment, "op13_ngram_join": op13_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": contamination_sql(), "op7_near_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op10_perspectives": perspectives_sql()}
+    return {"op5_decontamination": contamination_sql(), "op7_near_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op10_perspectives": perspectives_sql(), "op11_prefix_trie": trie_sql(), "op13_ngram_join": components_sql()}
