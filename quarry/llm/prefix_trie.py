@@ -275,7 +275,7 @@ def prefix_trie(
 
 def trie_sql(group: int = 5, heads: int = 9) -> str:
     """``prefix_trie`` of conversations in DuckDB SQL; the check sum goes bit by bit."""
-    crc = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: list_transform(range(8), lambda i: (ascii(ch) >> i) & 1)))), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+    crc = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(n.c AS VARCHAR), ''), lambda ch: list_transform(range(8), lambda i: (ascii(ch) >> i) & 1)))), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
     return f"""
     WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
     o AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(md5(role) || md5(text))) - 1 AS pos FROM t),
