@@ -29,22 +29,30 @@ def tier(value: Column) -> Column:
     return F.when(value == 1, 1.0).when(value == 2, 0.6).otherwise(0.2)
 
 
-def term_in(term: Column, text: Column) -> Column:
-    """A phrase as a substring, a single word between word boundaries; both in lower case."""
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), term, F.lit(r"\E(?![\p{L}\p{N}_])"))
-    return F.when(term == "", False).when(F.contains(term, F.lit(" ")), F.contains(text, term)).otherwise(F.regexp_like(text, quoted))
+def terms_held(text: Column, terms: Column) -> Column:
+    """How many of the ``terms`` a text holds, in any case: a phrase as a substring, a single word between word boundaries.
+
+    The text is split into words once, and a term of word characters meets them by equality. Only a single word with other characters in it
+    ("covid-19") is sought by an expression. Blank terms are in no text, repeated ones count each time.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    split = F.array(F.struct(low.alias("text"), F.split(low, r"[^\p{L}\p{N}_]+").alias("words")))
+
+    def held(t: Column, x: Column) -> Column:
+        quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), t, F.lit(r"\E(?![\p{L}\p{N}_])"))
+        plain = F.regexp_like(t, F.lit(r"^[\p{L}\p{N}_]+$"))
+        return F.when(t == "", False).when(F.contains(t, F.lit(" ")), F.contains(x["text"], t)).when(plain, F.array_contains(x["words"], t)).otherwise(F.regexp_like(x["text"], quoted))
+
+    wanted = F.transform(terms, lambda t: F.lower(F.trim(t)))
+    return F.transform(split, lambda x: F.size(F.filter(wanted, lambda t: held(t, x))))[0]
 
 
 def concept_share(text: Column, concepts: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.size(F.filter(concepts, lambda t: term_in(F.lower(F.trim(t)), low)))
-    return F.when((F.size(concepts) > 0) & (low != ""), hits / F.size(concepts)).otherwise(0.0)
+    return F.when((F.size(concepts) > 0) & (F.coalesce(text, F.lit("")) != ""), terms_held(text, concepts) / F.size(concepts)).otherwise(0.0)
 
 
 def offtopic(text: Column, negatives: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.size(F.filter(negatives, lambda t: term_in(F.lower(F.trim(t)), low)))
-    return F.when((F.size(negatives) > 0) & (low != ""), F.least(F.lit(1.0), hits / 2.0)).otherwise(0.0)
+    return F.when((F.size(negatives) > 0) & (F.coalesce(text, F.lit("")) != ""), F.least(F.lit(1.0), terms_held(text, negatives) / 2.0)).otherwise(0.0)
 
 
 def weighted(weights: dict[str, float], by_name: dict[str, Column] | None = None) -> Column:

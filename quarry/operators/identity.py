@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import host, host_suffixes, identity_keys
 from quarry.operators.components import connected_components
+from quarry.storage import broadcast_if_small
 
 
 def duplicate_components(records: DataFrame, id_col: str = "ev_id", max_key_rows: int | None = None) -> DataFrame:
@@ -34,16 +35,17 @@ def merge_entities(records: DataFrame, components: DataFrame, id_col: str = "ev_
     ).select("component", "n_records", "citation_count", "publication_date", "content", "reliability_tier", "first.title", "first.url", "first.source_type")
 
 
-def host_filter(rows: DataFrame, domains: DataFrame, url_col: str = "url", keep_listed: bool = False) -> DataFrame:
-    """Rows whose host isn't a listed domain or below one (with ``keep_listed``: only those that are).
+def host_filter(rows: DataFrame, domains: DataFrame, url_col: str = "url", keep_listed: bool = False, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows whose host isn't a listed domain or below one (with ``keep_listed``: only those that are). Rows without a host aren't listed.
 
-    ``domains`` is a column ``domain`` of a short list. Rows without a host aren't listed. A host has few suffixes,
-    which meet the list by equality.
+    Each host that occurs is looked up once: its few suffixes meet ``domains`` (a column ``domain``, of any length) by equality, and rows meet the
+    hosts that were found. What is found is broadcast if it is small, after it has been measured.
     """
-    listed = domains.agg(F.collect_set("domain").alias("listed"))
-    inside = F.coalesce(F.arrays_overlap(host_suffixes(host(F.col(url_col))), F.col("listed")), F.lit(False))
-    met = rows.crossJoin(F.broadcast(listed)).withColumn("_in", inside)
-    return met.filter("_in" if keep_listed else "not _in").drop("_in", "listed")
+    hosts = rows.select(host(F.col(url_col)).alias("_host")).filter("_host is not null").distinct()
+    suffixes = hosts.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("domain"))
+    listed = suffixes.join(broadcast_if_small(domains.select("domain").distinct(), broadcast_rows), "domain", "left_semi").select("_host").distinct()
+    met = rows.withColumn("_host", host(F.col(url_col))).join(broadcast_if_small(listed, broadcast_rows), "_host", "left_semi" if keep_listed else "left_anti")
+    return met.select(*rows.columns)
 
 
 def first_arrivals(rows: DataFrame, keys: list[str], order: str = "arrival") -> DataFrame:

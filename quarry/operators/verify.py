@@ -47,21 +47,35 @@ def fold_verdicts(verdicts: DataFrame, keys: list[str]) -> DataFrame:
 def judge_in_batches(rows: DataFrame, judge: Callable[[list], list], size: int = 15, input_col: str = "input", id_col: str = "id") -> DataFrame:
     """A user's ``judge`` over chunks of at most ``size`` inputs: id, score in [0, 1], error. A chunk that fails loses only its own rows.
 
-    A chunk holds ids of one range of ``size`` numbers, in order, so which rows fail together doesn't depend on how rows lie in partitions.
+    A chunk holds ids of one range of ``size`` numbers, in order, so which rows fail together doesn't depend on how rows lie in partitions; rows without an id
+    are dealt by their input. Chunks are dealt by ranges of their numbers, and one task goes through many, one at a time.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values([id_col, input_col]), []
-        for a in range(0, len(pdf), size):  # more than one only where ids are repeated
-            part = pdf.iloc[a : a + size]
-            try:
-                scores = [None if s is None else min(1.0, max(0.0, float(s))) for s in judge(part[input_col].tolist())]
-                if len(scores) != len(part):
-                    raise ValueError(f"{len(scores)} scores for {len(part)} rows")
-                out.append(pd.DataFrame({"id": part[id_col], "score": pd.Series(scores, part.index, dtype="float64"), "error": pd.Series([None] * len(part), part.index, dtype=object)}))
-            except Exception as e:  # noqa: BLE001  the chunk's failure is its result
-                out.append(pd.DataFrame({"id": part[id_col], "score": pd.Series([None] * len(part), part.index, dtype="float64"), "error": str(e)[:200]}))
-        return pd.concat(out)
-
-    chunk = F.floor(F.col(id_col) / size).alias("chunk")
-    return rows.select(id_col, input_col).groupBy(chunk).applyInPandas(run, "id long, score double, error string")
+    def chunk(part: pd.DataFrame) -> pd.DataFrame:
+        try:
+            scores = [None if s is None else min(1.0, max(0.0, float(s))) for s in judge(part[input_col].tolist())]
+            if len(scores) != len(part):
+                raise ValueError(f"{len(scores)} scores for {len(part)} rows")
+            return pd.DataFrame({"id": part[id_col], "score": pd.Series(scores, part.index, dtype="float64"), "error": pd.Series([None] * len(part), part.index, dtype=object)})
+        except Exception as e:  # noqa: BLE001  the chunk's failure is its result
+            return pd.DataFrame({"id": part[id_col], "score": pd.Series([None] * len(part), part.index, dtype="float64"), "error": str(e)[:200]})
+
+    def pieces(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, part in pdf.groupby("_chunk", sort=False):
+            for a in range(0, len(part), size):  # more than one only where ids are repeated
+                yield chunk(part.iloc[a : a + size])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            # the last chunk may go on in the next frame; whole pieces of it needn't wait
+            keep = int((pdf["_chunk"] == pdf["_chunk"].iloc[-1]).sum()) % size if len(pdf) else 0
+            rest = pdf.iloc[len(pdf) - keep :]
+            yield from pieces(pdf.iloc[: len(pdf) - keep])
+        if rest is not None and len(rest):
+            yield from pieces(rest)
+
+    number = F.coalesce(F.floor(F.col(id_col) / size), F.lit(-(2**62)) + F.pmod(F.xxhash64(input_col), F.lit(1 << 20)))
+    dealt = rows.select(id_col, input_col, number.alias("_chunk")).repartitionByRange("_chunk").sortWithinPartitions("_chunk", id_col, input_col)
+    return dealt.mapInPandas(run, "id long, score double, error string")

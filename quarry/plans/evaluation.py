@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import metrics
 from quarry.functions.signals import PRIOR_WEIGHTS, weighted, weighted_sql
-from quarry.functions.text import tokenize
+from quarry.functions.text import paper_id, tokenize
 from quarry.operators import retrieve
 from quarry.operators.calibrate import calibrate as fit
+from quarry.operators.index import build_index, extend_index, search_index, term_weights
 from quarry.operators.rank import round_saturation
 from quarry.plans.ranking import curves
+from quarry.plans.retrieval import BM25_SQL, CUT, METRICS_SQL, QRELS_SQL, qrels, ranked_documents, topics
+from quarry.plans.pool import SIGNALS, signals, window_text
 from quarry.plans.registry import query
-from quarry.sources.tables import SIGNALS, evidence, signals, table
+from quarry.sources.tables import evidence, table
 from quarry.storage import materialise
 
 
@@ -52,14 +56,16 @@ def ndcg_of_grid(rows, grid: list[dict[str, float]]):
 
 
 def graded(spark, sf):
-    return signals(spark, sf).withColumn("grade", F.when(F.col("relevance") > 0.8, 2).when(F.col("relevance") > 0.5, 1).otherwise(0))
+    """The pools' signals with the grade that the gold has for each candidate; 0 where it has none."""
+    gold = materialise(qrels(spark, sf).withColumnRenamed("id", "ev_id"), "qrels")
+    return signals(spark, sf).join(gold, ["topic_id", "ev_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
 
 def _grid_sql() -> str:
-    parts = [f"SELECT {k} AS grid, topic_id, arrival, grade, round({weighted_sql(_base() | {'cosine': step})}, 9) AS score FROM g" for k, step in enumerate(STEPS)]
-    return f"""WITH {SIGNALS}, g AS (SELECT *, CASE WHEN relevance > 0.8 THEN 2 WHEN relevance > 0.5 THEN 1 ELSE 0 END AS grade FROM signals), s AS ({' UNION ALL '.join(parts)}),
+    parts = [f"SELECT {k} AS grid, topic_id, arrival, grade, round({weighted_sql(_base() | {'cosine': step})}, 9) AS score FROM graded" for k, step in enumerate(STEPS)]
+    return f"""WITH {SIGNALS}, gold AS (WITH {QRELS_SQL} SELECT * FROM qrels), graded AS (SELECT s.*, coalesce(q.grade, 0) AS grade FROM signals s LEFT JOIN gold q ON q.topic_id = s.topic_id AND q.id = s.ev_id), s AS ({' UNION ALL '.join(parts)}),
     r AS (SELECT *, row_number() OVER (PARTITION BY grid, topic_id ORDER BY score DESC, arrival) AS rank FROM s), d AS (SELECT grid, topic_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM r WHERE rank <= 10 GROUP BY ALL),
-    i AS (SELECT topic_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY grade DESC, arrival) AS rank FROM g) WHERE rank <= 10 GROUP BY topic_id)
+    i AS (SELECT topic_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY grade DESC, arrival) AS rank FROM graded) WHERE rank <= 10 GROUP BY topic_id)
     SELECT grid, round(avg(dcg / ideal), 6) AS ndcg, count(*) AS n_topics FROM d JOIN i USING (topic_id) WHERE ideal > 0 GROUP BY grid"""
 
 
@@ -85,27 +91,27 @@ def feedback_rounds(spark, sf, rounds: int = 2, hits_per_topic: int = 8, terms_p
 
     A round keeps ``hits_per_provider`` hits of each provider, among which new keys are counted; the best
     ``hits_per_topic`` of all only choose the new terms. These are plain relevance feedback (count in the hits times
-    inverse document frequency). Rounds stop as in ``round_saturation``. Columns: topic_id, round, n_new, kept.
+    inverse document frequency). Rounds stop as in ``round_saturation``. Texts are indexed once; rounds read blocks of the
+    index, and of texts only those of the best hits. Columns: topic_id, round, n_new, kept.
     """
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    providers = evidence(spark, sf).select(F.col("ev_id").alias("id"), F.col("source_type").alias("provider"))
-    topics = table(spark, sf, "benchmark").select(F.col("item_id").alias("topic_id"), "text")
-    asked = retrieve.query_terms(topics)
-    tokens = docs.select(F.col("doc_id").alias("id"), F.explode(tokenize(F.col("doc_text"))).alias("term"))
+    docs = materialise(evidence(spark, sf).select("ev_id", "source_type", F.col("content").alias("doc_text")), "docs")
+    index = build_index(docs, part="source_type")
     n_docs = docs.count()
-    frequency = materialise(tokens.groupBy("term").agg(F.countDistinct("id").alias("df")), "frequency")
+    asked = materialise(retrieve.query_terms(table(spark, sf, "benchmark").select(F.col("item_id").alias("topic_id"), "text")), "asked")
     found = None
     for number in range(1, rounds + 1):
-        scored = retrieve.bm25(docs, asked, id_col="doc_id").join(providers, "id")
-        hits = materialise(retrieve.top_per_group(scored, ["topic_id", "provider"], [F.desc(F.round("score", 6)), "id"], hits_per_provider).withColumn("round", F.lit(number)), "hits")
+        hits = materialise(search_index(index, asked, hits_per_provider, by_part=True).withColumn("round", F.lit(number)), "hits")
         found = hits if found is None else found.unionByName(hits)
         if number == rounds:
             break
-        best = retrieve.top_per_group(hits.drop("rank"), ["topic_id"], [F.desc(F.round("score", 6)), "id"], hits_per_topic)
-        seen = tokens.join(retrieve.broadcast_if_small(best.select("topic_id", "id"), 1_000_000), "id").groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
-        fresh = seen.join(asked.select("topic_id", "term"), ["topic_id", "term"], "left_anti").join(frequency, "term")
+        best = materialise(retrieve.top_per_group(hits.drop("rank"), ["topic_id"], [F.desc("score"), "id"], hits_per_topic).select("topic_id", "id"), "best")
+        near = docs.join(retrieve.broadcast_if_small(best.select(F.col("id").alias("ev_id")).distinct(), 1_000_000), "ev_id", "left_semi")
+        tokens = near.select(F.col("ev_id").alias("id"), F.explode(tokenize(F.col("doc_text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        seen = tokens.join(best, "id").groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
+        fresh = materialise(seen.join(asked.select("topic_id", "term"), ["topic_id", "term"], "left_anti"), "fresh")
         weight = F.round(F.col("tf") * F.log(n_docs / F.col("df")), 6)
-        asked = materialise(retrieve.top_per_group(fresh.withColumn("w", weight), ["topic_id"], [F.desc("w"), "term"], terms_per_round, "r").select("topic_id", "term", F.lit(1).cast("long").alias("qtf")), "terms")
+        weighed = fresh.join(term_weights(index, fresh.select("term")), "term").withColumn("w", weight)
+        asked = materialise(retrieve.top_per_group(weighed, ["topic_id"], [F.desc("w"), "term"], terms_per_round, "r").select("topic_id", "term", F.lit(1).cast("long").alias("qtf")), "asked")
     return round_saturation(found.select("topic_id", "round", F.col("id").alias("key"), F.col("score").alias("cosine")))
 
 
@@ -119,3 +125,26 @@ def three_feedback_rounds(spark, sf):
 def first_seen_round(spark, sf):
     rows = signals(spark, sf).select("topic_id", (F.col("ev_id") % 5 + 1).alias("round"), ((F.col("ev_id") * 7) % 41).alias("key"))
     return rows.groupBy("topic_id", "key").agg(F.min("round").alias("round"), F.count("*").alias("n"))
+
+
+@query("bm25_index", f"WITH {BM25_SQL} SELECT topic_id, id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
+def bm25_index(spark, sf):
+    """``bm25`` from an index that is written in two segments, the later one added to what was there."""
+    docs = evidence(spark, sf).select("ev_id", window_text().alias("doc_text"))
+    old = F.pmod(F.xxhash64("ev_id"), F.lit(4)) < 3
+    index = extend_index(build_index(docs.filter(old)), docs.filter(~old))
+    asked = materialise(retrieve.query_terms(topics(spark, sf), F.col("must_include")), "asked")
+    return search_index(index, asked, 10).select("topic_id", "id", "score", "rank")
+
+
+@query("ndcg_aggregates", f"WITH {METRICS_SQL} SELECT topic_id, ndcg_at_10_pool AS native, ndcg_at_10_pool AS grouped FROM metrics WHERE n_gradable > 0")
+def ndcg_aggregates(spark, sf):
+    """nDCG of every topic's gradable slots twice: as a native fold of its sorted array, and by the grouped function in SQL."""
+    ids = evidence(spark, sf).select(F.col("ev_id").alias("id"), paper_id(F.col("url")).isNotNull().alias("gradable"))
+    gold = materialise(qrels(spark, sf), "qrels")
+    ranked = ranked_documents(spark, sf, CUT).join(gold.select("topic_id").distinct(), "topic_id", "left_semi")
+    slots = materialise(ranked.join(ids.filter("gradable"), "id").join(gold, ["topic_id", "id"], "left").select("topic_id", F.col("rank").alias("place"), F.coalesce("grade", F.lit(0)).alias("grade")), "slots")
+    native = slots.groupBy("topic_id").agg(metrics.in_order(F.col("place"), F.col("grade")).alias("grades")).select("topic_id", F.round(metrics.ndcg(F.col("grades")), 6).alias("native"))
+    name = metrics.register_metrics(spark)
+    grouped = spark.sql(f"SELECT topic_id, round({name}(place, grade), 6) AS grouped FROM {{slots}} GROUP BY topic_id", slots=slots)
+    return native.join(grouped, "topic_id")

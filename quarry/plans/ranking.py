@@ -10,10 +10,12 @@ from quarry.functions import signals as S
 from quarry.functions.text import tokenize
 from quarry.operators import rank as R
 from quarry.operators import register as G
+from quarry.operators.hops import expand_hops
 from quarry.operators.retrieve import dot, top_per_group
+from quarry.plans.pool import SIGNALS, signals
 from quarry.plans.registry import query
 from quarry.plans.retrieval import DOI_SQL, PAPER_SQL, tokens_sql
-from quarry.sources.tables import EVIDENCE, PROVIDERS, SIGNALS, evidence, signals, table
+from quarry.sources.tables import EVIDENCE, PROVIDERS, evidence, table
 from quarry.storage import broadcast_if_small
 
 AS_OF = 2025
@@ -258,9 +260,9 @@ def seedable_papers(spark, sf):
     return evidence(spark, sf).select("ev_id", R.seedable(F.col("url"), F.col("source_type")).alias("seedable"))
 
 
-SEEDS_SQL = f"""{SIGNALS}, pool AS (SELECT topic_id, ev_id, arrival, cosine * CASE WHEN topic_id % 4 = 3 THEN 0.2 ELSE 1 END AS cosine FROM signals),
+SEEDS_SQL = f"""{SIGNALS}, pool AS (SELECT topic_id, ev_id, arrival, source_type, cosine * CASE WHEN topic_id % 4 = 3 THEN 0.2 ELSE 1 END AS cosine FROM signals),
     near AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY cosine DESC, arrival) AS seed_rank, max(cosine) OVER (PARTITION BY topic_id) AS best FROM pool),
-    seeds AS (SELECT topic_id, ev_id, seed_rank, url, source_type FROM near JOIN evidence USING (topic_id, ev_id) WHERE seed_rank <= 4 AND (cosine >= 0.3 OR best < 0.3))"""
+    seeds AS (SELECT topic_id, ev_id, seed_rank, url, source_type FROM near JOIN (SELECT ev_id, url FROM evidence) USING (ev_id) WHERE seed_rank <= 4 AND (cosine >= 0.3 OR best < 0.3))"""
 
 #: Kinds of edges, in the order in which their finds count.
 EDGE_KINDS = ("recommendations", "references", "citations", "related")
@@ -286,6 +288,39 @@ def expand_from_seeds(spark, sf):
     return R.expand_seeds(seeds, kinds, records)
 
 
+#: Neighbours of a record that a hop follows, and records of a hop that a topic keeps.
+PER_RECORD, PER_HOP = 3, 40
+
+
+def _hops_sql(hops: int) -> str:
+    """Hop by hop, as each leaves out what all before it have reached."""
+    ctes = ["h0 AS (SELECT DISTINCT topic_id, ev_id AS id, 0 AS hop, CAST(NULL AS BIGINT) AS parent FROM seeds)"]
+    for k in range(1, hops + 1):
+        before = " UNION ALL ".join(f"SELECT topic_id, id FROM h{j}" for j in range(k))
+        ctes.append(f"""m{k} AS (SELECT h.topic_id, p.src, p.dst FROM h{k - 1} h JOIN hop_pairs p ON p.src = h.id WHERE NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.topic_id = h.topic_id AND b.id = p.dst)),
+            c{k} AS (SELECT topic_id, dst AS id, min(src) AS parent FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, src ORDER BY dst) AS n FROM m{k}) WHERE n <= {PER_RECORD} GROUP BY ALL),
+            h{k} AS (SELECT topic_id, id, {k} AS hop, parent FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY id) AS n FROM c{k}) WHERE n <= {PER_HOP})""")
+    union = " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(hops + 1))
+    return f"WITH {SEEDS_SQL}, {EDGES_SQL}, hop_pairs AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), {', '.join(ctes)} {union}"
+
+
+def _hops(spark, sf, hops):
+    far = F.col("cosine") * F.when(F.col("topic_id") % 4 == 3, 0.2).otherwise(1.0)
+    seeds = R.choose_seeds(signals(spark, sf).select("topic_id", "ev_id", "arrival", far.alias("cosine"))).select("topic_id", F.col("ev_id").alias("id"))
+    return expand_hops(edges(spark, sf), seeds, hops, PER_RECORD, PER_HOP)
+
+
+@query("two_hops", _hops_sql(2))
+def two_hops(spark, sf):
+    """Records within two citations of a topic's nearest, with the hop and the record that led there."""
+    return _hops(spark, sf, 2)
+
+
+@query("three_hops", _hops_sql(3))
+def three_hops(spark, sf):
+    return _hops(spark, sf, 3)
+
+
 @query("newest_per_group", """WITH g AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS g FROM g),
     e AS (SELECT e.user_id, e.event_type, event_id, row_number() OVER (PARTITION BY e.user_id, e.event_type ORDER BY ts DESC, event_id) AS n FROM events e JOIN r ON r.user_id = e.user_id AND r.event_type = e.event_type WHERE g <= 3) SELECT user_id, event_type, event_id, CAST(n AS INTEGER) AS n FROM e WHERE n <= 2""")
 def newest_per_group(spark, sf):

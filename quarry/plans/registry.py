@@ -12,6 +12,8 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def keep(f):
+        if name in QUERIES:
+            raise ValueError(f"a query {name} is registered already")
         QUERIES[name] = f
         if sql:
             SQL[name] = sql

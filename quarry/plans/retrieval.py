@@ -229,12 +229,6 @@ def retrieval_summary(spark, sf):
     )
 
 
-@query("seedable_papers", f"""WITH {EVIDENCE} SELECT ev_id, coalesce('PMID:' || nullif(regexp_extract(lower(url), '(?:pubmed\\.ncbi\\.nlm\\.nih\\.gov|/med/)/?(\\d{{4,9}})', 1), ''), 'DOI:' || {DOI_SQL.format('lower(url)')}) AS seed FROM evidence WHERE source_type IN ('pubmed', 'europe_pmc', 'biorxiv') AND seed IS NOT NULL""")
-def seedable_papers(spark, sf):
-    """Records of the three paper providers whose url a citation graph knows."""
-    return evidence(spark, sf).filter(F.col("source_type").isin("pubmed", "europe_pmc", "biorxiv")).select("ev_id", T.paper_id(F.col("url")).alias("seed")).filter("seed is not null")
-
-
 @query("rrf", f"""WITH {EVIDENCE}, h AS (SELECT topic_id, citation_count % 40 AS key, row_number() OVER (PARTITION BY topic_id, source_type ORDER BY citation_count DESC, arrival) - 1 AS rank FROM evidence)
     SELECT topic_id, key, round(sum(1.0 / (60 + rank)), 6) AS rrf FROM h GROUP BY ALL""")
 def rrf(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from quarry.functions import text as T
 from quarry.operators.retrieve import top_per_group
 from quarry.operators.sections import density, trim_sections
+from quarry.operators.patterns import match_patterns, redact_known
 from quarry.plans.registry import query
 from quarry.plans.retrieval import tokens_sql
 from quarry.sources.dumps import run_pending
@@ -84,16 +85,20 @@ def section_priority(spark, sf):
     w AS (SELECT *, least(n, 600 // k) AS base, greatest(0, n - 600 // k) AS want, 600 - sum(least(n, 600 // k)) OVER (PARTITION BY page_id) AS slack FROM s),
     a AS (SELECT *, base + greatest(0, least(want, slack - coalesce(sum(want) OVER (PARTITION BY page_id ORDER BY priority, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS granted FROM w) SELECT page_id, position, CAST(granted AS BIGINT) AS granted FROM a WHERE granted > 0""")
 def fair_share_trim(spark, sf, budget: int = 600):
-    """Characters granted to each section: an equal share, and what others leave in order of priority. A page's sections are few."""
-    rows = page_text(spark, sf).select("page_id", F.posexplode(T.sections(F.col("text"))).alias("position", "section"))
-    n = F.length("section").cast("long")
-    page = Window.partitionBy("page_id")
-    s = rows.select("page_id", F.col("position").cast("long").alias("position"), n.alias("n"), F.when(F.col("position") == 0, -1).otherwise(n % 3).alias("priority"), F.count("*").over(page).alias("k"))
-    share = F.floor(F.lit(budget) / F.col("k"))
-    w = s.withColumn("base", F.least("n", share)).withColumn("want", F.greatest(F.lit(0), F.col("n") - share)).withColumn("slack", budget - F.sum("base").over(page))
-    before = F.coalesce(F.sum("want").over(page.orderBy("priority", "position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    granted = F.col("base") + F.greatest(F.lit(0), F.least("want", F.col("slack") - before))
-    return w.withColumn("granted", granted.cast("long")).filter("granted > 0").select("page_id", "position", "granted")
+    """Characters granted to each section: an equal share, and what others leave in order of priority; all within the page's row."""
+    n = lambda x: F.length(x).cast("long")
+    parts = F.transform(T.sections(F.col("text")), lambda x, i: F.struct(F.when(i == 0, -1).otherwise(n(x) % 3).cast("long").alias("priority"), i.cast("long").alias("position"), n(x).alias("n")))
+    pages = page_text(spark, sf).select("page_id", F.sort_array(parts).alias("parts")).filter(F.size("parts") > 0).withColumn("share", F.floor(F.lit(budget) / F.size("parts")))
+    pages = pages.withColumn("slack", F.aggregate("parts", F.lit(budget).cast("long"), lambda rest, p: rest - F.least(p["n"], F.col("share"))))
+    start = F.struct(F.lit(0).cast("long").alias("wanted"), F.array().cast("array<struct<position: bigint, granted: bigint>>").alias("out"))
+
+    def grant(state, p):
+        want = F.greatest(F.lit(0).cast("long"), p["n"] - F.col("share"))
+        given = F.least(p["n"], F.col("share")) + F.greatest(F.lit(0).cast("long"), F.least(want, F.col("slack") - state["wanted"]))
+        return F.struct((state["wanted"] + want).alias("wanted"), F.array_append(state["out"], F.struct(p["position"].alias("position"), given.alias("granted"))).alias("out"))
+
+    grants = F.aggregate("parts", start, grant, lambda state: state["out"])
+    return pages.select("page_id", F.explode(grants).alias("g")).select("page_id", "g.position", "g.granted").filter("granted > 0")
 
 
 #: Sections of an encyclopaedia that never count.
@@ -338,13 +343,13 @@ SPANS_SQL = """WITH w AS (SELECT doc_id, unnest(range(0, len(w))) AS position, u
 
 
 def spans(docs):
-    """Runs of marked words, as text: gaps and islands within one document's array."""
-    words = F.split("text", " ")
-    rows = docs.select("doc_id", F.posexplode(words).alias("position", "word")).filter(F.length("word") >= 5)
-    order = Window.partitionBy("doc_id").orderBy("position")
-    marked = rows.withColumn("island", F.col("position") - F.row_number().over(order))
-    runs = marked.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("position", "word"))).alias("w"))
-    return runs.select("doc_id", F.col("w")[0]["position"].cast("long").alias("start"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("span"))
+    """Runs of marked words, as text: where a run starts and ends is seen from a word's neighbours, within the document's row."""
+    words = docs.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") > 0)
+    marked = lambda i: F.coalesce(F.length(F.get("w", i)) >= 5, F.lit(False))
+    places = F.sequence(F.lit(0), F.size("w") - 1)
+    first, last = F.filter(places, lambda i: marked(i) & ~marked(i - 1)), F.filter(places, lambda i: marked(i) & ~marked(i + 1))
+    runs = F.zip_with(first, last, lambda a, b: F.struct(a.cast("long").alias("start"), F.array_join(F.slice("w", a + 1, b - a + 1), " ").alias("span")))
+    return words.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.start", "r.span")
 
 
 @query("label_spans_all", SPANS_SQL)
@@ -385,3 +390,32 @@ def sections_udtf(spark, sf):
     spark.udtf.register("sections", Sections)
     page_text(spark, sf).createOrReplaceTempView("page_text_for_sections")
     return spark.sql("SELECT page_id, s.position, s.section FROM page_text_for_sections, LATERAL sections(text) s")
+
+
+PATTERN_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) > 0)"
+PATTERNS_SQL = f"""w AS (SELECT item_id, {PATTERN_WORDS} AS w FROM benchmark), terms AS (SELECT DISTINCT unnest(list_filter(w, lambda x: length(x) >= 6)) AS term FROM w UNION SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w)"""
+
+
+def pattern_table(spark, sf):
+    """term: words of six letters or more of benchmark items, and their pairs of neighbours as phrases."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 0)
+    w = table(spark, sf, "benchmark").select(words.alias("w"))
+    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1))))
+    return w.select(F.explode(F.filter("w", lambda x: F.length(x) >= 6)).alias("term")).union(w.select(F.explode(pairs).alias("term"))).distinct()
+
+
+@query("pattern_hits", f"""WITH {PATTERNS_SQL}, d AS (SELECT doc_id, lower(text) AS low, list_distinct({PATTERN_WORDS}) AS w FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, term FROM (SELECT doc_id, unnest(w) AS term FROM d) JOIN terms USING (term) UNION ALL SELECT doc_id, term FROM d JOIN terms ON contains(low, term) WHERE contains(term, ' ')""")
+def pattern_hits(spark, sf):
+    """Which of very many words and phrases each document holds, in one pass over the documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return match_patterns(docs, pattern_table(spark, sf), "doc_id", "text", "term", "term").select("doc_id", "term")
+
+
+@query("redact_known_values", """WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(text, 'token = "([0-9a-f]+)"', 1)) AS v FROM documents), l AS (SELECT list(v) AS known FROM k)
+    SELECT doc_id, list_reduce(list_prepend(text, coalesce(known, [])), lambda t, v: replace(t, v, '[redacted]')) AS text FROM documents, l""")
+def redact_known_values(spark, sf):
+    """Every secret that any document gives away, taken out of all documents, wherever it stands."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    known = docs.select(F.explode(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]+)"'), F.lit(1))).alias("value")).distinct()
+    return redact_known(docs, known)

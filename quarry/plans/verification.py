@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from quarry.operators import verify as V
 from quarry.operators.retrieve import top_per_group
+from quarry.plans.pool import SIGNALS, signals
 from quarry.plans.registry import query
 from quarry.plans.text_work import CHUNKS_SQL, chunks_of_turns
-from quarry.sources.tables import EVIDENCE, SIGNALS, evidence, signals, table
+from quarry.sources.tables import EVIDENCE, evidence, table
 
 RELATIONS = ("supports", "contradicts", "says_nothing")
 #: A verdict for each labelled document: eight sources to a claim; every 17th is an error, every third has no distribution.

@@ -38,13 +38,14 @@ def authors(names: Column, most: int = 6) -> Column:
     return F.when(F.size(names) > most, F.concat(head, F.lit(" et al."))).otherwise(F.coalesce(head, F.lit("")))
 
 
-def normalise_dump(dump: DataFrame, mapping: dict[str, Column], source_type: str, content_chars: int = CONTENT) -> DataFrame:
-    """``dump`` as evidence records by ``mapping``; rows without title and url go."""
+def normalise_dump(dump: DataFrame, mapping: dict[str, Column], source_type: str, content_chars: int = CONTENT, more: dict[str, Column] | None = None) -> DataFrame:
+    """``dump`` as evidence records by ``mapping``, with columns of ``more`` behind them; rows without title and url go."""
     text = F.coalesce(mapping.get("content", F.lit("")), F.lit(""))
     out = dump.select(
         F.lit(source_type).alias("source_type"), some(mapping["title"]).alias("title"), some(mapping["url"]).alias("url"), F.substring(some(mapping.get("snippet", text)), 1, SNIPPET).alias("snippet"),
         F.substring(text, 1, content_chars).alias("content"), some(mapping.get("publication_date", F.lit(""))).alias("publication_date"),
         F.coalesce(mapping.get("citation_count", F.lit(0)).try_cast("long"), F.lit(0)).alias("citation_count"), F.coalesce(mapping.get("publication_types", F.array().cast("array<string>")), F.array().cast("array<string>")).alias("publication_types"),
+        *(c.alias(name) for name, c in (more or {}).items()),
     )
     return out.filter((F.col("title") != "") & (F.col("url") != ""))
 
@@ -66,8 +67,11 @@ def clinicaltrials() -> dict[str, Column]:
     return {"title": F.col("briefTitle"), "url": F.concat(F.lit("https://clinicaltrials.gov/study/"), F.col("nctId")), "content": text, "snippet": F.col("summary"), "publication_date": F.col("startDate")}
 
 
-#: Sections of a drug label that are kept, in this order.
-LABEL_SECTIONS = ("indications_and_usage", "dosage_and_administration", "contraindications", "warnings", "boxed_warning", "adverse_reactions", "drug_interactions", "pregnancy")
+#: Sections of a drug label in the order in which they are shown.
+LABEL_SECTIONS = (
+    "boxed_warning", "indications_and_usage", "dosage_and_administration", "contraindications", "warnings_and_cautions", "warnings", "adverse_reactions", "drug_interactions",
+    "mechanism_of_action", "pharmacodynamics", "pharmacokinetics", "clinical_pharmacology", "overdosage", "pregnancy", "pediatric_use", "geriatric_use",
+)
 OPENFDA = "set_id string, openfda struct<generic_name: array<string>, brand_name: array<string>, substance_name: array<string>>, effective_time string, " + ", ".join(f"{s} array<string>" for s in LABEL_SECTIONS)
 
 
@@ -78,12 +82,26 @@ def openfda() -> dict[str, Column]:
     return {"title": F.when(name != "", F.concat(name, F.lit(" drug label"))), "url": F.concat(F.lit("https://dailymed.nlm.nih.gov/dailymed/drugInfo.cfm?setid="), F.col("set_id")), "content": text, "publication_date": F.col("effective_time")}
 
 
-EMA = "name string, url string, inn string, atc string, status string, area string, indication string, orphan string, generic string, biosimilar string, last_updated string"
+#: What a register says of how much evidence an authorisation rests on, by its columns.
+REGISTER_FLAGS = {
+    "orphan": "orphan", "conditional_approval": "conditional approval", "exceptional_circumstances": "exceptional circumstances", "accelerated_assessment": "accelerated assessment", "additional_monitoring": "additional monitoring",
+    "advanced_therapy": "advanced therapy (ATMP)", "prime": "PRIME priority medicine", "generic": "generic", "biosimilar": "biosimilar",
+}
+EMA = "name string, url string, inn string, atc string, status string, area string, indication string, " + ", ".join(f"{c} string" for c in REGISTER_FLAGS) + ", last_updated string"
+
+
+def is_yes(column: str) -> Column:
+    return F.lower(F.trim(F.coalesce(F.col(column), F.lit("")))) == "yes"
+
+
+def is_reference_medicine() -> Column:
+    """Whether a register row is neither a generic nor a biosimilar."""
+    return ~(is_yes("generic") | is_yes("biosimilar"))
 
 
 def ema() -> dict[str, Column]:
     """A register row; flags are the columns that say yes, and the date turns ISO."""
-    flags = F.array_join(F.array_compact(F.array(*(F.when(F.lower(F.col(c)) == "yes", c) for c in ("orphan", "generic", "biosimilar")))), ", ")
+    flags = F.array_join(F.array_compact(F.array(*(F.when(is_yes(c), name) for c, name in REGISTER_FLAGS.items()))), ", ")
     text = lines(("Substance", F.col("inn")), ("ATC", F.col("atc")), ("Status", F.col("status")), ("Area", F.col("area")), ("Flags", flags), ("Indication", plain(F.col("indication"))))
     iso = F.regexp_replace("last_updated", r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$2-$1")
     return {"title": F.col("name"), "url": F.col("url"), "content": text, "publication_date": iso}
@@ -113,11 +131,18 @@ def wikipedia() -> dict[str, Column]:
 
 
 PUBMED = (
-    "MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<struct<_VALUE: string, _Label: string>>>, AuthorList: struct<Author: array<struct<LastName: string, Initials: string>>>, "
-    "Journal: struct<JournalIssue: struct<PubDate: struct<Year: string, Month: string, Day: string>>>, PublicationTypeList: struct<PublicationType: array<string>>>, MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: string>>>>"
+    "MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string, ELocationID: array<struct<_VALUE: string, _EIdType: string>>, Abstract: struct<AbstractText: array<struct<_VALUE: string, _Label: string>>>, AuthorList: struct<Author: array<struct<LastName: string, Initials: string>>>, "
+    "Journal: struct<JournalIssue: struct<PubDate: struct<Year: string, Month: string, Day: string>>>, PublicationTypeList: struct<PublicationType: array<string>>>, MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: string>>>>, PubmedData struct<ArticleIdList: struct<ArticleId: array<struct<_VALUE: string, _IdType: string>>>>"
 )
 
 
+def pubmed_doi() -> Column:
+    """The DOI among a citation's article ids, else among its electronic locations; '' if neither has one."""
+    listed = F.filter(F.col("PubmedData.ArticleIdList.ArticleId"), lambda x: (x["_IdType"] == "doi") & (some(x["_VALUE"]) != ""))
+    located = F.filter(F.col("MedlineCitation.Article.ELocationID"), lambda x: (x["_EIdType"] == "doi") & (some(x["_VALUE"]) != ""))
+    return some(F.try_element_at(listed, F.lit(1))["_VALUE"], F.try_element_at(located, F.lit(1))["_VALUE"])
+
+
 def pubmed() -> dict[str, Column]:
     """A citation with labelled abstract parts, at most six authors, date parts, types and subject headings."""
     art = F.col("MedlineCitation.Article")
@@ -147,9 +172,12 @@ def read_questions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"questions array<struct<{schema}>>").option("multiLine", True).json(path).select(F.explode("questions").alias("q")).select("q.*")
 
 
-def read_aligned(spark: SparkSession, tokens: str, labels: str) -> DataFrame:
-    """doc, position, token, label from folders of token and label files of the same names; files of unequal length give no rows but one with an error."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^/.]*)?$", 1)
+def read_aligned(spark: SparkSession, tokens: str, labels: str, by_folder: str | None = None) -> DataFrame:
+    """doc, position, token, label from folders of token and label files of the same names; files of unequal length give no rows but one with an error.
+
+    With ``by_folder`` a file's name is that of the folder ``by_folder=name`` that it is in. Files are whole rows, so each is read by one task, and many by each task.
+    """
+    name = F.col(by_folder).cast("string") if by_folder else F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^/.]*)?$", 1)
     t = spark.read.text(tokens, wholetext=True).select(name.alias("doc"), F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("t"))
     m = spark.read.text(labels, wholetext=True).select(name.alias("doc"), F.filter(F.split(F.trim("value"), r"[,\s]+"), lambda x: x != "").alias("l"))
     both = t.join(m, "doc", "left")

@@ -39,18 +39,3 @@ EVIDENCE = f"""evidence AS (SELECT doc_id AS ev_id, substr(split_part(text, chr(
     CASE WHEN doc_id % 10 = 0 THEN '' ELSE (1990 + doc_id % 36) || '-06-15' END AS publication_date, (doc_id * 37) % 1501 AS citation_count, lang AS language,
     CASE doc_id % 7 WHEN 0 THEN ['Journal Article', 'Meta-Analysis', 'Review'] WHEN 1 THEN ['Randomized Controlled Trial'] WHEN 2 THEN ['Case Reports'] WHEN 3 THEN ['Letter'] ELSE [] END AS publication_types,
     doc_id AS arrival, doc_id // {POOL} AS topic_id FROM documents)"""
-
-
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A wide signal row for each candidate, by integer arithmetic on the document id."""
-    share = lambda a, n: f"((ev_id * {a}) % {n}) / {n - 1}.0D"
-    return evidence(spark, sf_dir).selectExpr(
-        "topic_id", "ev_id", "arrival", "source_type", "reliability_tier", "citation_count", "publication_date", *(f"{share(a, n)} as {name}" for name, a, n in ARITHMETIC)
-    )
-
-
-#: Column, factor, modulus.
-ARITHMETIC = (("cosine", 37, 1009), ("bm25", 53, 997), ("rrf", 59, 499), ("evidence", 61, 101), ("concept", 11, 5), ("offtopic", 13, 3), ("rerank", 71, 103), ("relevance", 29, 107))
-SIGNALS = EVIDENCE + ", signals AS (SELECT topic_id, ev_id, arrival, source_type, reliability_tier, citation_count, publication_date, " + ", ".join(
-    f"((ev_id * {a}) % {n}) / {n - 1}.0::DOUBLE AS {name}" for name, a, n in ARITHMETIC
-) + " FROM evidence)"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,25 +17,50 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+#: Folders written in each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str = "stage", keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The copy outlives lost executors and ends the lineage, like a reliable checkpoint, but is
-    compressed and columnar, so later readers prune columns and see true sizes.
+    compressed and columnar, so later readers prune columns and see true sizes. Within ``scratch`` it is dropped at the end, unless it is to ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(written: DataFrame) -> bool:
+    """Whether the files of a table that was written are still there."""
+    hadoop = written.sparkSession._jsc.hadoopConfiguration()
+    paths = [written.sparkSession._jvm.org.apache.hadoop.fs.Path(f) for f in written.inputFiles()]
+    return bool(paths) and all(p.getFileSystem(hadoop).exists(p) for p in paths[:1])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within are dropped at the end, by when the caller has to have written its result."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Bytes that a side may have to be broadcast.
 BROADCAST_BYTES = 256 << 20
 

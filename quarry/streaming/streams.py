@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from quarry.storage import shared_dir
+from quarry.operators.runs import in_ranges, run_places
+from quarry.storage import materialise, shared_dir
 
 
 def events(spark: SparkSession, sf_dir: str, max_bytes: int = 256 << 20) -> DataFrame:
@@ -21,29 +26,75 @@ def events(spark: SparkSession, sf_dir: str, max_bytes: int = 256 << 20) -> Data
     return files.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finish(spark: SparkSession, stream: DataFrame, mode: str, fold: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+def finish(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there, with its results and checkpoint in the shared folder, and read them.
 
-    Each batch goes through ``fold`` and is written under its number, once however often it is tried; complete mode keeps the last.
+    Each batch is written under its number, once however often it is tried; complete mode keeps the last.
     """
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{root}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
-        fold(batch).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/n={number}")
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/n={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.option("recursiveFileLookup", True).parquet(out)
     if mode == "complete":
         last = rows.agg(F.max("_batch").alias("last"))
         rows = rows.join(F.broadcast(last), F.col("_batch") == F.col("last")).drop("last")
-    return rows.withColumnRenamed("_batch", "batch") if mode == "update" else rows.drop("_batch")
+    return rows.drop("_batch")
 
 
-def quota_windows(log: DataFrame, max_requests: int = 200, max_tokens: int = 200_000, late: str = "10 minutes") -> DataFrame:
-    """Requests and tokens in windows of 60 seconds, and whether they exceed the limits."""
+def time_slices(rows: DataFrame, n: int, ts: str = "ts") -> list[DataFrame]:
+    """``rows`` in ``n`` slices of equal time, the earliest first; the ends are one row."""
+    us = F.unix_micros(F.col(ts))
+    lo, hi = rows.agg(F.min(us), F.max(us)).first()
+    if lo is None:
+        return [rows] * n
+    at = F.floor((us - lo) * n / F.lit(hi - lo + 1))
+    return [rows.filter(at == k) for k in range(n)]
+
+
+def replay(spark: SparkSession, slices: Sequence[DataFrame], plan: Callable[[DataFrame], DataFrame], mode: str = "update", fold: Callable[[DataFrame, int, str], DataFrame] | None = None, progress: list | None = None) -> DataFrame:
+    """Rows of a stream to which ``slices`` arrive one after another, with the ``slice`` that brought each.
+
+    Every slice is appended to the stream's folder, then the query is started, takes in all that is new, and ends; the next start
+    goes on from its checkpoint. So state outlives the query between slices, as it outlives a restart. Input, state and
+    results are in the shared folder. ``fold`` (batch, its number, the stream's folder) turns a batch into what is written; it may be tried again under the
+    same number. ``progress`` gets each start's reports.
+    """
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for k, part in enumerate(slices):
+        part.write.mode("append").parquet(f"{root}/in")
+
+        def keep(batch: DataFrame, number: int, k: int = k) -> None:
+            rows = fold(batch, number, root) if fold else batch
+            rows.withColumn("slice", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{root}/out/n={number}")
+
+        stream = plan(spark.readStream.schema(part.schema).parquet(f"{root}/in"))
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if progress is not None:
+            progress.append(list(query.recentProgress))
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/out")
+
+
+@contextmanager
+def kept_in_files(spark: SparkSession) -> Iterator[None]:
+    """State of streams that are started within is held by RocksDB, on disk and in increments; ``transformWithState`` needs it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def quota_windows(log: DataFrame, max_requests: int = 200, max_tokens: int = 200_000, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Requests and tokens in windows of 60 seconds, which begin every ``slide`` (each after the last if not given), and whether they exceed the limits."""
     source = log.withWatermark("ts", late) if log.isStreaming else log
-    sums = source.groupBy(F.window("ts", "60 seconds").alias("w")).agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"))
+    sums = source.groupBy(F.window("ts", "60 seconds", slide).alias("w")).agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"))
     return sums.select(F.col("w.start").alias("start"), "requests", "tokens", ((F.col("requests") > max_requests) | (F.col("tokens") > max_tokens)).alias("over"))
 
 
@@ -52,51 +103,156 @@ def run_sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "10 minut
     return source.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
-def first_arrivals(rows: DataFrame, keys: list[str], lifetime: str) -> DataFrame:
-    """The first row of each key that is no older than ``lifetime``."""
-    return rows.withWatermark("ts", lifetime).dropDuplicatesWithinWatermark(keys)
+def _us(interval: str) -> int:
+    return pd.Timedelta(interval).value // 1000
+
+
+class FirstWithin(StatefulProcessor):
+    """Keeps a key's row if none was kept in the ``lifetime`` before it. The state is the time of the last row that was kept; a timer drops it when that has run out."""
+
+    def __init__(self, lifetime_us: int):
+        self.lifetime = lifetime_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, handle.getValueState("kept", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([pdf["ts"].to_numpy("datetime64[us]").astype(np.int64) for pdf in rows]))
+        last = self.kept.get()[0] if self.kept.exists() else None
+        at, found = 0 if last is None else int(np.searchsorted(times, last + self.lifetime)), []
+        while at < len(times):
+            last = int(times[at])
+            found.append(last)
+            at = int(np.searchsorted(times, last + self.lifetime))
+        if found:
+            self.kept.update((last,))
+            self.handle.registerTimer((last + self.lifetime) // 1000 + 1)
+            yield pd.DataFrame({**{f"k{i}": [k] * len(found) for i, k in enumerate(key)}, "ts": np.array(found, "datetime64[us]")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.kept.exists() and self.kept.get()[0] + self.lifetime <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.kept.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def first_arrivals(spark: SparkSession, slices: Sequence[DataFrame], keys: list[str], lifetime: str = "30 days", late: str = "1 hour", progress: list | None = None) -> DataFrame:
+    """The rows of a stream that a cache of ``lifetime`` doesn't have: (keys, ts, slice).
+
+    A row is kept if its key has none, or if the last row that was kept is ``lifetime`` old or older; rows within don't prolong it. Rows that are later
+    than ``late`` behind the newest of earlier batches are dropped. A task sees a batch's rows of one key in chunks and holds their times. Keys whose row
+    has run out leave the state, so it is no larger than what a lifetime brings.
+    """
+    kinds = [slices[0].schema[k].dataType.simpleString() for k in keys]
+    schema = ", ".join(f"k{i} {kind}" for i, kind in enumerate(kinds)) + ", ts timestamp"
+
+    def plan(stream: DataFrame) -> DataFrame:
+        grouped = stream.select(*keys, "ts").withWatermark("ts", late).groupBy(*keys)
+        return grouped.transformWithStateInPandas(FirstWithin(_us(lifetime)), schema, "Update", "EventTime")
+
+    with kept_in_files(spark):
+        rows = replay(spark, slices, plan, progress=progress)
+    return rows.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "ts", "slice")
+
+
+def arrivals_by_rounds(rows: DataFrame, keys: list[str], lifetime: str = "30 days") -> DataFrame:
+    """``first_arrivals`` of a table: (keys, ts). Each round takes every key's first row that is ``lifetime`` or more after its last; there are
+    as many rounds as lifetimes in the table's time, and minima are taken before the shuffle."""
+    at = materialise(rows.groupBy(*keys, F.col("ts").cast("timestamp").alias("ts")).agg(F.count("*").alias("n")).drop("n"), "times")
+    front = materialise(at.groupBy(*keys).agg(F.min("ts").alias("ts")), "kept")
+    kept = front
+    while True:
+        last = front.select(*(F.col(k).alias(f"_{k}") for k in keys), (F.col("ts") + F.expr(f"interval {lifetime}")).alias("until"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        front = materialise(at.join(last, reduce(and_, same)).filter(F.col("ts") >= F.col("until")).groupBy(*keys).agg(F.min("ts").alias("ts")), "kept")
+        if not front.limit(1).count():
+            return kept
+        kept = kept.unionByName(front)
 
 
 def running_cost(log: DataFrame) -> DataFrame:
     return log.groupBy("purpose").agg(F.count("*").alias("calls"), F.sum("cost_cents").alias("cost_cents"))
 
 
-def novelty(spark: SparkSession, rows: DataFrame, topic: str, key: str, need: int = 3) -> DataFrame:
-    """Keys of each topic not seen before, batch by batch: topic, batch, n_new, n_seen, stopped.
+class NewKeys(StatefulProcessor):
+    """Counts keys that were not seen in the ``timeout`` before. The state is a map from key to when it was last seen; timers drop keys that are due to be forgotten."""
+
+    def __init__(self, timeout_us: int):
+        self.timeout = timeout_us
 
-    A topic has stopped from the first batch after its own first that brought fewer than ``need`` new keys. Null keys don't
-    count. The state is one entry for each (topic, key), spread over all partitions, with the times of the first and the
-    last batch that had it: a key is new in the batch where the two are equal. What is folded over batches is a count for
-    each topic and batch.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getMapState("seen", "key string", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, last = {}, {}
+        for pdf in rows:
+            us = pd.Series(pdf["ts"].to_numpy("datetime64[us]").astype(np.int64))
+            for k, lo, hi in us.groupby(pdf["key"].to_numpy()).agg(["min", "max"]).itertuples():
+                first[k], last[k] = min(lo, first.get(k, lo)), max(hi, last.get(k, hi))
+        new = 0
+        for k, at in first.items():
+            was = self.seen.getValue((k,))[0] if self.seen.containsKey((k,)) else None
+            new += was is None or at >= was + self.timeout
+            self.seen.updateValue((k,), (last[k] if was is None else max(was, last[k]),))
+        if last:
+            self.handle.registerTimer((min(last.values()) + self.timeout) // 1000 + 1)
+        yield pd.DataFrame({"topic": [key[0]], "n_new": [new]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, due, soonest = timerValues.getCurrentWatermarkInMs() * 1000, [], None
+        for k, (us,) in self.seen.iterator():
+            if us + self.timeout <= now:
+                due.append(k)
+            else:
+                soonest = us if soonest is None else min(soonest, us)
+        for k in due:
+            self.seen.removeKey(k)
+        if soonest is not None:
+            self.handle.registerTimer((soonest + self.timeout) // 1000 + 1)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def novelty(spark: SparkSession, slices: Sequence[DataFrame], topic: str, key: str, need: int = 3, timeout: str = "30 days", late: str = "1 hour", shares: int = 16, progress: list | None = None) -> DataFrame:
+    """Keys of each topic that are new, slice by slice: topic, batch, n_new, n_seen, stopped.
+
+    A key is new in a slice if its first row there is ``timeout`` or more after its last row before, or if it has none. A topic has stopped from the first batch
+    after its own first that brought fewer than ``need`` new keys. Null keys don't count. A topic's keys are spread over ``shares`` maps, so a
+    hot topic isn't one task; counts of shares are added up. Keys leave the state when they would count as new again.
     """
-    at = rows.select(F.col(topic).alias("topic"), F.col(key).alias("key"), F.current_timestamp().alias("at")).filter("key IS NOT NULL")
-    seen = at.groupBy("topic", "key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    counts = finish(spark, seen, "update", lambda batch: batch.groupBy("topic").agg(F.count_if(F.col("first") == F.col("last")).alias("n_new")))
+    named = [s.select(F.col(topic).alias("topic"), F.col(key).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts")).filter("key is not null") for s in slices]
+    kind = named[0].schema["topic"].dataType.simpleString()
+
+    def plan(stream: DataFrame) -> DataFrame:
+        dealt = stream.withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares))).withWatermark("ts", late).groupBy("topic", "share")
+        return dealt.transformWithStateInPandas(NewKeys(_us(timeout)), f"topic {kind}, n_new long", "Update", "EventTime")
+
+    with kept_in_files(spark):
+        counts = replay(spark, named, plan, fold=lambda batch, *_: batch.groupBy("topic").agg(F.sum("n_new").alias("n_new")), progress=progress)
+    counts = counts.withColumnRenamed("slice", "batch")
     so_far = Window.partitionBy("topic").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     few = (F.row_number().over(Window.partitionBy("topic").orderBy("batch")) > 1) & (F.col("n_new") < need)
     folded = counts.withColumn("few", few)
     return folded.select("topic", "batch", "n_new", F.sum("n_new").over(so_far).alias("n_seen"), F.bool_or("few").over(so_far).alias("stopped"))
 
 
-def breaker(rows: DataFrame, need: int = 5, cool_down: str = "60s") -> DataFrame:
-    """A row each time ``need`` failures in a row open a producer's breaker: user_id, opened_at, open_until. A success resets the count.
+def breaker(spark: SparkSession, slices: Sequence[DataFrame], need: int = 5, cool_down: str = "60 seconds") -> DataFrame:
+    """A row each time ``need`` failures in a row open a producer's breaker: user_id, opened_at, open_until, slice. A success resets the count.
 
-    Rows of a batch are put in order by (ts, event_id) within the producer, in one frame: a batch is bounded by the
-    stream's ``maxBytesPerTrigger`` (see ``events``), and with it what a hot producer can bring at once.
+    A batch's rows are dealt by ranges of (producer, ts, event_id) and folded (``operators.runs``), so a producer's rows are never in one task. What is carried from batch to batch is a
+    row for each producer with a streak, written under the batch's number; a batch that is tried again reads that of the batch before it.
     """
 
-    def run(user, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (streak,) = state.get if state.exists else (0,)
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        opened = []
-        for ts, failed in zip(pdf["ts"], pdf["failed"], strict=True):
-            streak = streak + 1 if failed else 0
-            if streak == need:
-                opened.append(ts)
-        state.update((streak,))
-        at = pd.Series(opened, dtype="datetime64[ns]")
-        if not opened:
-            return
-        yield pd.DataFrame({"user_id": pd.Series([user[0]] * len(opened), dtype="int64"), "opened_at": at, "open_until": at + pd.Timedelta(cool_down)})
-
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, opened_at timestamp, open_until timestamp", "streak int", "append", GroupStateTimeout.NoTimeout)
+    def fold(batch: DataFrame, number: int, root: str) -> DataFrame:
+        began = spark.read.parquet(f"{root}/streaks/n={number - 1}") if number else spark.createDataFrame([], "user_id long, streak long")
+        placed = materialise(run_places(in_ranges(batch, "user_id", ["ts", "event_id"]), "user_id", ["ts", "event_id"], began=began), "placed")
+        ended = placed.groupBy("user_id").agg(F.max_by("place", F.struct("ts", "event_id")).alias("now"))
+        both = began.withColumnRenamed("user_id", "u").join(ended, F.col("u").eqNullSafe(F.col("user_id")), "full")
+        both.select(F.coalesce("user_id", "u").alias("user_id"), F.coalesce("now", "streak").alias("streak")).filter("streak > 0").write.mode("overwrite").parquet(f"{root}/streaks/n={number}")
+        return placed.filter(F.col("place") == need).select("user_id", F.col("ts").alias("opened_at"), (F.col("ts") + F.expr(f"interval {cool_down}")).alias("open_until"))
+
+    return replay(spark, [s.select("user_id", "event_id", "ts", "failed") for s in slices], lambda stream: stream, "append", fold)

@@ -10,11 +10,8 @@ from quarry.operators.calibrate import calibrate as fit
 from quarry.operators.calibrate import objective, pack
 from quarry.operators.components import connected_components
 from quarry.plans.evaluation import BOUNDS, calibrate, feedback_rounds
-from quarry.plans.usage import stream_breaker, stream_novelty
 from quarry.plans.verification import judge_in_batches
 from quarry.storage import broadcast_if_small, materialise
-from quarry.streaming.streams import events as events_stream
-from quarry.streaming.streams import novelty
 from tests.conftest import SF
 
 
@@ -115,40 +112,6 @@ def test_storage(spark):
     assert big is rows and broadcast_if_small(rows, 10) is not rows
 
 
-def test_streams_equal_their_batch_twins(spark):
-    events = [r for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("user_id", "ts", "event_id").collect()]
-    opened, streak, user = 0, 0, None
-    for e in events:
-        streak = 0 if e.user_id != user else streak
-        user = e.user_id
-        streak = streak + 1 if e.event_type in ("error", "click") else 0
-        opened += streak == 3
-    assert stream_breaker(spark, SF).count() == opened
-    seen = {r.topic: r.n_seen for r in stream_novelty(spark, SF).collect()}  # one file, so one batch
-    assert seen == {t: len({e.user_id for e in events if e.event_type == t}) for t in seen} and len(seen) == 5
-
-
-def test_novelty_over_batches(spark, tmp_path):
-    batches = [[("a", 1), ("a", 2), ("a", 2), ("b", 1)], [("a", 1), ("a", 3), ("b", 2), ("b", 3), ("b", None)], [("a", 4), ("a", 5), ("b", 3)]]
-    for k, rows in enumerate(batches):
-        spark.createDataFrame([(t, u, 0) for t, u in rows], "topic string, user_id long, ts long").coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
-        next((tmp_path / f"part{k}").glob("*.parquet")).rename(tmp_path / f"events{k}.parquet")
-    got = novelty(spark, events_stream(spark, str(tmp_path), max_bytes=1), "topic", "user_id", need=2).orderBy("topic", "batch").collect()
-    by = {t: sorted((r.n_new, r.n_seen, r.stopped) for r in got if r.topic == t) for t in "ab"}
-    assert len(got) == 6 and sum(n for n, _, _ in by["a"]) == 5 and sum(n for n, _, _ in by["b"]) == 3
-    seen, n = {"a": set(), "b": set()}, {"a": 0, "b": 0}
-    files = sorted(tmp_path.glob("events*.parquet"), key=lambda p: p.stat().st_mtime_ns)
-    stopped = {"a": False, "b": False}
-    for k, f in enumerate(files):
-        for t in "ab":
-            new = {u for x, u in batches[int(f.stem[-1])] if x == t and u is not None} - seen[t]
-            seen[t] |= new
-            stopped[t] = stopped[t] or (n[t] > 0 and len(new) < 2)
-            n[t] += 1
-            row = next(r for r in got if r.topic == t and r.batch == k)
-            assert (row.n_new, row.n_seen, row.stopped) == (len(new), len(seen[t]), stopped[t])
-
-
 def test_calibration_and_feedback_run(spark):
     rows = calibrate(spark, SF, step=0.1, passes=2, starts=2).collect()
     assert len(rows) == 10 and all(0 <= r.base_ndcg <= r.train_ndcg <= 1 for r in rows)

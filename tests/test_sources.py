@@ -27,8 +27,8 @@ def test_other_json_dumps(spark, tmp_path):
     assert "Phase: PHASE3" in trial.content and "a, b, c, d, e\n" in trial.content and len(trial.content) == 4000 and len(trial.snippet) == 300
     label = D.normalise_dump(load(spark, tmp_path, "o", D.OPENFDA, [{"set_id": "1", "openfda": {"brand_name": ["Bee"]}, "warnings": ["w" * 900]}, {"set_id": "2", "openfda": {}}]), D.openfda(), "openfda").collect()
     assert [(r.title, r.content) for r in label] == [("Bee drug label", "Warnings: " + "w" * 800)]
-    ema = D.normalise_dump(load(spark, tmp_path, "m", D.EMA, [{"name": "N", "url": "u", "orphan": "Yes", "generic": "no", "biosimilar": "yes", "last_updated": "05/03/2020"}, {"url": "u"}]), D.ema(), "ema").collect()
-    assert [(r.content, r.publication_date) for r in ema] == [("Flags: orphan, biosimilar", "2020-03-05")]
+    ema = D.normalise_dump(load(spark, tmp_path, "m", D.EMA, [{"name": "N", "url": "u", "orphan": "Yes", "generic": "no", "biosimilar": "yes", "prime": " YES", "last_updated": "05/03/2020"}, {"url": "u"}]), D.ema(), "ema").collect()
+    assert [(r.content, r.publication_date) for r in ema] == [("Flags: orphan, PRIME priority medicine, biosimilar", "2020-03-05")]
     works = load(spark, tmp_path, "w", D.WORKS, [{"DOI": "10.1101/a", "title": ["P"], "posted": {"date-parts": [[2021, 3, 9]]}}, {"DOI": "10.2/b", "title": ["Q"], "institution": [{"name": "medRxiv"}]}, {"DOI": "10.2/c", "title": ["R"]}])
     got = D.normalise_dump(works.filter(D.is_preprint_work()), D.biorxiv(), "biorxiv").orderBy("title").collect()
     assert [(r.title, r.publication_date) for r in got] == [("P", "2021-03-09"), ("Q", "")]
