@@ -23,7 +23,8 @@ def rotate_perspectives(
     its own turns are masked in for training: their text and closing mark, not their header.
     A turn is rendered as ``<|assistant|>\\n``, ``<|user name=X|>\\n`` or ``<|system|>\\n``, then the text, then
     ``<|end|>\\n``; a null speaker is a user without a name, and null texts are empty. Turns are ordered
-    by number (nulls first) and, where numbers tie, by speaker and text; repeated rows are kept.
+    by number (nulls first) and, where numbers tie, by speaker and text; repeated rows are kept. Whatever the numbers are, a long
+    conversation is spread over tasks, but for turns that are equal up to the first 256 characters of their text.
 
     One row for each (conversation, speaker, piece): a conversation is dealt in pieces of ``piece_turns`` turns, so that
     neither a task nor a row holds an unbounded one; most have the single piece 0, and a longer rendering is the
@@ -35,19 +36,17 @@ def rotate_perspectives(
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    # where a turn falls: turns are counted by ranges of numbers first, so a long conversation is never one window
-    spread = rows.withColumn("range", F.floor(F.coalesce("turn", F.lit(-(2**62))) / piece_turns))
-    sizes = spread.groupBy("conv_id", "range").agg(F.count("*").alias("here"))
-    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0))).select(F.col("conv_id").alias("c"), F.col("range").alias("r"), "before")
-    inner = Window.partitionBy("conv_id", "range").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "text")
-    placed = spread.withColumn("at", F.row_number().over(inner).cast("long")).join(offsets, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
-    placed = placed.select("conv_id", "role", "text", (F.col("before") + F.col("at") - 1).alias("position"))
-
-    speakers = placed.filter(F.col("role").isNotNull() & (F.col("role") != system_role)).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
-    # written first, so that both sides of the join are plain exchanges and Spark can split a long conversation
-    speakers = materialise(speakers, "speakers")
-    viewed = placed.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    # where a turn falls: all turns are dealt by ranges of their order and written, so a conversation of any size lies in pieces one after another, and
+    # a turn's place is its place in the piece and what the pieces before it hold
+    dealt = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 256)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    placed = materialise(dealt.select("conv_id", "role", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "turns")
+    parts = placed.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(F.min("row").alias("first"), F.count("*").alias("here"))
+    before = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("start", F.coalesce(F.sum("here").over(before), F.lit(0)) - F.col("first")).drop("here", "first")
+    speakers = placed.filter(F.col("role").isNotNull() & (F.col("role") != system_role)).select(F.col("conv_id").alias("s"), F.col("role").alias("speaker")).distinct()
+    # written first, so that both sides of the join are plain exchanges
+    seen = materialise(parts.join(speakers, F.col("c").eqNullSafe(F.col("s"))).drop("s"), "speakers")
+    viewed = placed.join(seen, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).withColumn("position", F.col("row") + F.col("start"))
     own = F.col("role").eqNullSafe(F.col("speaker"))
     header = (
         F.when(own, F.lit(f"{OPEN}assistant{CLOSE}\n")).when(F.col("role") == system_role, F.lit(f"{OPEN}system{CLOSE}\n")).when(F.col("role").isNull(), F.lit(f"{OPEN}user{CLOSE}\n"))

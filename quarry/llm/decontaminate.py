@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.storage import broadcast_if_small, materialise
 
+#: Items whose shingles go to a text in one row.
+ITEMS_AT_A_TIME = 64
+
 
 def word_array(text: Column) -> Column:
     """Runs of letters and digits, lower case."""
@@ -68,26 +71,35 @@ def containment_matches(
     probes = hashed.select("doc", F.explode(probe).alias("x")).select("doc", "x.h", "x.m")
     candidates = materialise(probes.join(broadcast_if_small(sketches, broadcast_rows), ["h", "m"]).select("doc", "item").distinct(), "candidates")
 
-    found = candidates.groupBy("doc").agg(F.collect_set("item").alias("wanted"))
+    # the shingles of an item go to the texts that may hold it, some items at a time: a shingle that many items share brings no other items together with a text
+    several = candidates.groupBy("doc").agg(F.ceil(F.count("*") / ITEMS_AT_A_TIME).alias("pieces"))
+    asked = broadcast_if_small(sized.select("item", "n_item", F.col("by_hash.s").alias("strings")), broadcast_rows, 32 + F.aggregate("strings", F.lit(0), lambda n, x: n + 16 + F.octet_length(x)))
+    pieces = candidates.join(asked, "item").join(several, "doc").groupBy("doc", F.pmod(F.xxhash64("item"), "pieces").alias("piece"))
+    found = pieces.agg(F.collect_list(F.struct("item", "n_item", "strings")).alias("wanted"))
+    size = F.aggregate("wanted", F.lit(16), lambda n, x: n + 32 + F.aggregate(x["strings"], F.lit(0), lambda k, y: k + 16 + F.octet_length(y)))
     # the words of candidates only: the join comes before the split
-    near = texts.join(broadcast_if_small(found, broadcast_rows, 16 + 16 * F.size("wanted")), "doc").select("doc", "wanted", word_array(F.col("body")).alias("w"))
+    near = texts.join(broadcast_if_small(found, broadcast_rows, size), "doc").select("doc", "wanted", word_array(F.col("body")).alias("w"))
     strings = F.concat(*(F.coalesce(_runs(w, m, _text_of(w, m)), F.array().cast("array<string>")) for m in widths))
-    held = near.select("doc", "wanted", F.explode(F.array_distinct(strings)).alias("s"))
-    asked = broadcast_if_small(sized.select("item", "n_item", F.explode("by_hash.s").alias("s")), broadcast_rows, 32 + F.octet_length("s"))
-    both = held.join(asked, "s").filter(F.array_contains("wanted", F.col("item"))).select("doc", "item", "n_item", "s").distinct()
+    held = near.select("doc", "wanted", F.array_distinct(strings).alias("has"))
+    met = held.select("doc", F.explode(F.transform("wanted", lambda x: F.struct(x["item"].alias("item"), x["n_item"].alias("n_item"), F.array_intersect(x["strings"], F.col("has")).alias("both")))).alias("x"))
+    both = met.select("doc", "x.item", "x.n_item", F.explode("x.both").alias("s")).distinct()
     counted = both.groupBy("doc", "item", "n_item").agg(F.count("*").alias("n_shared")).filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return counted.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "n_shared", F.col("n_item").cast("long").alias("n_item"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def flag_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, contaminated boolean, n_items long, and the item_id of largest
-    containment (the smaller id on a tie) with that containment; null where nothing matched. Takes the options of ``containment_matches``."""
-    matches = containment_matches(docs, benchmark, id_col, **options)
-    best = matches.groupBy(F.col(id_col).alias("_doc")).agg(
+    containment (the smaller id on a tie) with that containment; null where nothing matched. A row with a null id is known by its
+    text instead, so it is flagged like any other. Takes the options of ``containment_matches``."""
+    text_col = options.get("text_col", "text")
+    key = F.coalesce(F.concat(F.lit("i"), F.col(f"`{id_col}`").cast("string")), F.concat(F.lit("t"), F.sha2(F.col(f"`{text_col}`").cast("binary"), 256)))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"), key.alias("key"))
+    matches = containment_matches(keyed, benchmark, "key", **options | {"text_col": "body"})
+    best = matches.groupBy(F.col("key").alias("_doc")).agg(
         F.count("*").alias("n_items"), F.min_by(F.struct("item_id", "containment"), F.struct(-F.col("containment"), F.col("item_id"))).alias("best")
     )
-    out = docs.select(id_col).join(best, F.col(id_col) == F.col("_doc"), "left")
-    return out.select(id_col, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.item_id").alias("item_id"), F.col("best.containment").alias("containment"))
+    out = keyed.select("id", "key").join(best, F.col("key") == F.col("_doc"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.item_id").alias("item_id"), F.col("best.containment").alias("containment"))
 
 
 def contamination_sql(width: int = 5, percent: int = 80) -> str:

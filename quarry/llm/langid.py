@@ -20,25 +20,27 @@ BLOCK_BYTES = 1 << 15
 
 
 def learn_dictionaries(
-    train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 100, row_bytes: int = 2048,
+    train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 100, row_bytes: int = 2048, most_langs: int = 256,
 ) -> dict[str, bytes]:
     """A raw-content dictionary for each language: whole texts of a sample of its labelled rows, end to end.
 
     The sample is at most ``rows_per_lang`` rows of a language, drawn by a hash among those of at most ``row_bytes`` bytes; a
-    language that has none of these is learned from its shortest text. So a dictionary has at most ``rows_per_lang * row_bytes``
-    bytes, or one longer text, and no text is cut. Rows without a language or with a blank text aren't used.
+    language that has none of these is learned from the head of its shortest text. So a dictionary has at most ``rows_per_lang * row_bytes``
+    characters, and there are at most ``most_langs`` of them, those of the commonest languages: what reaches the driver is bounded
+    however long texts are and whatever a dirty column holds. Rows without a language or with a blank text aren't used.
     """
     rows = train.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("body"), F.col(id_col).cast("string").alias("row_id")
     )
     draw = F.xxhash64("row_id", "body", F.lit(17))
     short = F.octet_length("body") <= row_bytes
-    picked = bounded_sample(rows.filter(short), rows_per_lang, draw, "lang").collect()
+    picked = bounded_sample(rows.filter(short), rows_per_lang, draw, "lang", most_langs).collect()
     parts: dict[str, list] = {}
     for r in sorted(picked, key=lambda r: (r.lang, r.row_id or "", r.body)):
         parts.setdefault(r.lang, []).append(r.body.lower().encode())
     other = rows.filter(~short).filter(~F.col("lang").isin(list(parts)))
-    for r in other.groupBy("lang").agg(F.min_by("body", F.struct(F.octet_length("body"), draw)).alias("body")).collect():
+    head = F.min_by(F.substring("body", 1, rows_per_lang * row_bytes), F.struct(F.octet_length("body"), draw)).alias("body")
+    for r in other.groupBy("lang").agg(F.count("*").alias("n"), head).orderBy(F.desc("n"), "lang").limit(max(0, most_langs - len(parts))).collect():
         parts[r.lang] = [r.body.lower().encode()]
     return {lang: b"\n".join(p) for lang, p in sorted(parts.items())}
 

@@ -183,7 +183,7 @@ class Cells:
 
     def of_pairs(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, n, b) as cells of one set ``a`` against pieces of its partners."""
-        sized = materialise(pairs.groupBy("a", "n").agg(F.count("*").alias("rows")), "heads").withColumn("pieces", self._pieces(F.col("n") * 1.2, F.col("rows"), 4096))
+        sized = materialise(pairs.groupBy("a", "n").agg(F.count("*").alias("rows")), "heads").withColumn("pieces", self._pieces(F.col("n") * 1.2, F.col("rows"), 512))
         right = pairs.join(sized.select("a", "pieces"), "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), "pieces")).alias("cell"), F.lit(1).alias("side"), F.col("b").alias("id"))
         left = sized.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("k")).select(F.xxhash64("a", "k").alias("cell"), F.lit(0).alias("side"), F.col("a").alias("id"))
         return left.union(right)

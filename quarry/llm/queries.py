@@ -54,7 +54,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Whether a row is held out; one without an id isn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

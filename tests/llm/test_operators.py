@@ -418,3 +418,38 @@ def test_perspectives(spark):
 
 def test_every_operator_has_its_query():
     assert {int(re.match(r"op(\d+)_", name)[1]) for name in queries()} == set(range(1, 11))
+
+
+def test_items_that_share_a_shingle_and_rows_without_an_id(spark):
+    """A passage that all items share, and copies of an item in rows without an id."""
+    head = "choose the best of the following answers to this question"
+    items = spark.createDataFrame([(k, f"{head} " + " ".join(f"i{k}w{j}" for j in range(30))) for k in range(150)], "item_id long, text string")
+    own = items.orderBy("item_id").first().text
+    docs = spark.createDataFrame([(1, head + " and nothing else"), (2, own), (None, own), (None, "clean text without any item"), (None, None), (7, " ".join(r.text for r in items.collect()))], "doc_id long, text string")
+    got = flag_contaminated(docs, items).collect()
+    assert len(got) == 6 and sorted((r.n_items for r in got)) == [0, 0, 0, 1, 1, 150]
+    assert all(r.contaminated == (r.n_items > 0) and (r.item_id == 0 or not r.contaminated) for r in got)
+    assert {r.doc_id for r in got if r.contaminated} == {2, None, 7}
+
+
+def test_perspectives_of_a_long_conversation_with_tied_turns(spark):
+    """Turns without numbers, with large ones, and all alike are put in order over several tasks."""
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(1, None, "ab"[k % 2], f"t{k:05}") for k in range(3000)] + [(2, 10**9 * k, "ab"[k % 2], f"t{k:05}") for k in range(3000)] + [(3, 5, "a", "same")] * 700
+    found = rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).orderBy("conv_id", "speaker", "piece").collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for conv in (1, 2):
+        text = "".join(r.rendered for r in found if r.conv_id == conv and r.speaker == "a")
+        order = sorted(rows[:3000], key=lambda r: (r[2], r[3])) if conv == 1 else rows[:3000]
+        assert re.findall(r"t\d{5}", text) == [r[3] for r in order]
+    assert [(r.n_turns, r.n_own) for r in found if r.conv_id == 3] == [(512, 512), (188, 188)]
+
+
+def test_dirty_languages_and_long_texts_stay_bounded(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of text "), "id").alias("text"), F.when(F.col("id") < 2000, "en").when(F.col("id") < 2600, "de").otherwise(F.concat(F.lit("x"), "id")).alias("lang"))
+    assert sorted(learn_dictionaries(rows, most_langs=3))[:2] == ["de", "en"] and len(learn_dictionaries(rows, most_langs=3)) == 3
+    long = spark.createDataFrame([(1, "ab " * 100_000, "fr"), (2, "short", "en")], "doc_id long, text string, lang string")
+    found = learn_dictionaries(long, rows_per_lang=2, row_bytes=100)
+    assert len(found["fr"]) == 200 and found["en"] == b"short"
