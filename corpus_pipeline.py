@@ -15,13 +15,22 @@ from quarry.llm.decontaminate import containment_matches
 from quarry.llm.langid import identify_language, learn_dictionaries
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.suffix_dedup import remove_repeats
-from quarry.storage import materialise
+from quarry.storage import materialise, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes from which a repeated string is cut out: most runs of over 50 words are longer (README).
 REPEAT_BYTES = 240
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_key``: the id, or for rows without one a number from 2 ** 62 on, behind all ids. Such rows get theirs in a written copy, so
+    that it stays the same whenever it is read."""
+    rows = docs.select(*COLUMNS)
+    if not rows.filter("doc_id is null").limit(1).count():
+        return rows.withColumn("_key", F.col("doc_id").cast("long"))
+    return materialise(rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.monotonically_increasing_id())), "keyed")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; a document without letters, or as near to two languages, goes."""
     found = identify_language(docs.select(*COLUMNS), learn_dictionaries(docs), keep=True)
@@ -31,10 +40,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five-word shingles, 0.8): the one with the smallest id.
 
-    Documents without words are in no component and stay; of rows that repeat an id all or none stay.
+    Documents without words are in no component and stay; of rows that repeat an id all or none stay. A row without an id goes if another document is like it.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    keyed = _keyed(docs)
+    gone = near_duplicates(keyed, "_key").filter(~F.col("kept")).select("_key").distinct()
+    return keyed.join(gone, "_key", "left_anti").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +62,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item to 0.8 of its five-word shingles."""
-    matches = containment_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(matches.select("doc_id").distinct(), "doc_id", "left_anti")
+    keyed = _keyed(docs)
+    matches = containment_matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_key")
+    return keyed.join(matches.select("_key").distinct(), "_key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,5 +83,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage leaves in the shared folder goes once its result is written
+            docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
     return docs
