@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import dumps, evaluation, findings, ranking, retrieval, text_work, usage, verification  # noqa: F401  they register themselves
+from quarry.plans import dumps, evaluation, findings, query_building, ranking, retrieval, text_work, usage, verification  # noqa: F401  they register themselves
 from quarry.plans.registry import QUERIES, SQL
 
 
