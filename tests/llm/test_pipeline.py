@@ -95,7 +95,7 @@ def test_rows_without_an_id_are_held_to_the_same_rules(spark, tmp_path):
     clean = [" ".join(f"{c}{k}" for k in range(80)) for c in "pqr"]
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(None, clean[0], "en", "s", 1), (4, clean[0], "en", "s", 1), (None, clean[1], "en", "s", 1), (None, clean[1], "en", "s", 1), (None, f"x y z {item}", "en", "s", 1), (9, clean[2], "en", "s", 1), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    kept = pipeline.near_dedup(spark, docs, str(tmp_path))
     assert sorted(((r.doc_id, (r.text or "")[:1]) for r in kept.collect()), key=repr) == sorted([(4, "p"), (None, "q"), (None, "x"), (9, "r"), (None, "")], key=repr)
-    left = corpus_pipeline.decontaminate(spark, kept, str(tmp_path)).collect()
-    assert sorted((r.text or "")[:1] for r in left) == ["", "p", "q", "r"] and set(left[0].asDict()) == set(corpus_pipeline.COLUMNS)
+    left = pipeline.decontaminate(spark, kept, str(tmp_path)).collect()
+    assert sorted((r.text or "")[:1] for r in left) == ["", "p", "q", "r"] and set(left[0].asDict()) == set(pipeline.COLUMNS)
