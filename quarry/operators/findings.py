@@ -68,3 +68,14 @@ def block_of(findings: Column, summary: Column) -> Column:
     """What a prompt shows of a source: a line for each finding, with its quote if it has one, or the summary where it has no findings."""
     lines = F.transform(findings, lambda x: F.concat(F.lit("- "), x["statement"], F.coalesce(F.concat(F.lit(' "'), x["quote"], F.lit('"')), F.lit("")), F.lit(" ["), x["label"], F.lit("]")))
     return F.when(F.size(findings) > 0, F.array_join(lines, "\n")).otherwise(summary)
+
+
+#: Fixed value: a proposition holds from this score on.
+HOLDS = 0.5
+
+
+def classify(supports: Column, contradicts: Column) -> dict[str, Column]:
+    """label and decisive: the proposition that holds and outweighs the other, with its score; else NOINFO, with how far both are from certain."""
+    yes, no = (supports >= HOLDS) & (supports > contradicts), (contradicts >= HOLDS) & (contradicts > supports)
+    decisive = F.when(yes, supports).when(no, contradicts).otherwise(1 - F.greatest(supports, contradicts))
+    return {"label": F.when(yes, "SUPPORT").when(no, "CONTRADICT").otherwise("NOINFO"), "decisive": F.round(decisive, 6)}

@@ -81,7 +81,10 @@ BOUNDS = {n: (-0.6, 0.0) if n == "offtopic" else (0.0, 0.5) for n in PRIOR_WEIGH
 @query("calibrate")
 def calibrate(spark, sf, **how):
     """The prior's weights fitted to graded pools by ``operators.calibrate``: name, weight, and the means before, after and on folds left out."""
-    rows = curves(graded(spark, sf)).select("topic_id", "arrival", "grade", *PRIOR_WEIGHTS)
+    pools = graded(spark, sf)
+    # a topic without gold in its pool has no order that is better than another
+    judged = retrieve.broadcast_if_small(pools.filter("grade > 0").select("topic_id").distinct(), 1_000_000)
+    rows = curves(pools.join(judged, "topic_id", "left_semi")).select("topic_id", "arrival", "grade", *PRIOR_WEIGHTS)
     weights, means = fit(rows, PRIOR_WEIGHTS, BOUNDS, **how)
     return spark.createDataFrame([(n, w, means["base"], means["train"], means["held"]) for n, w in weights.items()], "name string, weight double, base_ndcg double, train_ndcg double, held_ndcg double")
 

@@ -69,3 +69,12 @@ def output_fields(spark, sf):
 def finding_blocks(spark, sf):
     """What a prompt shows of each source: its findings with their quotes, or its summary."""
     return N.parse_output(outputs(spark, sf)).select("ev_id", N.block_of(F.col("findings"), F.col("summary")).alias("block"))
+
+
+@query("two_propositions", f"""WITH {PARSED_SQL}, p AS (SELECT f.ev_id, coalesce(max(confidence) FILTER (label = 'SUPPORT'), 0) AS s, coalesce(max(confidence) FILTER (label = 'CONTRADICT'), 0) AS c FROM fields f LEFT JOIN parsed USING (ev_id) GROUP BY f.ev_id)
+    SELECT ev_id, CASE WHEN s >= 0.5 AND s > c THEN 'SUPPORT' WHEN c >= 0.5 AND c > s THEN 'CONTRADICT' ELSE 'NOINFO' END AS label, round(CASE WHEN s >= 0.5 AND s > c THEN s WHEN c >= 0.5 AND c > s THEN c ELSE 1 - greatest(s, c) END, 6)::DOUBLE AS decisive FROM p""")
+def two_propositions(spark, sf):
+    """What a source says by two scores, of the strongest finding for and of the strongest against, and the score that decides."""
+    rows = N.parse_output(outputs(spark, sf))
+    best = lambda label: F.coalesce(F.array_max(F.transform(F.filter("findings", lambda x: x["label"] == label), lambda x: x["confidence"])), F.lit(0.0))
+    return rows.select("ev_id", best("SUPPORT").alias("s"), best("CONTRADICT").alias("c")).select("ev_id", *(c.alias(n) for n, c in N.classify(F.col("s"), F.col("c")).items()))

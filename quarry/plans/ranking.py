@@ -189,6 +189,7 @@ def mmr_first_two(spark, sf):
     return top_per_group(rest, ["topic_id"], [F.desc("value"), "arrival"], 1, "n").select("topic_id", "first", F.col("ev_id").alias("second"))
 
 
+#: Classes of studies by their words, the best first.
 STUDY_SQL = """CASE WHEN contains(low, 'systematic review') OR contains(low, 'meta-analys') THEN 0 WHEN contains(low, 'randomized controlled') OR contains(low, 'rct') THEN 1 WHEN contains(low, 'guideline') OR contains(low, 'practice recommendation') THEN 2
     WHEN contains(low, 'cohort') OR contains(low, 'prospective') THEN 3 WHEN contains(low, 'review') THEN 4 ELSE 5 END"""
 
@@ -434,6 +435,7 @@ def register_search(spark, sf):
     return G.register_search(asked, register)
 
 
+#: Texts of trials in each state; the scores of results, status, phase and enrolment below are fixed values.
 TRIAL_WORDS = ("Completed, has posted results. Phase 3. Enrollment: 1500", "Active. phase4 Enrollment: 150", "Recruiting phase 2 Enrollment: 20", "withdrawn", "completed phase 3 and phase 4")
 
 

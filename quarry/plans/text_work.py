@@ -286,6 +286,22 @@ def stratified_sample(spark, sf):
     return top_per_group(once, ["lang"], [F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id"], 30, "r").select("doc_id", "lang")
 
 
+#: How many labelled documents a question must have, and how many questions of a type are drawn.
+LABELLED, PER_TYPE = (3, 12), 20
+#: Orders stand for questions here, their priority for the type, their customer for the body and their lines for labelled documents.
+DRAWN_TYPES = ("1-URGENT", "2-HIGH")
+
+
+@query("stratified_questions", f"""WITH n AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1), q AS (SELECT min(o_orderkey) AS id, o_orderpriority AS type, o_custkey AS body FROM orders JOIN n ON l_orderkey = o_orderkey WHERE o_orderpriority IN {DRAWN_TYPES} AND n BETWEEN {LABELLED[0]} AND {LABELLED[1]} GROUP BY type, body),
+    once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY id) AS again FROM q) WHERE again = 1) SELECT id, type FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY md5('42:' || id), id) AS r FROM once) WHERE r <= {PER_TYPE}""")
+def stratified_questions(spark, sf):
+    """Questions of some types with three to twelve labelled documents, each body once, at most twenty of a type by a seeded hash."""
+    labelled = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.countDistinct("l_partkey").alias("n")).filter(F.col("n").between(*LABELLED))
+    asked = table(spark, sf, "orders").filter(F.col("o_orderpriority").isin(*DRAWN_TYPES)).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("type"), F.col("o_custkey").alias("body"))
+    once = asked.join(labelled, "id").groupBy("body").agg(F.min(F.struct("id", "type")).alias("q")).select("q.id", "q.type")
+    return top_per_group(once, ["type"], [F.md5(F.concat(F.lit("42:"), F.col("id").cast("string"))), "id"], PER_TYPE, "r").select("id", "type")
+
+
 @query("disjoint_resample", """WITH once AS (SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY lang, text), used AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS r FROM once) WHERE r <= 30)
     SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('8:' || doc_id), doc_id) AS r FROM once WHERE doc_id NOT IN (SELECT doc_id FROM used)) WHERE r <= 30""")
 def disjoint_resample(spark, sf):

@@ -306,3 +306,16 @@ def ordinal_stance(spark, sf):
     """Raw scores rounded half to even onto the legend, with their mean by gold label."""
     raw = F.col("confidence") * 4
     return verdicts(spark, sf).select("gold", raw.alias("raw")).groupBy("gold", F.bround("raw", 0).cast("int").alias("step")).agg(F.count("*").alias("n"), F.round(F.avg("raw"), 6).alias("mean"))
+
+
+#: What the steps of the legend stand for, the lowest first.
+LEGEND = ("CONTRADICT", "CONTRADICT", "NOINFO", "SUPPORT", "SUPPORT")
+
+
+@query("ordinal_labels", f"""WITH {VERDICTS_SQL}, s AS (SELECT gold, confidence * 4 AS raw FROM verdicts), r AS (SELECT gold, raw, CAST(CASE WHEN abs(raw - floor(raw) - 0.5) < 1e-9 THEN 2 * round(raw / 2) ELSE round(raw) END AS INTEGER) AS step FROM s)
+    SELECT gold, {list(LEGEND)}[1 + step] AS label, count(*) AS n, round(min(raw), 6) AS least, round(max(raw), 6) AS most FROM r GROUP BY ALL""")
+def ordinal_labels(spark, sf):
+    """The label that each rounded score stands for, by gold label, with the range of the scores behind it."""
+    raw = F.col("confidence") * 4
+    label = F.element_at(F.array(*map(F.lit, LEGEND)), 1 + F.bround("raw", 0).cast("int"))
+    return verdicts(spark, sf).select("gold", raw.alias("raw")).groupBy("gold", label.alias("label")).agg(F.count("*").alias("n"), F.round(F.min("raw"), 6).alias("least"), F.round(F.max("raw"), 6).alias("most"))
