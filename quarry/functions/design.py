@@ -95,3 +95,21 @@ def of_article(read: Column, source: Column, types: Column, text: Column) -> Col
     """An external reading of the full text wins unless it is unknown."""
     named = normalise(read)
     return F.coalesce(F.when(named != "unknown", named), detect(source, types, text))
+
+
+#: What results, status, phase and enrolment add to a trial's score, by how its text states them; of each list the first that is found counts.
+TRIAL_RESULTS, TRIAL_STATUS, TRIAL_PHASE, TRIAL_SIZE = 100, (("completed", 50), ("active", 30), ("recruiting", 20)), (("phase ?3", 15), ("phase ?4", 12), ("phase ?2", 8)), ((1000, 20), (100, 10))
+
+
+def trial_score(text: Column) -> Column:
+    """A trial's score by what its text says."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    enrolled = F.coalesce(F.regexp_extract(low, r"enroll?ment: (\d+)", 1).try_cast("long"), F.lit(0))
+
+    def first(rules, found) -> Column:
+        out = F.lit(0)
+        for rule, points in reversed(rules):
+            out = F.when(found(rule), points).otherwise(out)
+        return out
+
+    return F.when(F.contains(low, F.lit("has posted results")), TRIAL_RESULTS).otherwise(0) + first(TRIAL_STATUS, lambda w: F.contains(low, F.lit(w))) + first(TRIAL_PHASE, low.rlike) + first(TRIAL_SIZE, lambda n: enrolled > n)

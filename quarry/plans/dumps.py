@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.design import trial_score
+from quarry.functions.text import paper_id
+from quarry.operators.retrieve import top_per_group
 from quarry.plans.registry import query
 from quarry.sources import dumps as D
 from quarry.sources import linked as L
@@ -240,3 +243,39 @@ def published_rows(spark, sf):
     path = _place(spark)
     D.publish(table(spark, sf, "documents").filter("text is not null").select("doc_id", "text"), path, ["text"], lambda c: F.regexp_replace(c, '(token = ")[0-9a-f]+', "$1[redacted]"))
     return spark.read.schema("doc_id long, text string").json(path)
+
+
+STATES = ("COMPLETED", "ACTIVE_NOT_RECRUITING", "RECRUITING", "WITHDRAWN")
+PHASES = ("PHASE3", "PHASE4", "PHASE2", "NA")
+
+
+@query("trial_dump_priority", f"""WITH {EVIDENCE}, {BASE}, x AS (SELECT ev_id, length(c) AS n, substr(t, 1, 1) AS topic, t FROM base WHERE t <> ''),
+    s AS (SELECT topic, ev_id, CASE WHEN n % 5 = 0 THEN 100 ELSE 0 END + [50, 30, 20, 0][1 + n % 4] + [15, 12, 8, 0][1 + n % 3] + CASE WHEN n % 1500 > 1000 THEN 20 WHEN n % 1500 > 100 THEN 10 ELSE 0 END AS score FROM x)
+    SELECT topic, ev_id, score, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, ev_id) AS r FROM s) WHERE r <= 20""")
+def trial_dump_priority(spark, sf):
+    """The first twenty trials of each initial by what their normalised texts say of results, status, phase and enrolment."""
+    n = F.length("c")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (1 + n % by).cast("int"))
+    at = F.col("ev_id")
+    rows = base(spark, sf).filter("t <> ''").select(
+        F.concat(F.lit("NCT"), at.cast("string")).alias("nctId"), F.col("t").alias("briefTitle"), F.concat(pick(STATES, 4), F.when(n % 5 == 0, ", has posted results").otherwise("")).alias("overallStatus"), F.array(pick(PHASES, 3)).alias("phases"), (n % 1500).alias("enrollment"))
+    found = D.normalise_dump(as_json(rows, D.TRIALS), D.clinicaltrials(), "clinicaltrials")
+    scored = found.select(F.substring("title", 1, 1).alias("topic"), F.regexp_extract("url", r"NCT(\d+)$", 1).cast("long").alias("ev_id"), trial_score(F.col("content")).alias("score"))
+    return top_per_group(scored, ["topic"], [F.desc("score"), "ev_id"], 20, "place").select("topic", "ev_id", "score", "place")
+
+
+@query("crosswalk_before_grading", f"""WITH {EVIDENCE}, gold AS (SELECT doc_id AS ev_id FROM labels WHERE quality = 1), u AS (SELECT ev_id, source_type, ev_id % 2 = 0 AS pmc, ev_id % 10 <> 4 AS linked FROM evidence)
+    SELECT source_type, count(*) AS n, count(*) FILTER (NOT pmc) AS by_url, count(*) FILTER (NOT pmc OR linked) AS by_crosswalk, count(*) FILTER ((NOT pmc OR linked) AND ev_id IN (SELECT ev_id FROM gold)) AS relevant FROM u GROUP BY source_type""")
+def crosswalk_before_grading(spark, sf):
+    """Records whose urls name a full text are graded by the id of the article that it is the copy of: how many can be graded by their url, and after the crosswalk."""
+    at = F.col("ev_id")
+    pmc, pmid = F.concat(F.lit("PMC"), at.cast("string")), (1000 + at).cast("string")
+    rows = evidence(spark, sf).select("ev_id", "source_type", F.when(at % 2 == 0, F.concat(F.lit("https://europepmc.org/article/PMC/"), pmc)).otherwise(F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/"))).alias("url"))
+    even = rows.filter(at % 2 == 0)
+    # an article's own copy, and an article that only cites it
+    links = even.filter(at % 10 != 4).select(pmid.alias("pmid"), F.lit("pubmed_pmc").alias("linkname"), pmc.alias("pmcid"), F.lit(1).alias("position")).union(even.select((9_000_000 + at).cast("string"), F.lit("pubmed_pmc_refs"), pmc, F.lit(0)))
+    own = L.full_text_ids(links)
+    found = rows.withColumn("pmcid", F.nullif(F.regexp_extract("url", r"/PMC/(PMC\d+)$", 1), F.lit(""))).join(own, "pmcid", "left").withColumn("own", paper_id(F.col("url")))
+    graded = found.withColumn("paper", F.coalesce("own", F.concat(F.lit("PMID:"), "pmid")))
+    gold = table(spark, sf, "labels").filter("quality = 1").select(F.concat(F.lit("PMID:"), (1000 + F.col("doc_id")).cast("string")).alias("paper"), F.lit(True).alias("gold")).distinct()
+    return graded.join(gold, "paper", "left").groupBy("source_type").agg(F.count("*").alias("n"), F.count("own").alias("by_url"), F.count("paper").alias("by_crosswalk"), F.count("gold").alias("relevant"))

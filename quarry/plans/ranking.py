@@ -445,10 +445,5 @@ TRIAL_WORDS = ("Completed, has posted results. Phase 3. Enrollment: 1500", "Acti
 def trial_priority(spark, sf):
     """The first twenty trials of a topic by results, status, phase and enrolment, as their text states them."""
     rows = evidence(spark, sf).select("topic_id", "ev_id", "arrival", F.element_at(F.array(*map(F.lit, TRIAL_WORDS)), (1 + F.col("ev_id") % 5).cast("int")).alias("c"))
-    low = F.lower("c")
-    has = lambda w: F.contains(low, F.lit(w))
-    enrolled = F.coalesce(F.regexp_extract("c", r"Enrollment: (\d+)", 1).try_cast("long"), F.lit(0))
-    status = F.when(has("completed"), 50).when(has("active"), 30).when(has("recruiting"), 20).otherwise(0)
-    phase = F.when(low.rlike("phase ?3"), 15).when(low.rlike("phase ?4"), 12).when(low.rlike("phase ?2"), 8).otherwise(0)
-    score = F.when(has("has posted results"), 100).otherwise(0) + status + phase + F.when(enrolled > 1000, 20).when(enrolled > 100, 10).otherwise(0)
+    score = D.trial_score(F.col("c"))
     return top_per_group(rows.withColumn("score", score), ["topic_id"], [F.desc("score"), "arrival"], 20, "place").select("topic_id", "ev_id", "score", "place")
