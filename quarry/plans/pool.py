@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from quarry.operators import retrieve
 from quarry.operators.index import Index, build_index, search_index, term_weights
 from quarry.plans.retrieval import BM25_SQL, WINDOW, topics
 from quarry.sources.tables import EVIDENCE, evidence, table
-from quarry.storage import broadcast_if_small, exists, materialise
+from quarry.storage import broadcast_if_small, materialise, written_once
 
 #: Hits of a provider that a topic's pool takes, and leading hits whose vectors stand for the topic.
 HITS, LEADERS = 14, 3
@@ -45,16 +47,10 @@ def covered(hits: DataFrame, records: DataFrame, terms: DataFrame) -> DataFrame:
     return met.groupBy("topic_id", "id", "kind").agg(F.count("*").alias("n"), F.sum("idf").alias("weight"))
 
 
-#: Where a session's pools lie, by application and folder of tables.
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
-
-
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``build_signals`` as a table that a session writes once for each folder of tables, since many queries begin with it."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _WRITTEN or not exists(_WRITTEN[key]):
-        _WRITTEN[key] = materialise(build_signals(spark, sf_dir), "signals", keep=True)
-    return _WRITTEN[key]
+    folder = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return written_once(spark, f"signals-{folder}", lambda: build_signals(spark, sf_dir))
 
 
 def build_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

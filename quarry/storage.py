@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,11 +42,13 @@ def materialise(df: DataFrame, name: str = "stage", keep: bool = False) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def exists(written: DataFrame) -> bool:
-    """Whether the files of a table that was written are still there."""
-    hadoop = written.sparkSession._jsc.hadoopConfiguration()
-    paths = [written.sparkSession._jvm.org.apache.hadoop.fs.Path(f) for f in written.inputFiles()]
-    return bool(paths) and all(p.getFileSystem(hadoop).exists(p) for p in paths[:1])
+def written_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, as a table that is written under ``name`` once for each application, and again only if it is gone."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 @contextmanager
