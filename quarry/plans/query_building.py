@@ -8,10 +8,11 @@ from quarry.functions import queries as Q
 from quarry.functions.text import tokenize
 from quarry.operators.identity import host_filter
 from quarry.operators.retrieve import top_per_group
+from quarry.plans.ranking import GATE_NEEDS_SUBJECT, GATES, LITERATURE, TYPE_PROVIDERS
 from quarry.plans.registry import query
 from quarry.plans.retrieval import FETCHABLE, _domains, _listed_sql, tokens_sql
 from quarry.plans.text_work import PAGES_SQL, page_text
-from quarry.sources.tables import EVIDENCE, evidence, table
+from quarry.sources.tables import EVIDENCE, PROVIDERS, evidence, table
 
 TYPES = ("dosage", "drug_interaction", "definition", "prevalence", "drug", "adverse_effect", "other")
 ASKED_WORDS = ("what is the dose of ", "Side effects (", "mechanism: ")
@@ -140,3 +141,36 @@ def reported_terms(spark, sf):
     listed = first.groupBy().agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "term"))), 1, 15).alias("l"))  # twenty rows
     shown = F.aggregate("l", F.lit(0).cast("long"), lambda total, x: total - x["m"])
     return listed.select(F.posexplode("l").alias("at", "x"), shown.alias("shown")).select("x.term", (-F.col("x.m")).alias("n"), (F.col("at") + 1).cast("int").alias("rank"), "shown")
+
+
+#: Domains and types of topic that are medical.
+MEDICAL_DOMAINS = ("medicine", "veterinary_medicine")
+MEDICAL_TYPES = ("drug", "dosage", "drug_classification", "mechanism_of_action", "contraindication", "drug_interaction", "adverse_effect", "diagnostic_criteria", "clinical_guideline", "reference_value", "epidemiology", "statistic")
+DOMAINS = ("medicine", "law", "veterinary_medicine", "physics", "history")
+ROUTED_TYPES = ("Dosage ", "definition", "drug_interaction", "epidemiology", "other", "adverse_effect", "drug")
+TAILS = (" prevalence and label", " side effect recall", " they interact", "")
+BRIEFED = (("biorxiv", "wikipedia", "nowhere"), ("ema", "who_gho"), ())
+_PAIRS = lambda table_: "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in table_.items() for b in bs) + ")"
+
+
+@query("domain_routing", f"""WITH t AS (SELECT item_id, {list(DOMAINS)}[1 + item_id % 5] AS domain, lower(trim({list(ROUTED_TYPES)}[1 + item_id % 7])) AS type, lower(text) || {list(TAILS)}[1 + item_id % 4] AS text, CASE WHEN item_id % 3 = 0 THEN '' ELSE 'x' END AS subject, {[list(b) for b in BRIEFED]}[1 + item_id % 3] AS brief FROM benchmark),
+    m AS (SELECT *, domain IN {MEDICAL_DOMAINS} OR type IN {MEDICAL_TYPES} AS medical FROM t), rules(type, provider) AS {_PAIRS(TYPE_PROVIDERS)}, gates(provider, word) AS {_PAIRS(GATES)},
+    c AS (SELECT item_id, unnest({list(LITERATURE)}) AS provider FROM m WHERE medical UNION SELECT item_id, 'wikipedia' FROM m WHERE NOT medical UNION SELECT item_id, provider FROM (SELECT item_id, medical, unnest(brief) AS provider FROM m) WHERE NOT medical OR provider <> 'wikipedia' UNION SELECT item_id, provider FROM m JOIN rules USING (type) WHERE medical),
+    k AS (SELECT c.* FROM c JOIN m USING (item_id) WHERE NOT medical OR provider NOT IN (SELECT provider FROM gates) OR (EXISTS (SELECT 1 FROM gates g WHERE g.provider = c.provider AND contains(m.text, g.word)) AND (provider NOT IN {tuple(GATE_NEEDS_SUBJECT)} OR subject <> '')))
+    SELECT item_id, string_agg(provider, ',' ORDER BY list_position({list(PROVIDERS)}, provider)) AS providers FROM k WHERE list_contains({list(PROVIDERS)}, provider) GROUP BY item_id""")
+def domain_routing(spark, sf):
+    """Providers of every topic by its domain, its type and the brief. Rules and gates are short constant tables that topics meet by equality."""
+    k = F.col("item_id")
+    nth = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (1 + k % n).cast("int"))
+    brief = F.element_at(F.array(*(F.array(*map(F.lit, b)) if b else F.array().cast("array<string>") for b in BRIEFED)), (1 + k % 3).cast("int"))
+    t = table(spark, sf, "benchmark").select("item_id", nth(DOMAINS, 5).alias("domain"), F.lower(F.trim(nth(ROUTED_TYPES, 7))).alias("type"), F.concat(F.lower("text"), nth(TAILS, 4)).alias("text"), F.when(k % 3 == 0, "").otherwise("x").alias("subject"), brief.alias("brief"))
+    t = t.withColumn("medical", F.col("domain").isin(*MEDICAL_DOMAINS) | F.col("type").isin(*MEDICAL_TYPES))
+    rules = spark.createDataFrame([(kind, p) for kind, ps in TYPE_PROVIDERS.items() for p in ps], "type string, provider string")
+    listed = spark.createDataFrame(list(enumerate(PROVIDERS)), "place int, provider string")
+    own = F.when(F.col("medical"), F.concat(F.array(*map(F.lit, LITERATURE)), F.filter("brief", lambda p: p != "wikipedia"))).otherwise(F.array_append("brief", F.lit("wikipedia")))
+    chosen = t.select("item_id", F.explode(own).alias("provider")).union(t.filter("medical").join(F.broadcast(rules), "type").select("item_id", "provider")).distinct()
+    # which gated providers a topic's words open
+    opened = F.array_compact(F.array(*(F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("text"), w)) & (F.lit(g not in GATE_NEEDS_SUBJECT) | (F.col("subject") != "")), F.lit(g)) for g, words in GATES.items())))
+    gated = chosen.join(t.select("item_id", "medical", opened.alias("opened")), "item_id")
+    kept = gated.filter(~F.col("medical") | ~F.col("provider").isin(*GATES) | F.array_contains("opened", F.col("provider"))).join(F.broadcast(listed), "provider")
+    return kept.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "provider"))), lambda x: x["provider"]), ",").alias("providers"))
