@@ -80,8 +80,9 @@ def containment_matches(
     # the words of candidates only: the join comes before the split
     near = texts.join(broadcast_if_small(found, broadcast_rows, size), "doc").select("doc", "wanted", word_array(F.col("body")).alias("w"))
     strings = F.concat(*(F.coalesce(_runs(w, m, _text_of(w, m)), F.array().cast("array<string>")) for m in widths))
-    held = near.select("doc", "wanted", F.array_distinct(strings).alias("has"))
-    met = held.select("doc", F.explode(F.transform("wanted", lambda x: F.struct(x["item"].alias("item"), x["n_item"].alias("n_item"), F.array_intersect(x["strings"], F.col("has")).alias("both")))).alias("x"))
+    # the text's shingles are bound once for all items: as a column of their own they would be put into the function and made for each item again
+    within = lambda has: F.transform("wanted", lambda x: F.struct(x["item"].alias("item"), x["n_item"].alias("n_item"), F.array_intersect(x["strings"], has).alias("both")))
+    met = near.select("doc", F.explode(F.flatten(F.transform(F.array(F.array_distinct(strings)), within))).alias("x"))
     both = met.select("doc", "x.item", "x.n_item", F.explode("x.both").alias("s")).distinct()
     counted = both.groupBy("doc", "item", "n_item").agg(F.count("*").alias("n_shared")).filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return counted.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "n_shared", F.col("n_item").cast("long").alias("n_item"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
