@@ -13,6 +13,7 @@ from quarry.operators import findings, retrieve
 from quarry.operators.hops import expand_hops
 from quarry.operators.identity import host_filter
 from quarry.operators.index import build_index, extend_index, search_index, skipped_blocks, term_weights
+from quarry.storage import shared_dir
 from quarry.operators.patterns import match_patterns, redact_known
 from quarry.operators.verify import judge_in_batches
 from quarry.functions.signals import terms_held
@@ -42,6 +43,21 @@ def test_index_finds_what_a_full_scan_finds(spark, block, first, k):
     assert 0 < met.skipped < met.blocks or block == 64 or first * block < k  # without k early hits there is no floor
 
 
+def test_search_gives_on_a_few_rows_of_each_task(spark, monkeypatch):
+    """Scores of all pairs of topic and document were shuffled and written before the k best were taken, copies of one text too."""
+    from quarry.operators import index as I
+
+    written, keep = {}, I.materialise
+    monkeypatch.setattr(I, "materialise", lambda df, name="stage", **kw: written.setdefault(name, keep(df, name, **kw)))
+    docs = spark.range(4000).select((4000 - F.col("id")).alias("ev_id"), F.concat_ws(" ", F.lit("yword1 yword2"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("w"), "id"))).alias("doc_text"))
+    queries = spark.createDataFrame([(t, f"yword{1 + t % 2}", 1) for t in range(6)], "topic_id long, term string, qtf int")
+    index = build_index(docs)
+    got = search_index(index, queries, 5).collect()
+    copies = [r.ev_id for r in docs.filter("doc_text = 'yword1 yword2'").orderBy("ev_id").limit(5).collect()]
+    assert all(sorted(r.id for r in got if r.topic_id == t) == copies for t in range(6))
+    assert sum(df.count() for df in written.values()) < 6 * 5 * 12 and index.path.startswith(shared_dir(spark))
+
+
 def test_index_ranks_within_parts(spark):
     docs, queries = corpus(spark), asked(spark)
     index = build_index(docs, part="part", block_docs=4)
