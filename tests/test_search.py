@@ -58,6 +58,21 @@ def test_search_gives_on_a_few_rows_of_each_task(spark, monkeypatch):
     assert sum(df.count() for df in written.values()) < 6 * 5 * 12 and index.path.startswith(shared_dir(spark))
 
 
+def test_nearest_vectors_of_odd_rows_and_copies(spark, monkeypatch):
+    """Ranks equal those of all pairs, of which only few reach the JVM."""
+    rnd, met = random.Random(6), []
+    vectors = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(2000)]
+    rows = [(k, vectors[k] if k % 3 else vectors[0]) for k in range(2000)] + [(2000, None), (2001, [0.0] * 8), (2002, [1.0] * 5), (2003, [None, *[1.0] * 7]), (2004, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = v.filter("vec_id % 100 = 0 or vec_id > 1999").select(F.col("vec_id").alias("query_id"), "embedding")
+    cosine, keep = retrieve.cosine, retrieve.top_per_group
+    pairs = q.select("query_id", F.col("embedding").alias("q")).crossJoin(v).filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+    want = {(r.query_id, r["rank"], r.id) for r in keep(pairs, ["query_id"], [F.desc("cosine"), "id"], 7).collect()}
+    monkeypatch.setattr(retrieve, "top_per_group", lambda df, *a: (met.append(df.count()), keep(df, *a))[1])
+    assert {(r.query_id, r["rank"], r.id) for r in retrieve.cosine_top(v, q, 7, block=6).collect()} == want and len(want) == 7 * 25
+    assert sum(met) < pairs.count() / 4
+
+
 def test_index_ranks_within_parts(spark):
     docs, queries = corpus(spark), asked(spark)
     index = build_index(docs, part="part", block_docs=4)
