@@ -13,7 +13,9 @@ from quarry.operators import findings, retrieve
 from quarry.operators.hops import expand_hops
 from quarry.operators.identity import host_filter
 from quarry.operators.index import build_index, extend_index, search_index, skipped_blocks, term_weights
+from quarry.plans.ranking import edges
 from quarry.storage import shared_dir
+from tests.conftest import SF
 from quarry.operators.patterns import match_patterns, redact_known
 from quarry.operators.verify import judge_in_batches
 from quarry.functions.signals import terms_held
@@ -91,6 +93,23 @@ def test_hops_keep_the_shortest_way(spark):
     assert {(r.topic_id, r.id) for r in expand_hops(edges, seeds, 5, per_record=9, per_hop=1).collect()} == {(0, 1), (0, 2), (0, 5), (0, 6), (0, 7), (1, 6), (1, 7)}
 
 
+def test_hops_ask_for_the_edges_of_their_frontier(spark):
+    """All edges were made and written first."""
+    edges = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 5), (3, 5), (5, 1), (5, 6), (6, 7), (4, 4), (3, 10), (3, 11), (3, 12), (8, 9)], "src long, dst long")
+    seeds = spark.createDataFrame([(0, 1), (1, 6)], "topic_id long, id long")
+    got = {(r.topic_id, r.id): (r.hop, r.parent) for r in expand_hops(edges, seeds, 3, per_record=3).collect()}
+    asked = []
+    given = expand_hops(lambda ids: (asked.append({r.id for r in ids.collect()}), edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"))[1], seeds, 3, per_record=3).collect()
+    assert {(r.topic_id, r.id): (r.hop, r.parent) for r in given} == got and asked == [{1, 6}, {2, 3, 4, 7}, {5, 10, 11}]
+
+
+def test_edges_of_given_parts_equal_those_of_all(spark):
+    every = edges(spark, SF)
+    parts = spark.range(0, 30, 7)
+    want = {tuple(r) for r in every.join(parts.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "kind").collect()}
+    assert {tuple(r) for r in edges(spark, SF, parts).collect()} == want and want
+
+
 @pytest.mark.parametrize("share", [1 << 20, 60])
 def test_patterns_are_found_as_one_by_one(spark, share):
     rnd = random.Random(3)
