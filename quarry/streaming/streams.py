@@ -107,54 +107,96 @@ def _us(interval: str) -> int:
     return pd.Timedelta(interval).value // 1000
 
 
+#: From so many keys of a batch on, a share's state is read in one go; below, each key asks for its own.
+READ_WHOLE = 64
+
+
+def _seen(state, wanted: set[tuple]) -> dict[tuple, int]:
+    """What a map state holds for the ``wanted`` keys: reading it as a whole comes in batches, while each single key is a call to the JVM."""
+    if len(wanted) >= READ_WHOLE:
+        return {k: us for k, (us,) in state.iterator() if k in wanted}
+    return {k: state.getValue(k)[0] for k in wanted if state.containsKey(k)}
+
+
+def _forget(state, lifetime_us: int, now_us: int) -> int | None:
+    """Drop a map state's entries that have run out; the time of the oldest that is left."""
+    due, soonest = [], None
+    for k, (us,) in state.iterator():
+        if us + lifetime_us <= now_us:
+            due.append(k)
+        else:
+            soonest = us if soonest is None else min(soonest, us)
+    for k in due:
+        state.removeKey(k)
+    return soonest
+
+
+def _keyed(rows: Iterator[pd.DataFrame], names: list[str]) -> pd.DataFrame:
+    """The keys of a share's rows as they are, null ones as None, and their times ``us``."""
+    parts = [pdf[names].assign(us=pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)).drop_duplicates() for pdf in rows]
+    whole = pd.concat(parts, ignore_index=True)
+    return whole.assign(**{n: whole[n].astype(object).where(whole[n].notna(), None) for n in names})
+
+
+def in_shares(stream: DataFrame, names: list[str], shares: int, late: str):
+    """A stream grouped by shares of its keys, which become strings: a share is one call of Python for many keys, and no topic is one task."""
+    texts = [F.col(n).cast("string").alias(n) for n in names]
+    return stream.select(*texts, "ts").withColumn("share", F.pmod(F.xxhash64(*names), F.lit(shares))).withWatermark("ts", late).groupBy("share")
+
+
 class FirstWithin(StatefulProcessor):
-    """Keeps a key's row if none was kept in the ``lifetime`` before it. The state is the time of the last row that was kept; a timer drops it when that has run out."""
+    """Keeps a key's row if none was kept in the ``lifetime`` before it. The state of a share is a map from key to the time of the last row that was kept; timers drop keys when that has run out."""
 
-    def __init__(self, lifetime_us: int):
-        self.lifetime = lifetime_us
+    def __init__(self, lifetime_us: int, names: list[str]):
+        self.lifetime, self.names = lifetime_us, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.kept = handle, handle.getValueState("kept", "us long")
+        self.handle, self.kept = handle, handle.getMapState("kept", ", ".join(f"{n} string" for n in self.names), "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([pdf["ts"].to_numpy("datetime64[us]").astype(np.int64) for pdf in rows]))
-        last = self.kept.get()[0] if self.kept.exists() else None
-        at, found = 0 if last is None else int(np.searchsorted(times, last + self.lifetime)), []
-        while at < len(times):
-            last = int(times[at])
-            found.append(last)
-            at = int(np.searchsorted(times, last + self.lifetime))
+        whole = _keyed(rows, self.names).sort_values("us", kind="stable")
+        names = list(zip(*(whole[n] for n in self.names), strict=True))
+        until = {k: us + self.lifetime for k, us in _seen(self.kept, set(names)).items()}
+        found, at = [], {}
+        for k, us in zip(names, whole["us"].tolist(), strict=True):
+            if us >= until.get(k, us):
+                at[k], until[k] = us, us + self.lifetime
+                found.append((*k, us))
+        for k, us in at.items():
+            self.kept.updateValue(k, (us,))
         if found:
-            self.kept.update((last,))
-            self.handle.registerTimer((last + self.lifetime) // 1000 + 1)
-            yield pd.DataFrame({**{f"k{i}": [k] * len(found) for i, k in enumerate(key)}, "ts": np.array(found, "datetime64[us]")})
+            self.handle.registerTimer((min(at.values()) + self.lifetime) // 1000 + 1)
+            out = pd.DataFrame(found, columns=[*self.names, "ts"])
+            yield out.assign(ts=out["ts"].to_numpy().astype("datetime64[us]"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.kept.exists() and self.kept.get()[0] + self.lifetime <= timerValues.getCurrentWatermarkInMs() * 1000:
-            self.kept.clear()
+        soonest = _forget(self.kept, self.lifetime, timerValues.getCurrentWatermarkInMs() * 1000)
+        if soonest is not None:
+            self.handle.registerTimer((soonest + self.lifetime) // 1000 + 1)
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def first_arrivals(spark: SparkSession, slices: Sequence[DataFrame], keys: list[str], lifetime: str = "30 days", late: str = "1 hour", progress: list | None = None) -> DataFrame:
+def first_arrivals(spark: SparkSession, slices: Sequence[DataFrame], keys: list[str], lifetime: str = "30 days", late: str = "1 hour", shares: int = 96, progress: list | None = None) -> DataFrame:
     """The rows of a stream that a cache of ``lifetime`` doesn't have: (keys, ts, slice).
 
     A row is kept if its key has none, or if the last row that was kept is ``lifetime`` old or older; rows within don't prolong it. Rows that are later
-    than ``late`` behind the newest of earlier batches are dropped. A task sees a batch's rows of one key in chunks and holds their times. Keys whose row
+    than ``late`` behind the newest of earlier batches are dropped. Keys are dealt into ``shares``; a task holds a batch's times of one share. Keys whose row
     has run out leave the state, so it is no larger than what a lifetime brings.
     """
     kinds = [slices[0].schema[k].dataType.simpleString() for k in keys]
-    schema = ", ".join(f"k{i} {kind}" for i, kind in enumerate(kinds)) + ", ts timestamp"
+    names = [f"k{i}" for i in range(len(keys))]
+    schema = ", ".join(f"{n} string" for n in names) + ", ts timestamp"
 
     def plan(stream: DataFrame) -> DataFrame:
-        grouped = stream.select(*keys, "ts").withWatermark("ts", late).groupBy(*keys)
-        return grouped.transformWithStateInPandas(FirstWithin(_us(lifetime)), schema, "Update", "EventTime")
+        grouped = in_shares(stream.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), "ts"), names, shares, late)
+        return grouped.transformWithStateInPandas(FirstWithin(_us(lifetime), names), schema, "Update", "EventTime")
 
     with kept_in_files(spark):
         rows = replay(spark, slices, plan, progress=progress)
-    return rows.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "ts", "slice")
+    return rows.select(*(F.col(n).cast(kind).alias(k) for k, n, kind in zip(keys, names, kinds, strict=True)), "ts", "slice")
 
 
 def arrivals_by_rounds(rows: DataFrame, keys: list[str], lifetime: str = "30 days") -> DataFrame:
@@ -177,38 +219,30 @@ def running_cost(log: DataFrame) -> DataFrame:
 
 
 class NewKeys(StatefulProcessor):
-    """Counts keys that were not seen in the ``timeout`` before. The state is a map from key to when it was last seen; timers drop keys that are due to be forgotten."""
+    """Counts keys of topics that were not seen in the ``timeout`` before. The state of a share is a map from topic and key to when it was last seen; timers drop keys that are due to be forgotten."""
 
     def __init__(self, timeout_us: int):
         self.timeout = timeout_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.seen = handle, handle.getMapState("seen", "key string", "us long")
+        self.handle, self.seen = handle, handle.getMapState("seen", "topic string, key string", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, last = {}, {}
-        for pdf in rows:
-            us = pd.Series(pdf["ts"].to_numpy("datetime64[us]").astype(np.int64))
-            for k, lo, hi in us.groupby(pdf["key"].to_numpy()).agg(["min", "max"]).itertuples():
-                first[k], last[k] = min(lo, first.get(k, lo)), max(hi, last.get(k, hi))
-        new = 0
-        for k, at in first.items():
-            was = self.seen.getValue((k,))[0] if self.seen.containsKey((k,)) else None
-            new += was is None or at >= was + self.timeout
-            self.seen.updateValue((k,), (last[k] if was is None else max(was, last[k]),))
-        if last:
-            self.handle.registerTimer((min(last.values()) + self.timeout) // 1000 + 1)
-        yield pd.DataFrame({"topic": [key[0]], "n_new": [new]})
+        ends = _keyed(rows, ["topic", "key"]).groupby(["topic", "key"], dropna=False, sort=False)["us"].agg(["min", "max"]).reset_index()
+        topics = ends["topic"].astype(object).where(ends["topic"].notna(), None)
+        names = list(zip(topics, ends["key"], strict=True))
+        seen, new, last = _seen(self.seen, set(names)), {}, []
+        for k, lo, hi in zip(names, ends["min"].tolist(), ends["max"].tolist(), strict=True):
+            was = seen.get(k)
+            new[k[0]] = new.get(k[0], 0) + (was is None or lo >= was + self.timeout)
+            last.append(hi if was is None else max(was, hi))
+            if was is None or hi > was:
+                self.seen.updateValue(k, (last[-1],))
+        self.handle.registerTimer((min(last) + self.timeout) // 1000 + 1)
+        yield pd.DataFrame({"topic": pd.Series(list(new), dtype=object), "n_new": list(new.values())})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, due, soonest = timerValues.getCurrentWatermarkInMs() * 1000, [], None
-        for k, (us,) in self.seen.iterator():
-            if us + self.timeout <= now:
-                due.append(k)
-            else:
-                soonest = us if soonest is None else min(soonest, us)
-        for k in due:
-            self.seen.removeKey(k)
+        soonest = _forget(self.seen, self.timeout, timerValues.getCurrentWatermarkInMs() * 1000)
         if soonest is not None:
             self.handle.registerTimer((soonest + self.timeout) // 1000 + 1)
         return iter([])
@@ -217,22 +251,21 @@ class NewKeys(StatefulProcessor):
         pass
 
 
-def novelty(spark: SparkSession, slices: Sequence[DataFrame], topic: str, key: str, need: int = 3, timeout: str = "30 days", late: str = "1 hour", shares: int = 16, progress: list | None = None) -> DataFrame:
+def novelty(spark: SparkSession, slices: Sequence[DataFrame], topic: str, key: str, need: int = 3, timeout: str = "30 days", late: str = "1 hour", shares: int = 96, progress: list | None = None) -> DataFrame:
     """Keys of each topic that are new, slice by slice: topic, batch, n_new, n_seen, stopped.
 
     A key is new in a slice if its first row there is ``timeout`` or more after its last row before, or if it has none. A topic has stopped from the first batch
-    after its own first that brought fewer than ``need`` new keys. Null keys don't count. A topic's keys are spread over ``shares`` maps, so a
-    hot topic isn't one task; counts of shares are added up. Keys leave the state when they would count as new again.
+    after its own first that brought fewer than ``need`` new keys. Null keys don't count. Keys of all topics are dealt into ``shares``, each a map of its own, so a
+    hot topic isn't one task and a topic with few keys isn't a call of Python; counts of shares are added up. Keys leave the state when they would count as new again.
     """
     named = [s.select(F.col(topic).alias("topic"), F.col(key).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts")).filter("key is not null") for s in slices]
     kind = named[0].schema["topic"].dataType.simpleString()
 
     def plan(stream: DataFrame) -> DataFrame:
-        dealt = stream.withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares))).withWatermark("ts", late).groupBy("topic", "share")
-        return dealt.transformWithStateInPandas(NewKeys(_us(timeout)), f"topic {kind}, n_new long", "Update", "EventTime")
+        return in_shares(stream, ["topic", "key"], shares, late).transformWithStateInPandas(NewKeys(_us(timeout)), "topic string, n_new long", "Update", "EventTime")
 
     with kept_in_files(spark):
-        counts = replay(spark, named, plan, fold=lambda batch, *_: batch.groupBy("topic").agg(F.sum("n_new").alias("n_new")), progress=progress)
+        counts = replay(spark, named, plan, fold=lambda batch, *_: batch.groupBy(F.col("topic").cast(kind).alias("topic")).agg(F.sum("n_new").alias("n_new")), progress=progress)
     counts = counts.withColumnRenamed("slice", "batch")
     so_far = Window.partitionBy("topic").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     few = (F.row_number().over(Window.partitionBy("topic").orderBy("batch")) > 1) & (F.col("n_new") < need)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.runs import following, in_ranges, run_places
 from quarry.plans.usage import stream_breaker
-from quarry.streaming.streams import arrivals_by_rounds, breaker, first_arrivals, novelty, time_slices
+from quarry.streaming.streams import arrivals_by_rounds, breaker, first_arrivals, in_shares, novelty, time_slices
 from tests.conftest import SF
 
 DAY0 = datetime(2024, 1, 1)
@@ -134,3 +134,15 @@ def test_novelty_forgets(spark):
     assert not found and stopped and len({total[t] for t in "ab"} | {8}) > 1
     state = rows_in_state(progress)
     assert any(b < a for a, b in zip(state, state[1:], strict=False))
+
+
+def test_many_keys_share_a_group_of_state(spark):
+    """A group of Python's for each topic or key takes milliseconds, however few rows it has; shares bound their number. Null topics and keys are kept apart."""
+    rows = [(DAY0 + timedelta(days=d), None if u == 0 else (1 << 60) + u, f"k{u % 3}") for u in range(400) for d in (0, 1, 9)]
+    parts = time_slices(spark.createDataFrame(rows, "ts timestamp, topic long, key string"), 3)
+    groups = in_shares(parts[0], ["topic", "key"], 5, "1 hour").agg(F.count("*").alias("n")).collect()
+    assert len(groups) == 5 and sum(g.n for g in groups) == 800
+    found = {(r.topic, r.batch): r.n_new for r in novelty(spark, parts, "topic", "key", timeout="4 days", shares=5).collect()}
+    assert found == {(t, b): 1 for t in {r[1] for r in rows} for b in (0, 2)}
+    kept = first_arrivals(spark, parts, ["topic", "key"], "4 days", shares=5).collect()
+    assert Counter((r.topic, r.key, r.ts) for r in kept) == Counter((t, k, ts) for ts, t, k in rows if ts != DAY0 + timedelta(days=1))
