@@ -97,6 +97,10 @@ def test_text_functions(spark):
     assert abs(one(spark, signals.recency(F.col("d"), 2025), d="x 2017-1") - 0.5) < 1e-12
 
 
+def test_tokens_of_digits_and_hyphens(spark):
+    assert one(spark, text.tokenize(F.col("t")), t="12-3 45 a1 1a -12 12- 0-- é12ß34 x_99_ab 7 77 7a7 1-the of-2 99\n100") == ["12-3", "a1", "1a", "12-", "0--", "ab", "7a7", "1-the", "of-2"]
+
+
 def test_rank_sums_and_floor(spark):
     hits = spark.createDataFrame([(1, "a", 0), (1, "a", 2), (1, "b", 1), (1, "", 0)], "topic_id long, key string, rank int")
     assert {r.key: round(r.rrf, 9) for r in retrieve.reciprocal_rank_fusion(hits).collect()} == {"a": round(1 / 60 + 1 / 62, 9), "b": round(1 / 61, 9)}

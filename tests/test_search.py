@@ -60,6 +60,34 @@ def test_search_gives_on_a_few_rows_of_each_task(spark, monkeypatch):
     assert sum(df.count() for df in written.values()) < 6 * 5 * 12 and index.path.startswith(shared_dir(spark))
 
 
+def test_ranked_documents_make_no_row_of_each_pair(spark, monkeypatch):
+    """Tokens, counts and scores of all pairs of topic and document were written before the best were taken."""
+    from quarry.operators import index as I
+    from quarry.plans import retrieval as P
+
+    written, keep = [], I.materialise
+    for module in (I, P, retrieve):
+        monkeypatch.setattr(module, "materialise", lambda df, name="stage", **kw: (written.append(kept := keep(df, name, **kw)), kept)[1])
+    docs = P.evidence(spark, SF).select("ev_id", retrieve.document_text(F.col("title"), F.col("content"), F.col("snippet"), P.WINDOW).alias("doc_text"))
+    terms = retrieve.query_terms(P.topics(spark, SF), F.col("must_include"))
+    full = retrieve.top_per_group(retrieve.bm25(docs, terms).withColumn("score", F.round("score", 6)), ["topic_id"], [F.desc("score"), "id"], 2)
+    want = {(r.topic_id, r.id, r.score, r["rank"]) for r in full.collect()}
+    pairs, written[:] = written[-1].count(), []
+    assert {(r.topic_id, r.id, r.score, r["rank"]) for r in P.ranked_documents(spark, SF, 2).collect()} == want and want
+    assert all("tokens" not in df.columns for df in written) and written[-1].count() < pairs / 2
+
+
+def test_weights_of_terms_are_found_once(spark, monkeypatch):
+    """A search read the heads of all blocks again for weights that its caller had, and its own twice."""
+    from quarry.operators import index as I
+
+    docs, queries = corpus(spark), asked(spark)
+    index = build_index(docs)
+    weights, want = term_weights(index, queries), search_index(index, queries, 5).collect()
+    monkeypatch.setattr(I, "term_weights", None)
+    assert sorted(search_index(index, queries, 5, weights=weights).collect()) == sorted(want) and want
+
+
 def test_nearest_vectors_of_odd_rows_and_copies(spark, monkeypatch):
     """Ranks equal those of all pairs, of which only few reach the JVM."""
     rnd, met = random.Random(6), []
