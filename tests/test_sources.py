@@ -85,3 +85,24 @@ def test_a_broken_run_goes_on(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
     empty = spark.createDataFrame([], "id long, input string")
     assert D.run_pending(empty, str(tmp_path / "none"), measure).count() == 0
+
+
+def test_aligned_files_in_bundles(spark, tmp_path, monkeypatch):
+    """Each name was a folder and a file of its own."""
+    from quarry.plans import dumps as P
+
+    for folder, lines in (("tok", ["1\ta b c", "2\tx y", "3\t", "4\tz"]), ("lab", ["2\t0", "1\t0,1,1", "3\t"])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part").write_text("\n".join(lines))
+    got = D.read_aligned(spark, f"file://{tmp_path}/tok", f"file://{tmp_path}/lab", bundled=True).collect()
+    assert sorted((r.doc, r.position, r.token, r.label) for r in got if r.error is None) == [("1", 0, "a", "0"), ("1", 1, "b", "1"), ("1", 2, "c", "1")]
+    assert sorted((r.doc, r.position, r.token) for r in got if r.error) == [("2", None, None), ("4", None, None)]
+
+    texts = spark.range(3000).selectExpr("id as doc_id", "case when id = 7 then null when id = 8 then '-- ' when id = 9 then repeat('Äb,c\n', 90) else concat(' x', id, '; ß!') end as text")
+    texts.write.parquet(f"file://{tmp_path}/documents.parquet")
+    monkeypatch.setattr(P, "_place", lambda spark: f"file://{tmp_path}/dump-{len(list(tmp_path.glob('dump-*')))}")
+    rows = P.aligned_files(spark, f"file://{tmp_path}").collect()
+    assert len({r.doc for r in rows}) == 60 and {r.doc for r in rows if r.error} == {str(k) for k in range(60) if k % 9 == 4}
+    first = [(r.token, r.label) for r in sorted((r for r in rows if r.doc == "0"), key=lambda r: r.position)]
+    assert first[:4] == [("x0", "2"), ("ß", "1"), ("x1", "2"), ("ß", "1")] and first[14:54] == [("Äb", "2"), ("c", "1")] * 20 and len(first) == 7 * 2 + 40 + 40 * 2
+    assert 2 <= len(list(tmp_path.glob("dump-*/*/**/*.txt"))) < 20
