@@ -88,6 +88,18 @@ def test_weights_of_terms_are_found_once(spark, monkeypatch):
     assert sorted(search_index(index, queries, 5, weights=weights).collect()) == sorted(want) and want
 
 
+def test_signals_find_weights_once(spark, monkeypatch):
+    """The heads of all blocks were read three times: twice by the search, and again for the shares of terms."""
+    from quarry.operators import index as I
+    from quarry.plans import pool
+
+    made, weights, own = [], I.term_weights, getattr(I, "_weights", None)
+    monkeypatch.setattr(I, "term_weights", lambda *a, **kw: (made.append("search"), weights(*a, **kw))[1])
+    monkeypatch.setattr(pool, "term_weights", lambda *a, **kw: (made.append("pool"), weights(*a, **kw))[1])
+    monkeypatch.setattr(I, "_weights", lambda *a: (made.append("read"), own(*a))[1], raising=False)
+    assert pool.build_signals(spark, SF).count() > 0 and made == ["pool"]
+
+
 def test_nearest_vectors_of_odd_rows_and_copies(spark, monkeypatch):
     """Ranks equal those of all pairs, of which only few reach the JVM."""
     rnd, met = random.Random(6), []
