@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.index import batches_of
 from quarry.storage import materialise
 
+#: Graded candidates of a pool up to which places are counted for these alone; where more have a grade, the pool is sorted.
+COUNTED = 16
+
 
 def pack(pools: DataFrame, names: list[str], folds: int) -> DataFrame:
     """One row for each topic: its fold, and its candidates' signals and grades in order of arrival. A pool is what a cut left, so a row is small."""
@@ -19,9 +23,31 @@ def pack(pools: DataFrame, names: list[str], folds: int) -> DataFrame:
     return rows.select(F.pmod(F.xxhash64("topic_id"), F.lit(folds)).cast("int").alias("fold"), F.flatten("p.x").alias("x"), F.col("p.grade").alias("grade"))
 
 
+def spread(packed: DataFrame) -> DataFrame:
+    """``packed`` written in a file for each core, as every step of a search scans it: a few topics are small, and in one file they are one task."""
+    return materialise(packed.repartition(max(1, packed.sparkSession.sparkContext.defaultParallelism)), "pools")
+
+
+def discounted(score: np.ndarray, gain: np.ndarray, depth: int) -> np.ndarray:
+    """Discounted gain of the first ``depth`` candidates for each row of ``score``, equal scores in order of arrival; a score that is no number comes last."""
+    discount = 1 / np.log2(np.arange(depth) + 2)
+    graded = np.flatnonzero(gain)
+    score = np.where(np.isnan(score), -np.inf, score)
+    if len(graded) > COUNTED:
+        first = np.argsort(-score, axis=1, kind="stable")[:, :depth]
+        return gain[first] @ discount[: first.shape[1]]
+    total, discount = np.zeros(len(score)), np.append(discount, 0.0)
+    for g in graded:
+        own = score[:, g : g + 1]
+        place = np.count_nonzero(score > own, axis=1) + np.count_nonzero(score[:, :g] == own, axis=1)
+        total += gain[g] * discount[np.minimum(place, depth)]
+    return total
+
+
 def objective(packed: DataFrame, vectors: np.ndarray, folds: int, depth: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Sums of nDCG at ``depth`` for each fold and weight vector, and topics of each fold. A topic without a grade counts as 0."""
     width = vectors.shape[1]
+    vectors, asked = np.unique(vectors, axis=0, return_inverse=True)  # runs that have met ask for the same ones
 
     def part(batches):
         sums, topics = np.zeros((folds, len(vectors))), np.zeros(folds, dtype=np.int64)
@@ -32,9 +58,8 @@ def objective(packed: DataFrame, vectors: np.ndarray, folds: int, depth: int = 1
                 ideal = (np.sort(gain)[::-1][:depth] * discount[: len(gain)]).sum()
                 topics[fold] += 1
                 if ideal > 0:
-                    score = np.round(np.asarray(x).reshape(-1, width) @ vectors.T, 9)
-                    first = np.argsort(-score, axis=0, kind="stable")[:depth]
-                    sums[fold] += discount[: len(first)] @ gain[first] / ideal
+                    score = np.round(vectors @ np.asarray(x).reshape(-1, width).T, 9)
+                    sums[fold] += discounted(score, gain, depth) / ideal
         for fold in np.flatnonzero(topics):
             yield pd.DataFrame({"fold": fold, "vector": np.arange(len(vectors)), "total": sums[fold], "topics": topics[fold]})
 
@@ -42,7 +67,7 @@ def objective(packed: DataFrame, vectors: np.ndarray, folds: int, depth: int = 1
     sums, topics = np.zeros((folds, len(vectors))), np.zeros(folds)
     for r in found.collect():
         sums[r.fold, r.vector], topics[r.fold] = r.total, r.topics
-    return sums, topics
+    return sums[:, asked.ravel()], topics
 
 
 def _mean(sums: np.ndarray, topics: np.ndarray, held: int | None) -> np.ndarray:
@@ -63,7 +88,8 @@ def calibrate(
     with means of 0. ``pools``: topic_id, arrival, grade and the signals named by ``start``.
     """
     names, draw = list(start), random.Random(seed)
-    packed = materialise(pack(pools, names, folds), "pools")
+    batches_of(pools.sparkSession)
+    packed = spread(pack(pools, names, folds))
     origins = [np.array([start[n] for n in names])] + [np.array([round(draw.uniform(*bounds[n]), 3) for n in names]) for _ in range(starts - 1)]
     runs = [{"held": held, "w": w.copy(), "best": -1.0, "live": True} for held in (None, *range(folds)) for w in origins]
     for _ in range(passes):
@@ -93,4 +119,4 @@ def calibrate(
     sums, topics = objective(packed, np.vstack([origins[0], *chosen]), folds)
     every = _mean(sums, topics, None)
     held = [sums[f, f + 2] / topics[f] for f in range(folds) if topics[f]]
-    return dict(zip(names, map(float, chosen[0]), strict=True)), {"base": float(every[0]), "train": float(every[1]), "held": float(np.mean(held)) if held else 0.0}
+    return dict(zip(names, map(float, chosen[0]), strict=True)), {"base": float(every[0]), "train": float(every[1]), "held": float(np.round(np.mean(held), 9)) if held else 0.0}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import design, signals, text
 from quarry.operators import identity, rank, retrieve, verify
 from quarry.operators.calibrate import calibrate as fit
-from quarry.operators.calibrate import objective, pack
+from quarry.operators.calibrate import discounted, objective, pack, spread
 from quarry.operators.components import connected_components
 from quarry.plans.evaluation import BOUNDS, calibrate, feedback_rounds
 from quarry.plans.verification import judge_in_batches
@@ -143,6 +143,23 @@ def test_objective_equals_a_plain_loop(spark):
     assert fit(nothing, {"a": 0.2}, {"a": (0.0, 0.5)}, starts=1) == ({"a": 0.2}, {"base": 0.0, "train": 0.0, "held": 0.0})
 
 
+def test_pools_are_scored_by_many_tasks(spark):
+    """All topics were a task of one file, whatever their number."""
+    pools = spark.range(60).selectExpr("id div 6 as topic_id", "id as arrival", "cast(id % 2 as int) as grade", "id / 60 as a")
+    assert spread(pack(pools, ["a"], 5)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+
+
+def test_places_are_counted_as_sorted():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 40):
+        score = rng.choice([0.0, 0.25, 0.5, np.nan], (20, n))
+        for share in (0.1, 1.0):
+            gain = np.where(rng.random(n) < share, 3.0, 0.0)
+            first = [sorted(range(n), key=lambda k: (np.isnan(s[k]), -s[k] if s[k] == s[k] else 0, k))[:10] for s in score]
+            want = [sum(gain[k] / math.log2(r + 2) for r, k in enumerate(f)) for f in first]
+            assert np.allclose(discounted(score, gain, 10), want, rtol=0, atol=1e-12)
+
+
 def test_order_of_arrival_does_not_matter(spark):
     rnd = random.Random(4)
     rows = [(k, f"http://h/{k % 7}", f"title number {k % 5} of many") for k in range(30)]
