@@ -4,7 +4,9 @@ import json
 import math
 import random
 import re
+from urllib.parse import unquote
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,20 @@ def test_index_finds_what_a_full_scan_finds(spark, block, first, k):
     assert 0 < met.skipped < met.blocks or block == 64 or first * block < k  # without k early hits there is no floor
 
 
+def test_row_groups_of_an_index_hold_few_entries(spark):
+    """A file was one row group, of which Spark's reader fills its arrays with up to 4 096 blocks at once: over a GB for a task, where texts are whole and files large."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", k), F.lit(50_000))))
+    index = build_index(spark.range(4000, numPartitions=1).select(F.col("id").alias("ev_id"), F.array_join(words, " ").alias("doc_text")))
+    groups = []
+    for file in index.table(spark, "blocks").inputFiles():
+        meta = pq.ParquetFile(unquote(file.removeprefix("file:"))).metadata
+        groups += [sum(meta.row_group(g).column(c).num_values for c in range(meta.num_columns)) for g in range(meta.num_row_groups)]
+    assert len(groups) > 1 and max(groups) < 3_000_000 < sum(groups)
+    asked = spark.createDataFrame([(0, f"w{k}", 1) for k in (7, 8, 70_000)], "topic_id long, term string, qtf long")
+    held = spark.range(4000).select(F.explode(F.array_distinct(words)).alias("term")).filter("term in ('w7', 'w8')").groupBy("term").count()
+    assert {(r.term, r.df) for r in term_weights(index, asked).collect()} == {(r.term, r["count"]) for r in held.collect()}
+
+
 def test_search_gives_on_a_few_rows_of_each_task(spark, monkeypatch):
     """Scores of all pairs of topic and document were shuffled and written before the k best were taken, copies of one text too."""
     from quarry.operators import index as I

@@ -25,3 +25,12 @@ def test_discovery_has_three_rounds_and_counts_the_wide_list(spark):
     rows = queries()["feedback_rounds"](spark, SF).collect()
     assert {r["round"] for r in rows} == {1, 2, 3}
     assert max(r.n_new for r in rows if r["round"] == 1) > 8
+
+
+def test_discovery_writes_no_texts(spark, monkeypatch):
+    """All texts were written once more beside the index, in row groups that a task holds until they are full."""
+    from quarry.plans import evaluation as E
+
+    written, keep = [], E.materialise
+    monkeypatch.setattr(E, "materialise", lambda df, name="stage", **kw: (written.extend(df.columns), keep(df, name, **kw))[1])
+    assert E.feedback_rounds(spark, SF).count() and written and "doc_text" not in written
