@@ -34,3 +34,11 @@ def test_discovery_writes_no_texts(spark, monkeypatch):
     written, keep = [], E.materialise
     monkeypatch.setattr(E, "materialise", lambda df, name="stage", **kw: (written.extend(df.columns), keep(df, name, **kw))[1])
     assert E.feedback_rounds(spark, SF).count() and written and "doc_text" not in written
+
+
+def test_whole_index_finds_what_stands_behind_the_window(spark, tmp_path):
+    docs = [(k, "word " * 400 + ("zymurgy" if k == 3 else "other"), "en", "src1") for k in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "zymurgy")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [(r.topic_id, r.id, r.score) for r in queries()["bm25_index_whole"](spark, str(tmp_path)).collect()] == [(0, 3, 1.0)]
+    assert queries()["bm25_index"](spark, str(tmp_path)).count() == 0
