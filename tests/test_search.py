@@ -255,3 +255,23 @@ def test_chunks_follow_ids(spark, parts):
     assert all(r.score == 1.0 for r in got if r.id is not None and r.id >= 20) and all(r.score == 0.1 for r in got if r.id is None)
     # ten of the 22 rows of the first range, ten more, and what is left
     assert sorted(r.score for r in got if r.id is not None and r.id < 10) == [0.2] * 2 + [1.0] * 20 and not sizes
+
+
+def test_hops_without_cuts_reach_all(spark):
+    """Every neighbour is followed, none but the smallest before; parents and hops are those of a plain search."""
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(150)] + [(5, k) for k in range(20, 45)] + [(7, 7), (None, 3), (3, None)]
+    seeds = [(t, rnd.randrange(60)) for t in range(9) for _ in range(2)] + [(9, 5), (9, 5), (10, None)]
+    want = {}
+    for topic in {t for t, s in seeds if s is not None}:
+        reached = {s: (0, None) for t, s in seeds if t == topic}
+        for hop in (1, 2, 3):
+            new = {}
+            for a, b in edges:
+                if a in reached and reached[a][0] == hop - 1 and b is not None and b not in reached:
+                    new[b] = min(new.get(b, a), a)
+            reached |= {b: (hop, a) for b, a in new.items()}
+        want |= {(topic, k): v for k, v in reached.items()}
+    got = expand_hops(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(seeds, "topic_id long, id long"), 3, per_record=None)
+    assert {(r.topic_id, r.id): (r.hop, r.parent) for r in got.collect()} == want and got.count() == len(want)
+    assert sum(t == 9 and v == (1, 5) for (t, _), v in want.items()) >= 25
